@@ -1,0 +1,274 @@
+"""Each operator against a plain version: over a small table of the driver and over rows made to be awkward."""
+
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from linepatterns.llm import decontaminate, graph, importance, language_id, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_counts, warc
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_words long, _id string, size int"
+
+
+def awkward():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 3)))
+    passage = [word() for _ in range(60)]
+    texts = [None, "", " ", "\n\n", "one", "two words", "a b c d", "x " * 300, "x y " * 40, " ".join(passage), " ".join(passage), "Z " + " ".join(passage[3:50]) + " end"]
+    texts += [" ".join([word() for _ in range(rng.randint(0, 80))] + passage[i : i + rng.randint(20, 60)] + [word() for _ in range(rng.randint(0, 30))]) for i in range(0, 20)]
+    texts += [f"mail me at a.b{i}@mail.example.com or +1 (555) 555-{i:04d}, card 4539 1488 0343 6467 ip 10.0.{i}.255 and 300.1.1.1 1.2.3.4.5.6.7.8" for i in range(6)]
+    texts += ["a@b.c_d@e.f..g@h.i x@y @z.z a@b", "é😀 q@w.e +12 34 56 78 90 1 4539148803436467 0004.001.02.3", "1-2-3 " * 3000, "a@" + "b." * 5000 + "c", "9" * 20000, "<|endoftext|> It's 3,000 ΣΑΣ\x1cx y İ ﬁ <|startoftext|>a", "w" * 30000 + " " + "longword " * 3000]
+    base = " ".join(word() for _ in range(120))
+    texts += [base, base + " tail", base.upper(), base.replace("a", "b", 1)]
+    rows = [(i, t, ["en", "fr", None][i % 3], ["s", "t", None, "é", ""][i % 5], 1, "k", 2) for i, t in enumerate(texts)]
+    return [*rows, rows[9], rows[9], (None, texts[12], None, None, None, None, None), (None, None, None, None, None, None, None), (3, " ".join(passage), "en", "s", 1, "k", 2)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(awkward(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def pairs(df):
+    return [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
+
+
+def same(df, expected):
+    key = lambda r: tuple(repr(x) for x in r)
+    got, want = sorted(map(tuple, df.collect()), key=key), sorted(map(tuple, expected), key=key)
+    assert got == want, [x for x in zip(got, want, strict=False) if x[0] != x[1]][:3]
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def repeats(df):
+    return substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+
+
+def test_substring_dedup(spark, docs, odd, monkeypatch):
+    same(repeats(docs), brute.substring_dedup(pairs(docs)))
+    same(repeats(odd), brute.substring_dedup(pairs(odd)))
+    same(repeats(empty(spark)), [])
+    monkeypatch.setattr(substring_dedup, "GROUP", 2)  # small groups, and prefixes that outgrow them
+    same(repeats(docs), brute.substring_dedup(pairs(docs)))
+    same(repeats(odd), brute.substring_dedup(pairs(odd)))
+
+
+def test_token_counts(spark, docs, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    count = lambda df: token_counts.count_prefixes(df, path).select("doc_id", "n_bytes", "n_tokens", F.col("n_tokens") > 2048)
+    same(count(docs), brute.token_counts(pairs(docs), path))
+    same(count(odd), brute.token_counts(pairs(odd), path))
+    same(count(empty(spark)), [])
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    for text, counts in token_counts.count_prefixes(docs.limit(20), path, keep=("text",)).select("text", "prefix_counts").collect():
+        for cut in range(0, min(len(text), 400), 7):
+            assert token_counts.tokens_up_to(path, text, counts, cut) == len(tok.encode(text[:cut], add_special_tokens=False).ids)
+    fit = token_counts.count_prefixes(docs, path).where(token_counts.fitting_words(F.col("prefix_counts"), 10) > 10)
+    assert fit.count() == 0
+
+
+def test_warc(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("record_id", warc.response_id("page_id", "url")).withColumn("head", F.lit("Server: x\r\nETag: 7"))
+    rows = warc.derivatives(pages, headers="head", keep=("page_id",)).collect()
+    assert len(rows) == 2 * pages.count()
+    source = {r["record_id"]: r for r in pages.collect()}
+    for r in rows:  # round trip through the bytes
+        head, block = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        block = block[: int(fields["Content-Length"])]
+        assert lines[0] == "WARC/1.0" and fields["WARC-Type"] == r["record_type"] and block.decode() == r["block"]
+        assert fields["WARC-Block-Digest"] == warc.digest(block) == r["block_digest"]
+        page = source[fields["WARC-Refers-To"]]
+        assert fields["WARC-Target-URI"] == page["url"] and r["source_digest"] == warc.digest(page["html"].encode())
+        if r["record_type"] == "metadata":
+            assert f"source-payload-digest: {r['source_digest']}\r\n" in r["block"] and "source-header-etag: 7\r\n" in r["block"]
+        else:
+            assert "<p>" not in r["block"] and "track(" not in r["block"]
+    assert warc.plain_text("<p>a &amp; b<br>c<script>x<b></script><!-- n --> d</p>e<td>f</td>g") == "a & b\nc d\ne f g"
+    odd = spark.createDataFrame([(None, None, None), ("", "u", "r"), ("<p", "u", "r"), ("<a href='/x'>t</a><script>" + "<" * 50000, None, "s"), ("<a href='/x'>t</a>", None, "s")], "html string, url string, record_id string")
+    got = warc.derivatives(odd).collect()
+    assert len(got) == 10 and sum("outlink: /x" in r["block"] for r in got) == 2
+    assert warc.derivatives(odd.limit(0)).collect() == []
+
+
+def test_pii(spark, docs, odd):
+    def base(df):
+        out = pii.personal_data(df)
+        return out.select("doc_id", *(pii.count_kind("base", i) for i in range(4)), F.sha2(pii.written(F.col("base")), 256))
+
+    same(base(docs), brute.pii(pairs(docs)))
+    same(base(odd), brute.pii(pairs(odd)))
+    same(base(empty(spark)), [])
+
+
+def test_pii_contexts(spark):
+    known = [(i, f"in word {i} my contact is user{i}@mail.example.com thanks") for i in range(30)]
+    hidden = [(100 + i, f"but my contact is user-{i}-4455667 ok and it is fine") for i in range(5)]
+    clean = [(200 + i, f"version is fine and number abc{i}12345 stands alone of course") for i in range(30)]
+    df = spark.createDataFrame([*known, *hidden, *clean, (None, None), (7, "")], "doc_id long, text string")
+    out = pii.personal_data(df, keep=("text",)).select("doc_id", "text", pii.written(F.col("spans")).alias("s"), pii.masked(F.col("text"), F.col("spans")).alias("m"))
+    for r in out.collect():
+        if r["doc_id"] is not None and 100 <= r["doc_id"] < 200:
+            at = r["text"].index("user-")
+            assert r["s"] == f"context:{at}:{r['text'].index(' ok')}" and "contact is [CONTEXT] ok" in r["m"]
+        elif r["doc_id"] is not None and r["doc_id"] >= 200:
+            assert r["s"] == "" and r["m"] == r["text"]
+        elif r["doc_id"] is not None and r["text"]:
+            assert r["s"].startswith("email:") and "[EMAIL] thanks" in r["m"]
+
+
+def test_decontaminate(spark, docs, odd, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    more = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "a b"), (5, " ".join(w for w in odd.where("doc_id = 9").first()["text"].split()[5:40])), (None, "x y x y"), (5, "two, WORDS"), (5, "two, WORDS"), (6, "x " * 20)], "item_id long, text string")
+    for d, i in ((docs, items), (odd, more), (odd, items), (docs, more)):
+        out = lambda: decontaminate.contamination(d, i).drop("items")  # noqa: B023, E731
+        want = brute.contamination(pairs(d), [tuple(r) for r in i.select("item_id", "text").collect()])
+        same(out(), want)
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, "BLOCK", 60 if i is more else 4000)
+            same(out(), want)
+    same(decontaminate.contamination(empty(spark), items).drop("items"), [])
+    assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_quality(spark, docs, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = quality_rules.judge(docs, labels)
+    same(judged.select(columns), brute.quality(pairs(docs)))
+    wide = quality_rules.judge(odd.drop("n_words"), labels)
+    same(wide.select(columns), brute.quality(pairs(odd)))
+    assert wide.where("kept and base_failed").count() == 0 and wide.where("kept is null").count() == 0
+    none = quality_rules.judge(docs, labels.limit(0))
+    assert none.where("abs(llr) > 1e-9 or kept = base_failed").count() == 0
+    same(quality_rules.judge(empty(spark).drop("n_words"), labels).select(columns), [])
+
+
+def test_mixing(spark, docs, odd):
+    for df in (docs, odd, empty(spark)):
+        rows = mixing.mixture(df).collect()
+        again = mixing.mixture(df.repartition(5)).collect()
+        assert sorted(map(repr, rows)) == sorted(map(repr, again)) and len(rows) == df.count()
+        sizes = Counter()
+        for r in rows:
+            sizes[r["source"]] += r["size"]
+        want = brute.targets(sizes) if sizes else {}
+        taken, largest = defaultdict(int), defaultdict(int)
+        for r in rows:
+            assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]])
+            assert r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+            taken[r["source"]] += r["taken"]
+            largest[r["source"]] = max(largest[r["source"]], r["size"])
+        assert all(abs(taken[s] - want[s]) <= largest[s] for s in taken)
+
+
+def test_importance(spark, docs, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    out = importance.resample(docs, labels, share=0.25).collect()
+    keys = sorted((r["gumbel_key"] for r in out if r["gumbel_key"] is not None), reverse=True)
+    chosen = sorted((r["gumbel_key"] for r in out if r["selected"]), reverse=True)
+    assert chosen == keys[: int(len(keys) * 0.25)]
+    rows = importance.resample(odd, labels, share=0.5).collect()
+    assert len(rows) == odd.count() and all((r["log_ratio"] is None) <= (not r["selected"]) for r in rows)
+    assert importance.resample(empty(spark), labels).collect() == []
+
+
+def test_golay():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 1 << 23, 3000)
+    flip = (1 << rng.integers(0, 23, 3000)) ^ (1 << rng.integers(0, 23, 3000))
+    a, b = simhash_dedup.golay_keys(v), simhash_dedup.golay_keys(v ^ flip)
+    assert all(set(x[x >= 0]) & set(y[y >= 0]) for x, y in zip(a, b, strict=True))
+    assert {int((x >= 0).sum()) for x in a} == {1, 6}
+
+
+def test_simhash(spark, docs, odd, monkeypatch):
+    get = lambda df: simhash_dedup.near_duplicates(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    same(get(docs), brute.simhash(pairs(docs)))
+    same(get(odd), brute.simhash(pairs(odd)))
+    same(get(empty(spark)), [])
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 1)  # everything by the balls
+    same(get(docs), brute.simhash(pairs(docs)))
+
+
+def test_links_are_complete(spark):
+    rng = random.Random(3)
+    seeds = [rng.getrandbits(64) for _ in range(6)]
+    fps = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for s in seeds for _ in range(60)}
+    signed = {f - (1 << 64) if f >> 63 else f for f in fps}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {r["node"]: r["root"] for r in graph.components(simhash_dedup.links(df)).collect()}
+    for a in signed:
+        for b in signed:
+            if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
+                assert got[a] == got[b]
+    groups = defaultdict(list)
+    for a, r in got.items():
+        groups[r].append(a)
+    for members in groups.values():  # and nothing else is linked
+        seen, todo = {members[0]}, [members[0]]
+        while todo:
+            x = todo.pop()
+            for y in members:
+                if y not in seen and ((x ^ y) & ((1 << 64) - 1)).bit_count() <= 2:
+                    seen.add(y)
+                    todo.append(y)
+        assert seen == set(members)
+
+
+def test_components_of_paths(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)]
+    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1100)}
+
+
+def test_language_id(spark, docs, odd):
+    out = queries.op10_language_id(spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.97
+    model = language_id.learn(odd)
+    rows = language_id.identify(odd, model, keep=("doc_id", "text")).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert all((r["lang_pred"] == "und") == (not language_id.words(r["text"])) for r in rows)
+    nothing = language_id.identify(odd, language_id.learn(empty(spark))).collect()
+    assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, kept = kept, spark.createDataFrame(stage(spark, kept, SF).toPandas())
+        if name != "mix":
+            assert kept.columns == docs.columns
+        b, k = pairs(before), None if name == "mix" else pairs(kept)
+        if name == "dedup":
+            groups = {c for _, _, c in brute.simhash(b)}
+            assert {d for d, _ in k} == groups
+        elif name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+            assert {d for d, _ in k} == {r[0] for r in brute.contamination(b, items) if not r[-1]}
+        elif name == "pii":
+            assert len(b) == len(k) and not any(brute.base_pii(t) for _, t in k)
+        elif name == "quality":
+            assert {d for d, _ in k} <= {r[0] for r in brute.quality(b) if not r[-1]} and len(k) > 0.6 * len(b)
+    assert corpus_pipeline.run(spark, SF).count() == kept.count()
