@@ -29,6 +29,7 @@ SUPPORT = 3
 ROUNDS = 3
 CONFIDENT = 0.8
 BROADCAST = 100_000
+PART = 16
 _BLOCK = 256
 
 _AT = r"(?:(?<![{0}])|\G)"
@@ -117,13 +118,18 @@ def discovered(docs: DataFrame, text: str, id: str) -> DataFrame:
     rows = with_base(slim, "_text").withColumn("_all", _entities()).select("_id", "_key", F.explode(_mentions(F.col("_text"), F.col("_all"))).alias("m")).select("_id", "_key", "m.*").where("pattern is not null")
     mentions = checkpointed(rows)
     edges = mentions.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    ranked = edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= SUPPORT).select("pattern")
-    patterns = checkpointed(ranked)
-    k = patterns.count()
-    small = lambda df: F.broadcast(df) if k <= BROADCAST else df
+    patterns = checkpointed(edges.groupBy("pattern").agg(F.count("*").alias("size"), F.sum("n").alias("mentions")).where(F.col("size") >= SUPPORT))
     words = let(F.filter(F.split(F.lower(F.col("_text")), r"\s+", -1), lambda w: w != ""), lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda b, i: F.xxhash64(F.get(w, i), b)))
-    keyed = patterns.withColumn("pair", F.xxhash64(F.split("pattern", " ")[0], F.split("pattern", " ")[1]))
-    seen = slim.where("_text is not null").select(F.explode(words).alias("pair")).join(small(keyed), "pair").groupBy("pattern").agg(F.count("*").alias("total"))
+
+    def occurrences(rows: DataFrame, of: DataFrame) -> DataFrame:
+        keyed = of.select("pattern", F.xxhash64(F.split("pattern", " ")[0], F.split("pattern", " ")[1]).alias("pair"))
+        keyed = F.broadcast(keyed) if of.count() <= BROADCAST else keyed
+        return rows.where("_text is not null").select(F.explode(words).alias("pair")).join(keyed, "pair").groupBy("pattern").agg(F.count("*").alias("total"))
+
+    # What a pattern occurs in a part of the corpus bounds its confidence from above: everyday words are out before all is counted.
+    part = occurrences(slim.where(F.pmod(F.xxhash64("_id", "_key"), F.lit(PART)) == 0), patterns)
+    patterns = checkpointed(patterns.join(part, "pattern", "left").where(F.col("mentions") >= CONFIDENT * F.coalesce("total", F.lit(0))).select("pattern"))
+    seen = occurrences(slim, patterns)
     edges = checkpointed(edges.join(seen, "pattern"))  # instances of patterns with support, and the occurrences of each pattern
     scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     confident = None
