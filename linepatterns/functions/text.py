@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def rewritten(word: Column, config: MinerConfig) -> Column:
         pattern = java_pattern(search, python=True)
 
         @F.pandas_udf("string")
-        def again(words: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+        def again(words: pd.Series) -> pd.Series:
             found = re.compile(pattern)
             return words.map(lambda w: rewrite_word(w, found, new), na_action="ignore")
 
