@@ -155,7 +155,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", wind
     base = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
     runs = base.mapInArrow(_find_runs(window), f"_id {kind}, _key long, _run long, _prefix long, _context long")
-    twice = runs.groupBy("_prefix").count().where("count > 1").select("_prefix")
+    twice = checkpointed(runs.groupBy("_prefix").count().where("count > 1").select("_prefix"))  # a table of its own, so that Spark can split a hot prefix in the join
     runs = checkpointed(runs.join(twice, "_prefix"))
     contexts = runs.groupBy("_prefix", "_context").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_key", "_run")).alias("_one"))
     several = contexts.groupBy("_prefix").agg(F.count("*").alias("_size")).where("_size > 1")
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", wind
         covered = covered.unionByName(longer.join(nodes, ["_prefix", "_node"]).groupBy("_prefix", "_context").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi")))
     whole = listed.where("_n > 1").select("_prefix", "_context", F.lit(0).cast("long").alias("_lo"), F.lit(None).cast("long").alias("_hi"))
     part = covered.join(listed.where("_n > 1").select("_prefix", "_context"), ["_prefix", "_context"], "left_anti")
-    found = runs.join(whole.unionByName(part), ["_prefix", "_context"]).select("_id", "_key", (F.shiftright("_run", 16) + F.col("_lo")).alias("_lo"), (F.shiftright("_run", 16) + F.coalesce("_hi", F.col("_run").bitwiseAND(0xFFFF)) + window).alias("_hi"))
+    found = runs.join(checkpointed(whole.unionByName(part)), ["_prefix", "_context"]).select("_id", "_key", (F.shiftright("_run", 16) + F.col("_lo")).alias("_lo"), (F.shiftright("_run", 16) + F.coalesce("_hi", F.col("_run").bitwiseAND(0xFFFF)) + window).alias("_hi"))
     spans = found.groupBy("_id", "_key").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_spans"))
 
     kept = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"), *(F.col(k) for k in keep))
