@@ -136,5 +136,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     roots = components(links(firsts.select("fp")))
     grouped = firsts.join(roots, firsts["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("first"))
     moved = roots.join(grouped, "root").select(F.col("node").alias("fp"), F.col("first").alias("reached"))
-    label = firsts.join(moved, "fp", "left").select("fp", F.when(F.col("reached").isNull(), F.col("first")).otherwise(F.col("reached")).alias("component_id"))
+    label = checkpointed(firsts.join(moved, "fp", "left").select("fp", F.when(F.col("reached").isNull(), F.col("first")).otherwise(F.col("reached")).alias("component_id")))  # a table of its own, so that Spark can split a hot fingerprint in the join
     return prints.join(label, "fp").select(id, "fp", "component_id")
