@@ -1,0 +1,166 @@
+"""Near duplicates by the Jaccard similarity of word shingles, exactly.
+
+A text is the set of the hashes of its shingles of ``width`` words (all its words, if there are fewer), letters A-Z lowered.
+Texts with a similarity of ``similar`` per cent or more are linked. Shingles and sets are told apart by 64-bit hashes alone.
+SimHash distance can't stand in for this: texts that are 0.8 alike differ in some ten bits of 64, more or less.
+
+Candidates. Two sets that are alike share at least ``similar`` per cent of the larger, so under any one order of all shingles
+they share one among the first n - ceil(n * similar / 100) + 1 of each. The order is by a table of ``SLOTS`` counts, rare
+slots first, so what many texts share is seldom looked up. The table only sets the order; it never changes results.
+
+Verification. Under a key that at most ``BUCKET`` sets share, all pairs that their sizes and the key's places allow are compared. A larger key's
+sets are compared with its smallest first; pairs are then compared only where they aren't in one component yet.
+
+Equal sets are one node, and texts without words are all equal.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from linepatterns.llm._words import SPACED, Sums, checkpointed, chunks, mix
+from linepatterns.llm.graph import components
+
+BUCKET = 16
+SLOTS = 1 << 16
+MARKS = 1 << 20
+
+
+def shingle_sets(texts: list[bytes | None], width: int):
+    """(shingle, text, first, size, sig) for some texts at a time: distinct shingles by text, then where each text's are, how many, and their hash."""
+    for c in chunks(texts, SPACED, lower=True):
+        n = np.diff(c.at)
+        many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+        text = np.repeat(np.arange(len(n)), many)
+        lo = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + c.at[:-1][text]
+        shingle = Sums(c.ids).of(lo, lo + np.minimum(n, width)[text])
+        order = np.lexsort((shingle, text))
+        text, shingle = text[order], shingle[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
+        text, shingle = text[new], shingle[new]
+        size = np.bincount(text, minlength=len(n))
+        first = np.cumsum(size) - size
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle + np.uint64(0x9E3779B97F4A7C15)))])
+        sig = np.where(size > 0, mix(sums[first + size] - sums[first] + size.astype(np.uint64)), np.uint64(0)).view(np.int64)
+        yield shingle, text, first, size, sig
+
+
+def _texts(batch) -> list:
+    return batch.column("_text").cast(pa.binary()).to_pylist()
+
+
+def signatures(docs: DataFrame, text: str, id: str, width: int) -> DataFrame:
+    """``id`` and sig, a row for each row."""
+    base = docs.select(id, F.col(text).alias("_text"))
+
+    def take(batches):
+        for batch in batches:
+            sig = [s[4] for s in shingle_sets(_texts(batch), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64))], names=[id, "sig"])
+
+    return base.mapInArrow(take, f"`{id}` {base.schema[id].dataType.simpleString()}, sig long")
+
+
+def _slot(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(48)).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    def take(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for shingle, *_ in shingle_sets(_texts(batch), width):
+                counts += np.bincount(_slot(shingle), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.mapInArrow(take, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # SLOTS rows at most
+        counts[slot] = n
+    return counts
+
+
+def prefixes(texts: DataFrame, width: int, similar: int, counts) -> DataFrame:
+    """(key, sig, n, place): each set under the first of its shingles, and the place of each."""
+
+    def take(batches):
+        for batch in batches:
+            for shingle, text, first, size, sig in shingle_sets(_texts(batch), width):
+                order = np.lexsort((shingle, counts.value[_slot(shingle)], text))
+                place = np.arange(len(text)) - first[text]
+                here = place <= (size + (-size * similar) // 100)[text]  # n - ceil(n * similar / 100)
+                of = text[here]
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[order][here].view(np.int64)), pa.array(sig[of]), pa.array(size[of]), pa.array(place[here])], names=["key", "sig", "n", "place"])
+
+    return texts.mapInArrow(take, "key long, sig long, n long, place long")
+
+
+def sets_of(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """(sig, set) of the sigs in ``wanted``, once each."""
+    marks = np.zeros(MARKS, bool)  # tells most others before they are shuffled
+    marks[[r[0] for r in wanted.select(F.col("sig").bitwiseAND(MARKS - 1).alias("m")).distinct().collect()]] = True
+    marks = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def take(batches):
+        for batch in batches:
+            for shingle, text, first, size, sig in shingle_sets(_texts(batch), width):
+                _, once = np.unique(sig, return_index=True)
+                keep = once[(size[once] > 0) & marks.value[sig[once] & (MARKS - 1)]]
+                taken = [shingle[a : a + b].view(np.int64) for a, b in zip(first[keep].tolist(), size[keep].tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
+                values = pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.ListArray.from_arrays(pa.array(ends), values)], names=["sig", "set"])
+
+    found = texts.mapInArrow(take, "sig long, set array<long>").join(wanted, "sig", "left_semi")
+    return found.groupBy("sig").agg(F.first("set").alias("set"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) that are alike."""
+    left, right = sets.select(F.col("sig").alias("a"), F.col("set").alias("_a")), sets.select(F.col("sig").alias("b"), F.col("set").alias("_b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    return both.where(100 * F.col("_n") >= similar * (F.size("_a") + F.size("_b") - F.col("_n"))).select("a", "b")
+
+
+def links(docs: DataFrame, text: str, width: int, similar: int) -> DataFrame:
+    """(node, root) of the sigs that are alike but not equal."""
+    texts = docs.select(F.col(text).alias("_text"))
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(texts, width))
+    entries = prefixes(texts, width, similar, counts)
+    shared = entries.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
+    filed = checkpointed(entries.join(shared, "key").groupBy("key", "sig").agg(F.first("n").alias("n"), F.first("place").alias("place")))
+    size = filed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("sig", "n")).alias("least"))
+    sized = filed.join(size, "key")
+    fits = lambda x, y: (100 * F.least(x, y) >= similar * F.greatest(x, y))
+    side = lambda df, s, *more: df.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), (F.col("n") - F.col("place")).alias(f"left_{s}"), *more)
+    may = (100 + similar) * F.least("left_a", "left_b") >= similar * (F.col("n_a") + F.col("n_b"))  # if the key is the first that they share, no more than what is left from there is shared
+    few = sized.where(f"m <= {BUCKET}")
+    near = side(few, "a").join(side(few, "b"), "key").where("a < b").where(may).select("a", "b")
+    stars = sized.where(f"m > {BUCKET}").where(F.col("sig") > F.col("least.sig")).where(fits(F.col("n"), F.col("least.n"))).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"))
+    pairs = checkpointed(near.unionByName(stars).distinct())
+    many = filed.join(size.where(f"m > {BUCKET}").select("key"), "key")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(many.select("sig")).distinct()
+    sets = checkpointed(sets_of(texts, width, checkpointed(wanted)))
+    edges = checkpointed(verified(pairs, sets, similar))
+    roots = components(edges)
+    named = checkpointed(many.join(roots, many["sig"] == roots["node"], "left").select("key", "sig", "n", "place", F.coalesce("root", "sig").alias("root")))
+    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    named = named.join(apart, "key")
+    rest = side(named, "a", F.col("root").alias("r_a")).join(side(named, "b", F.col("root").alias("r_b")), "key").where("a < b and r_a <> r_b").where(may).select("a", "b").distinct()
+    more = checkpointed(verified(rest, sets, similar))
+    return components(edges.unionByName(more)) if more.head(1) else roots
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, similar: int = 80) -> DataFrame:
+    """``id``, sig and component_id (the smallest id that links reach, its own included), a row for each row."""
+    rows = checkpointed(signatures(docs, text, id, width))
+    firsts = rows.groupBy("sig").agg(F.min(id).alias("first"))
+    roots = checkpointed(links(docs, text, width, similar))
+    named = firsts.join(roots, firsts["sig"] == roots["node"], "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = checkpointed(named.join(least, "root").select("sig", "component_id"))  # a table of its own, so that Spark can split a hot sig in the join
+    return rows.join(label, "sig").select(id, "sig", "component_id")

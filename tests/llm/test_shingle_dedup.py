@@ -1,0 +1,72 @@
+"""Exact near duplicates against all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from linepatterns.llm import shingle_dedup
+from tests.llm.test_operators import awkward, pairs, same
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string"
+
+
+def brute(docs, width=5, similar=80):
+    sets = []
+    for _, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 100 * len(a & b) >= similar * len(a | b) > 0:
+                root[find(i)] = find(j)
+    first = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            first[find(i)] = min(d, first.get(find(i), d))
+    return [(d, first.get(find(i))) for i, (d, _) in enumerate(docs)]
+
+
+def edited():
+    """Groups of texts with up to 8 of 100 words changed, and texts that share half of their words with many."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows, common = [], [word() for _ in range(50)]
+    for _ in range(4):
+        base = [word() for _ in range(100)]
+        for _ in range(40):
+            w = list(base)
+            for at in rng.sample(range(100), rng.randint(0, 8)):
+                w[at] = word()
+            rows.append(" ".join(w))
+    rows += [" ".join(common + [word() for _ in range(rng.randint(0, 60))]) for _ in range(60)]
+    return [(i * 7 % 1009, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("bucket", [16, 1])
+def test_against_all_pairs(spark, monkeypatch, bucket):
+    monkeypatch.setattr(shingle_dedup, "BUCKET", bucket)
+    rows = edited() + [(2000 + i, r[1]) for i, r in enumerate(awkward())] + [(None, "one two three four five six"), (None, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    same(shingle_dedup.near_duplicates(df).select("doc_id", "component_id"), brute(rows))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same(shingle_dedup.near_duplicates(docs).select("doc_id", "component_id"), brute(pairs(docs)))
+
+
+def test_stage_drops_edited_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {d for d, _ in pairs(corpus_pipeline.dedup(spark, docs, SF))}
+    assert kept == {c for _, c in brute(pairs(docs))}
+    assert not {145, 177} & kept  # 7 and 11 bits from 6 and 1
+
+
+def test_no_rows(spark):
+    assert shingle_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
