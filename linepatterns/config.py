@@ -13,7 +13,10 @@ log = logging.getLogger("linepatterns")
 
 @dataclass(frozen=True)
 class MinerConfig:
-    """``support``: lines a word or pattern needs (absolute); ``rsupport``: the same as a percentage of all lines, if support is None."""
+    """``support``: lines a word or pattern needs (absolute); ``rsupport``: the same as a percentage of all lines, if support is None.
+
+    ``max_words``: words of a line after so many are dropped; None keeps all, 512 is what the C reference does.
+    """
 
     support: int | None = None
     rsupport: float | None = None
@@ -32,7 +35,7 @@ class MinerConfig:
     outputmode: int = 0
     detailtoken: bool = False
     outliers_use_rewrite: bool = False
-    max_words: int = 512
+    max_words: int | None = None
     broadcast_words: int = 1_000_000
 
     def __post_init__(self):
@@ -48,7 +51,7 @@ class MinerConfig:
         need(0 <= self.wweight <= 1, "wweight lies between 0 and 1")
         need(self.weightf in (1, 2), "weightf is 1 or 2")
         need(self.outputmode in (0, 1), "outputmode is 0 or 1")
-        need(self.max_words > 0, "max_words must be positive")
+        need(self.max_words is None or self.max_words > 0, "max_words must be positive")
         need(self.wfilter is None or (self.wsearch is not None and self.wreplace is not None), "wfilter needs wsearch and wreplace")
         for name in ("separator", "lfilter", "wfilter", "wsearch"):
             if (value := getattr(self, name)) is not None:

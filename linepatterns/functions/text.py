@@ -34,7 +34,8 @@ def split_words(line: Column, config: MinerConfig) -> Column:
     """Positional words: a leading separator gives an empty word, a trailing one none, and an empty line no words."""
     words = F.split(line, java_pattern(config.separator), -1)
     size = F.size(words)
-    words = F.slice(words, 1, F.least(F.when((size > 1) & (F.get(words, size - 1) == ""), size - 1).otherwise(size), F.lit(config.max_words)))
+    keep = F.when((size > 1) & (F.get(words, size - 1) == ""), size - 1).otherwise(size)
+    words = F.slice(words, 1, keep if config.max_words is None else F.least(keep, F.lit(config.max_words)))
     return F.when(F.coalesce(line, F.lit("")) == "", F.array().cast("array<string>")).otherwise(words)
 
 

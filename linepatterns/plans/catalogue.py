@@ -38,7 +38,7 @@ def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config(**options) -> MinerConfig:
-    return MinerConfig(**({"rsupport": PERCENT} | options))
+    return MinerConfig(**({"rsupport": PERCENT, "max_words": 512} | options))  # the SQL has the reference's limit
 
 
 def miner(spark: SparkSession, sf_dir: str, **options) -> LineMiner:
