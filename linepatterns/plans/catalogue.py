@@ -7,7 +7,6 @@ queries mean the same at every size.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from linepatterns.config import MinerConfig
 from linepatterns.functions.text import after_offset, from_template, passes_filter, rewritten
 from linepatterns.operators import aggregate, candidates, vocabulary
 from linepatterns.plans.miner import LineMiner
+from linepatterns.sources.shared import shared_folder
 from linepatterns.sources.text import read_lines
 
 PERCENT = 1.0
@@ -270,8 +270,7 @@ def run_summary(spark, sf_dir):
 
 def clusters_text_source(spark, sf_dir):
     """Through text files, as from a log folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lines-")
-    path = os.path.join(shared, f"ev-{os.urandom(6).hex()}")
+    path = os.path.join(shared_folder(spark), f"ev-{os.urandom(6).hex()}")
     ev(spark, sf_dir).select("line").write.text(path)
     return LineMiner(read_lines(spark, [f"{path}/part-*"]), config()).report().select("pattern", "support")
 
