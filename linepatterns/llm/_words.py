@@ -5,14 +5,16 @@ Texts are taken in chunks of about a megabyte, so memory does not depend on the
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linepatterns.sources.shared import shared_folder
+
 CHUNK = 1 << 20
+HOT = 1000
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SEPARATORS = bytes([*range(9, 14), 32])
 #: Java's class for the same separators
@@ -22,9 +24,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut."""
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,6 +33,32 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def labelled(rows: DataFrame, labels: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``rows`` with the other columns of ``labels``: a label for each key, and n, the rows of that key. Rows without a label go.
+
+    Keys of more than n_rows / HOT rows, fewer than HOT in all, are broadcast, so none of them is dealt to one task.
+    """
+    own = [c for c in labels.columns if c not in (key, "n")]
+    hot = F.broadcast(labels.where(F.col("n") * HOT > n_rows).select(F.col(key).alias("_hot"), F.struct(*own).alias("_label")))
+    met = rows.join(hot, rows[key] == F.col("_hot"), "left").drop("_hot")
+    few = met.where("_label is null").drop("_label").join(labels.where(F.col("n") * HOT <= n_rows).drop("n"), key)
+    return met.where("_label is not null").select(*rows.columns, "_label.*").unionByName(few)
+
+
+def bit_table(keys: DataFrame, hashed: Column, bits: int = 1 << 22) -> Callable[[Column], Column]:
+    """A test whether a hash may be among those of ``keys``; a table of fixed size, so it only spares work and never decides."""
+    place = F.pmod(hashed, F.lit(bits))
+    set_bits = keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("at").agg(F.bit_or("b").alias("b"))
+    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "at").join(set_bits, "at", "left").select("at", F.coalesce("b", F.lit(0)).alias("b"))
+    table = checkpointed(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]).alias("table"))).scalar()
+
+    def may_hold(value: Column) -> Column:
+        p = F.pmod(value, F.lit(bits))
+        return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    return may_hold
+
+
 class _Powers:
     """base ** 0, 1, 2 ... modulo 2 ** 64, grown on demand."""
 
@@ -115,3 +141,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
+
+
+def window_names(words: np.ndarray, window: int) -> np.ndarray:
+    """A number for each run of ``window`` words: equal numbers for equal words.
+
+    By doubling, as the levels of a suffix tree: a run of 2d words is a pair of runs of d words.
+    """
+    name, depth = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while depth < window:
+        step = min(depth, window - depth)
+        pair = name[: len(name) - step] * (len(words) + 1) + name[step:]
+        name, depth = np.unique(pair, return_inverse=True)[1].astype(np.int64), depth + step
+    return name

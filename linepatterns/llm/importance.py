@@ -4,10 +4,11 @@ Features are words and pairs of neighbouring words (A-Z lower-cased), hashed to
 over the buckets with add-one smoothing. The raw model counts every row. The target model counts at most about ``sample``
 of the target rows, drawn by a hash of their id. A row's log ratio is the sum over its features of log(target / raw); its
 key is that plus a Gumbel variate, which a hash of its id, text and the seed fixes. The ``k`` largest keys are selected
-(``share`` of the rows that have words, rounded down), exactly, by counting keys in ranges and ranking only the range in
-which the last place falls.
+(``share`` of the rows that have words, rounded down), exactly, by counting keys in ever finer ranges and ranking only the rows
+of the last range, 10,000 at most unless their keys are equal.
 
-Nulls and texts without words have log ratio and key null and are never selected. Ties on the key are broken by id and text hash.
+Nulls and texts without words have log ratio and key null and are never selected. Ties on the key are broken by id and text hash;
+repeated rows have equal keys. Without target rows the ratio is that of a uniform target. Extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,20 +81,28 @@ def resample(docs: DataFrame, target_ids: DataFrame, text: str = "text", id: str
     return top(scored, "gumbel_key", share, ["_id", "_key"]).select(F.col("_id").alias(id), "log_ratio", "gumbel_key", "selected")
 
 
-def top(df: DataFrame, key: str, share: float, ties: list[str], ranges: int = 4096) -> DataFrame:
-    """``df`` with ``selected``: whether ``key`` (null: never) is among the largest ``share`` of those that are not null."""
+def top(df: DataFrame, key: str, share: float, ties: list[str], ranges: int = 4096, border: int = 10_000) -> DataFrame:
+    """``df`` with ``selected``: whether ``key`` (null: never) is among the largest ``share`` of those that are not null.
+
+    Keys are counted in ``ranges`` equal parts of an interval, and the part in which the last place falls becomes the next
+    interval, until it holds at most ``border`` rows or a single value. Only its rows are ranked; ties are ordered by ``ties``.
+    """
     low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
     k = int(n * share)
     if not k:
         return df.withColumn("selected", F.lit(False))
-    part = F.floor((F.col(key) - low) / (max(high - low, 1e-300)) * ranges)
-    above, border = 0, None
-    for r in df.where(F.col(key).isNotNull()).groupBy(part.alias("part")).count().orderBy(F.desc("part")).collect():  # at most ranges + 1 rows
-        if above + r["count"] >= k:
-            border = r["part"]
+    above, held = 0, n
+    while held > border and low < high:
+        inside = df.where(F.col(key).between(low, high))
+        part = F.least(F.floor((F.col(key) - low) / (high - low) * ranges), F.lit(ranges - 1))
+        before = (low, high)
+        for r in inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy(F.desc("part")).collect():  # at most ``ranges`` rows
+            if above + r["n"] >= k:
+                low, high, held = r["low"], r["high"], r["n"]
+                break
+            above += r["n"]
+        if (low, high) == before:  # as fine as doubles go
             break
-        above += r["count"]
-    df = df.withColumn("_part", part)
-    edge = df.where(F.col("_part") == border).withColumn("selected", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(key), *ties)) <= k - above)
-    rest = df.where(~F.col("_part").eqNullSafe(F.lit(border))).withColumn("selected", F.coalesce(F.col("_part") > border, F.lit(False)))
-    return edge.unionByName(rest).drop("_part")
+    edge = df.where(F.col(key).between(low, high)).withColumn("selected", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key), *ties)) <= k - above)
+    rest = df.where(~F.coalesce(F.col(key).between(low, high), F.lit(False))).withColumn("selected", F.coalesce(F.col(key) > high, F.lit(False)))
+    return edge.unionByName(rest)

@@ -5,9 +5,10 @@ over is shared again by weight until none is above. That ends at one water level
 With the sources in the order of cap * size / weight, those below the level come first, and running sums give the level.
 
 Sampling. Each row is taken target // size whole times. The fraction that is left is filled with whole rows in the order
-of a seeded hash of id and text: sizes are summed over 4,096 ranges of the hash, ranges below the border are taken, and only the
-rows of the one range on the border are ranked. So a source comes within one row of its target, a hot source is never in one
-task, and reruns agree.
+of a seeded hash of id and text: sizes are summed over 4,096 ranges of the hash, ranges below the border are taken, and the
+range on the border is cut into 4,096 again, and those once more. Only rows of the last range on the border, one in 2 ** 36 of
+a source, are ranked. So a source comes within one row of its target, no task gets a share of a source that grows in practice
+(rows that repeat with their id share a hash and stay together), and reruns agree.
 
 Sources are ordered by code point, null last, and weigh 1, 2, 3, repeating, unless ``weights`` has them. Nulls and empty texts
 have size 0 and are taken 0 times. Repeated rows are separate rows with an equal hash; which of them is taken at the border is
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from linepatterns.llm._words import WORD_GAP, checkpointed
 
 BROADCAST = 10_000
+LEVELS = 3
 
 
 def targets(sources: DataFrame, cap: int) -> DataFrame:
@@ -37,7 +39,7 @@ def targets(sources: DataFrame, cap: int) -> DataFrame:
 def mixture(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: DataFrame | None = None, cap: int = 3, seed: int = 11) -> DataFrame:
     """``id``, source, _key (a hash of the text), size, source_size, target and taken, a row for each row. weights: (source, weight), positive."""
     sized = docs.select(F.col(id).alias("_id"), F.col(source).alias("source"), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), WORD_GAP, -1), "")).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("_key"))
-    sized = checkpointed(sized.withColumn("_draw", F.xxhash64(F.lit(seed), "_id", "_key")).withColumn("_part", F.shiftrightunsigned("_draw", 52)))
+    sized = checkpointed(sized.withColumn("_draw", F.xxhash64(F.lit(seed), "_id", "_key")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
@@ -49,13 +51,18 @@ def mixture(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str
     few = plan.count() <= BROADCAST
     small = lambda df: F.broadcast(df) if few else df
     same = F.col("source").eqNullSafe(F.col("_source"))
-    running = Window.partitionBy("source").orderBy("_part")
-    parts = sized.where("size > 0").groupBy("source", "_part").agg(F.sum("size").alias("_size")).withColumn("_upto", F.sum("_size").over(running))
-    rests = plan.select(F.col("source").alias("_source"), "_rest")
-    over = parts.join(small(rests), same).where("_upto > _rest").groupBy("source").agg(F.min_by(F.struct(F.col("_part").alias("_border"), (F.col("_upto") - F.col("_size")).alias("_before")), "_part").alias("_at"))
-    plan = plan.join(small(over.select(F.col("source").alias("_source"), "_at.*")), same, "left").drop("_source")
-    rows = sized.join(small(plan.withColumnRenamed("source", "_source")), same).drop("_source")
-    edge = rows.where("size > 0 and _part = _border").withColumn("_upto", F.sum("size").over(Window.partitionBy("source").orderBy("_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    place = lambda level: F.shiftrightunsigned("_draw", 64 - 12 * level)
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_rest", F.lit(0).cast("long").alias("_border"), F.lit(0).cast("long").alias("_before"))  # _border: the range that holds the border, null if all rows are taken
+    for level in range(1, LEVELS + 1):
+        inside = sized.where("size > 0").join(small(plan), same)
+        if level > 1:
+            inside = inside.where(place(level - 1) == F.col("_border"))
+        parts = inside.groupBy("source", place(level).alias("_part")).agg(F.sum("size").alias("_size"), F.first("_before").alias("_from"), F.first("_rest").alias("_rest"))
+        parts = parts.withColumn("_upto", F.col("_from") + F.sum("_size").over(Window.partitionBy("source").orderBy("_part")))
+        over = parts.where("_upto > _rest").groupBy("source").agg(F.min_by(F.struct("_part", (F.col("_upto") - F.col("_size")).alias("_before")), "_part").alias("_at"))
+        plan = checkpointed(plan.drop("_border", "_before").join(small(over.select(F.col("source").alias("_s"), F.col("_at._part").alias("_border"), F.col("_at._before").alias("_before"))), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
+    rows = sized.join(small(plan), same).drop("_source").withColumn("_place", place(LEVELS))
+    edge = rows.where("size > 0 and _place = _border").withColumn("_upto", F.sum("size").over(Window.partitionBy("source").orderBy("_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("_more", (F.col("_before") + F.col("_upto") - F.col("size") / 2 <= F.col("_rest")).cast("long")).drop("_upto")
-    rest = rows.where("not (size > 0 and _part <=> _border)").withColumn("_more", (F.coalesce(F.col("_part") < F.col("_border"), F.lit(True)) & (F.col("_rest") > 0)).cast("long"))
+    rest = rows.where("not (size > 0 and _place <=> _border)").withColumn("_more", (F.coalesce(F.col("_place") < F.col("_border"), F.lit(True)) & (F.col("_rest") > 0)).cast("long"))
     return edge.unionByName(rest).select(F.col("_id").alias(id), "source", "_key", "size", "source_size", "target", ((F.col("_whole") + F.col("_more")) * F.col("size")).cast("long").alias("taken"))

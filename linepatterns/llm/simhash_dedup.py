@@ -1,6 +1,6 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A fingerprint has 64 bits: a bit is 1 if it is set in over half of the XXH64 (seed 42) of the text's shingles of three
+A fingerprint has 64 bits: a bit is 1 if it is set in over half of the XXH64 (seed 42) of the text's shingles of ``width``
 words, repeats included. Two texts are linked if their fingerprints differ in at most two bits.
 
 Candidates. The fingerprint is cut into segments of 22, 21 and 21 bits. With two differing bits over three segments, at
@@ -8,14 +8,18 @@ least one segment is equal, and any other differs in two bits at most. The (23,
 lies within three bits of exactly one of its 4,096 codewords. The codewords of a word and of its 23 neighbours number one
 or six, and two words that differ in two bits at most have one in common, that of the word between them. So a fingerprint
 is filed, for each of its segments in turn, under that segment as it is and each codeword near the next one: up to 18 keys.
+Keys are counted with partial sums; a fingerprint that has no company under any key has no link and goes.
 
-Verification. Different fingerprints under one key are joined and compared, where at most ``BUCKET`` share it. Beyond that,
-the key's fingerprints are each filed under the 65 fingerprints within one bit; those in one such ball are within two bits
-of each other, and those within two bits share a ball, so a star in each ball (of at most 65) keeps all components exactly
-without pairs. Copies share a fingerprint and are never expanded into pairs.
+Join and verification. Two fingerprints within two bits of each other have a meeting point within one bit of both, and two
+that share such a point are within two bits. So each candidate is filed under the 65 points within one bit of it, a point
+has at most 65 fingerprints, and a star at each point keeps all components exactly. There is no pairing inside a key,
+however many fingerprints share it. Copies share a fingerprint and are never expanded into pairs.
+
+Rows meet the label of their fingerprint by a join. Fingerprints of more than a thousandth of all rows are fewer than
+1,000, so their labels are broadcast; the others are shuffled.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. A null id is never the smallest; a
-component of null ids alone has a null component_id.
+component of null ids alone has a null component_id. Repeated rows are separate rows with equal results.
 """
 
 from __future__ import annotations
@@ -27,15 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import LOWER, checkpointed
+from linepatterns.llm._words import LOWER, checkpointed, labelled
 from linepatterns.llm.graph import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-BUCKET = 16
 GENERATOR = 0xAE3
 
 
-def fingerprint(text: bytes | None) -> int:
+def fingerprint(text: bytes | None, width: int = 3) -> int:
     from xxhash import xxh64_intdigest
 
     words = (text or b"").translate(LOWER).split()
@@ -43,14 +46,14 @@ def fingerprint(text: bytes | None) -> int:
     if not n:
         return 0
     joined = b" ".join(words)
-    if n < 3:
+    if n < width:
         return xxh64_intdigest(joined, 42)
     size = np.fromiter(map(len, words), np.int64, n)
     end = np.cumsum(size + 1) - 1
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip((end - size)[: n - 2].tolist(), end[2:].tolist(), strict=True)], "<u8")
+    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip((end - size)[: n - width + 1].tolist(), end[width - 1 :].tolist(), strict=True)], "<u8")
     place = hashes.view(np.uint8).reshape(-1, 8) + np.arange(8) * 256
     ones = np.bincount(place.ravel(), minlength=2048).reshape(8, 256) @ _byte_bits()
-    return int(np.packbits(ones.ravel() * 2 > n - 2, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones.ravel() * 2 > n - width + 1, bitorder="little").view("<u8")[0])
 
 
 @cache
@@ -58,16 +61,16 @@ def _byte_bits() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3) -> DataFrame:
     """``id`` and ``fp``, the fingerprint as a long, a row for each row."""
-    base = docs.select(id, F.col(text).alias("_text"))
+    base = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
 
     def take(batches):
         for batch in batches:
-            fp = np.fromiter(map(fingerprint, batch.column("_text").cast(pa.binary()).to_pylist()), np.uint64, len(batch))
+            fp = np.fromiter((fingerprint(t, width) for t in batch.column("_text").cast(pa.binary()).to_pylist()), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id, "fp"])
 
-    return base.mapInArrow(take, f"`{id}` {base.schema[id].dataType.simpleString()}, fp long")
+    return base.mapInArrow(take, f"`{id}` {base.schema["_id"].dataType.simpleString()}, fp long")
 
 
 def syndrome(word: np.ndarray) -> np.ndarray:
@@ -117,24 +120,20 @@ def _file(batches):
 def links(fps: DataFrame) -> DataFrame:
     """Different fingerprints (``fp``) -> edges (a, b) within two bits that keep every component of the links whole."""
     filed = fps.mapInArrow(_file, "fp long, key long")
-    size = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = checkpointed(filed.join(size, "key"))
-    few = filed.where(f"n <= {BUCKET}")
-    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    near = left.join(right, "key").where("a < b and bit_count(a ^ b) <= 2").select("a", "b").distinct()
-    many = filed.where(f"n > {BUCKET}").select("fp").distinct()
-    balls = many.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)))).alias("flip"))
-    balls = balls.groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("ball")).agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = balls.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
-    return near.unionByName(stars)
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    near = checkpointed(filed.join(shared, "key").select("fp").distinct())
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b))
+    points = near.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), bits)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    met = points.groupBy("point").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+    return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3) -> DataFrame:
     """``id``, fp and component_id (the smallest id that links reach, its own included), a row for each row."""
-    prints = checkpointed(fingerprints(docs, text, id))
-    firsts = prints.groupBy("fp").agg(F.min(id).alias("first"))
+    prints = checkpointed(fingerprints(docs, text, id, width))
+    firsts = prints.groupBy("fp").agg(F.min(id).alias("first"), F.count("*").alias("n"))
     roots = components(links(firsts.select("fp")))
     grouped = firsts.join(roots, firsts["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("first"))
     moved = roots.join(grouped, "root").select(F.col("node").alias("fp"), F.col("first").alias("reached"))
-    label = checkpointed(firsts.join(moved, "fp", "left").select("fp", F.when(F.col("reached").isNull(), F.col("first")).otherwise(F.col("reached")).alias("component_id")))  # a table of its own, so that Spark can split a hot fingerprint in the join
-    return prints.join(label, "fp").select(id, "fp", "component_id")
+    label = checkpointed(firsts.join(moved, "fp", "left").select("fp", "n", F.when(F.col("reached").isNull(), F.col("first")).otherwise(F.col("reached")).alias("component_id")))
+    return labelled(prints, label, "fp", prints.count()).select(id, "fp", "component_id")

@@ -128,6 +128,26 @@ def simhash(docs):
     return [(d, f"{f:016x}", first.get(find(f))) for d, f in prints]
 
 
+def bit_components(fps, radius=2):
+    """fingerprint -> the smallest fingerprint that steps of ``radius`` bits at most reach, by breadth-first search over all pairs."""
+    import numpy as np
+
+    left, out = set(fps), {}
+    for f in sorted(fps):
+        if f not in left:
+            continue
+        left.discard(f)
+        todo, out[f] = [f], f
+        while todo and left:
+            x = todo.pop()
+            rest = np.array(list(left), np.uint64)
+            for y in rest[np.bitwise_count(rest ^ np.uint64(x)) <= radius].tolist():
+                left.discard(y)
+                out[y] = f
+                todo.append(y)
+    return out
+
+
 def targets(sizes: dict, cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}

@@ -1,12 +1,13 @@
 """Each operator against a plain version: over a small table of the driver and over rows made to be awkward."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from linepatterns.llm import decontaminate, graph, importance, language_id, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_counts, warc
+from linepatterns.llm import _words, decontaminate, graph, importance, language_id, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_counts, warc
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -59,9 +60,39 @@ def test_substring_dedup(spark, docs, odd, monkeypatch):
     same(repeats(docs), brute.substring_dedup(pairs(docs)))
     same(repeats(odd), brute.substring_dedup(pairs(odd)))
     same(repeats(empty(spark)), [])
-    monkeypatch.setattr(substring_dedup, "GROUP", 2)  # small groups, and prefixes that outgrow them
+    for group, hot in ((2, 1000), (1, 3)):  # small groups, prefixes that outgrow them at every length, and hot ones that are broadcast
+        monkeypatch.setattr(substring_dedup, "GROUP", group)
+        monkeypatch.setattr(_words, "HOT", hot)
+        same(repeats(odd), brute.substring_dedup(pairs(odd)))
     same(repeats(docs), brute.substring_dedup(pairs(docs)))
-    same(repeats(odd), brute.substring_dedup(pairs(odd)))
+
+
+def test_substring_dedup_compares_words(spark):
+    """Two long words that polynomial hashes modulo 2 ** 64 can't tell apart (a Thue-Morse word and its complement)."""
+    bits = "0"
+    while len(bits) < 2048:
+        bits += bits.translate({48: "1", 49: "0"})
+    one, other = bits.translate({48: "a", 49: "b"}), bits.translate({48: "b", 49: "a"})
+    rest = [f"w{i}" for i in range(34)]
+    near = [(i, " ".join([*rest[:17], w, *rest[17:]])) for i, w in enumerate((one, other))]
+    df = spark.createDataFrame([*near, (2, " ".join(rest)), (3, one), (4, "x " * 35)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()} == {0}
+    again = df.union(spark.createDataFrame([near[0], (9, near[1][1])], df.schema))
+    same(repeats(again), brute.substring_dedup(pairs(again)))
+    short = "\0" * 48 + __import__("hashlib").blake2b(one.encode(), digest_size=16).hexdigest()  # the stand-in of a long word is no word of its own
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame([near[0], (1, near[0][1].replace(one, short[16:]))], df.schema)).collect()} == {0}
+
+
+def test_substring_dedup_of_a_hot_prefix(spark, monkeypatch):
+    """One passage inside many rows that go on differently, so that its prefixes are crowded; and clashing names."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([str(rng.randint(0, 9)) for _ in range(rng.randint(0, 30))] + passage[: rng.randint(20, 40)] + [str(rng.randint(0, 2)) for _ in range(20)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit(1)).withColumn("_f1", F.lit("k"))
+    monkeypatch.setattr(substring_dedup, "GROUP", 8)
+    out = substring_dedup.remove_repeats(df, keep=("_text", "_f1", "text"))
+    assert out.columns == ["doc_id", "_text", "_f1", "text", "n_words", "n_removed", "kept_text"]
+    same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)), brute.substring_dedup(rows))
 
 
 def test_token_counts(spark, docs, odd):
@@ -137,14 +168,27 @@ def test_decontaminate(spark, docs, odd, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     more = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "a b"), (5, " ".join(w for w in odd.where("doc_id = 9").first()["text"].split()[5:40])), (None, "x y x y"), (5, "two, WORDS"), (5, "two, WORDS"), (6, "x " * 20)], "item_id long, text string")
     for d, i in ((docs, items), (odd, more), (odd, items), (docs, more)):
-        out = lambda: decontaminate.contamination(d, i).drop("items")  # noqa: B023, E731
         want = brute.contamination(pairs(d), [tuple(r) for r in i.select("item_id", "text").collect()])
-        same(out(), want)
-        with monkeypatch.context() as m:
-            m.setattr(decontaminate, "BLOCK", 60 if i is more else 4000)
-            same(out(), want)
+        same(decontaminate.contamination(d, i).drop("items"), want)
+        with monkeypatch.context() as m:  # nothing is broadcast, and the bit table is full
+            m.setattr(decontaminate, "BROADCAST", -1)
+            m.setattr(decontaminate, "MARKS", 64)
+            same(decontaminate.contamination(d, i).drop("items"), want)
+        clean = decontaminate.decontaminated(d, i)
+        assert clean.columns == d.columns and sorted(map(repr, pairs(clean))) == sorted(repr(p) for p, r in zip(pairs(d), want, strict=True) if not r[-1])
     same(decontaminate.contamination(empty(spark), items).drop("items"), [])
     assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.contamination(odd.withColumnRenamed("size", "_text"), more, keep=("doc_id", "n_words", "_id", "_text")).count() == odd.count()
+
+
+def test_decontaminate_is_linear_in_repeats(spark):
+    """200,000 equal words against items of equal words: seconds, and right."""
+    d = spark.createDataFrame([(1, "0 " * 200_000), (2, "1 " + "0 " * 12 + "1"), (3, "0 1 " * 50_000)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "0 " * 2000), (2, "0 1 " * 20), (3, "0 0 1")], "item_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(d, i).collect()}
+    assert got == {1: (200_000, 200_000, ["1"]), 2: (14, 3, ["3"]), 3: (100_000, 100_000, ["2"])}
+    assert time.time() - began < 60
 
 
 def test_quality(spark, docs, odd):
@@ -189,6 +233,67 @@ def test_importance(spark, docs, odd):
     assert importance.resample(empty(spark), labels).collect() == []
 
 
+def test_importance_against_a_plain_model(spark, docs):
+    """Ratio, Gumbel key and choice, worked out with dictionaries."""
+    import math
+
+    from linepatterns.llm._words import SPACED, chunks
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    good = {r[0] for r in labels.collect()}
+    buckets, rows = 500, pairs(docs)
+
+    def features(text):  # bucket numbers come from the operator's hash of a word or of two; all else is plain
+        from linepatterns.llm._words import Sums
+        import numpy as np
+
+        out = []
+        for c in chunks([text.encode()], SPACED, lower=True):
+            out += [int(x) % buckets for x in c.ids]
+            s = Sums(c.ids)
+            out += [int(s.of(np.array([i]), np.array([i + 2]))[0]) % buckets for i in range(len(c.ids) - 1)]
+        return out
+
+    found = {d: features(t or "") for d, t in rows}
+    raw, target = Counter({b: 1 for b in range(buckets)}), Counter({b: 1 for b in range(buckets)})
+    for d, f in found.items():
+        raw.update(f)
+        target.update(f if d in good else ())
+    weight = {b: math.log(target[b] / target.total()) - math.log(raw[b] / raw.total()) for b in range(buckets)}
+    out = importance.resample(docs, labels, share=0.1, buckets=buckets).collect()
+    uniform = {r[0]: (r[1] % (1 << 64) >> 11) for r in docs.select("doc_id", F.xxhash64(F.lit(7), F.lit("gumbel"), "doc_id", F.xxhash64("text"))).collect()}
+    keys = {}
+    for r in out:
+        f = found[r["doc_id"]]
+        if not f:
+            assert r["log_ratio"] is None and r["gumbel_key"] is None and not r["selected"]
+            continue
+        want = sum(weight[b] for b in f)
+        assert abs(r["log_ratio"] - want) < 1e-6 * max(1, abs(want))
+        keys[r["doc_id"]] = want - math.log(-math.log((uniform[r["doc_id"]] + 0.5) / 2**53))
+        assert abs(r["gumbel_key"] - keys[r["doc_id"]]) < 1e-6 * max(1, abs(want))
+    best = sorted(keys, key=keys.get, reverse=True)[: int(len(keys) * 0.1)]
+    assert {r["doc_id"] for r in out if r["selected"]} == set(best)
+
+
+def test_top_narrows_its_border(spark):
+    rng = random.Random(4)
+    values = [rng.gauss(0, 1) for _ in range(3000)] + [-1e9, 50.0] + [0.25] * 200 + [None] * 5  # far outliers, and ties
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(4)
+    for share in (0.0, 0.001, 0.3, 0.42, 1.0):
+        got = importance.top(df, "v", share, ["i"], ranges=8, border=5)
+        n = int(3202 * share)
+        want = {i for v, i in sorted(((v, -i) for i, v in enumerate(values) if v is not None), reverse=True)[:n]}
+        assert {r["i"] for r in got.where("selected").collect()} == {-i for i in want} and got.count() == len(values)
+
+
+def test_mixing_at_a_fine_border(spark):
+    """Many rows of one size: every border level is crossed, and the source ends within one row of its target."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 19_000, "big").otherwise("small").alias("source"))
+    taken = {r["source"]: (r["taken"], r["target"]) for r in mixing.mixture(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(t - want) <= 3 for t, want in taken.values()) and taken["small"][1] == 9000.0
+
+
 def test_golay():
     import numpy as np
 
@@ -205,8 +310,23 @@ def test_simhash(spark, docs, odd, monkeypatch):
     same(get(docs), brute.simhash(pairs(docs)))
     same(get(odd), brute.simhash(pairs(odd)))
     same(get(empty(spark)), [])
-    monkeypatch.setattr(simhash_dedup, "BUCKET", 1)  # everything by the balls
-    same(get(docs), brute.simhash(pairs(docs)))
+    for hot in (1, 10**9):  # no fingerprint's label is broadcast; every one is
+        monkeypatch.setattr(_words, "HOT", hot)
+        same(get(odd), brute.simhash(pairs(odd)))
+
+
+def test_links_in_a_crowded_key(spark):
+    """Thousands of fingerprints under one Golay key: results as from all pairs."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    fps = {base} | {base ^ 1 << a ^ 1 << b for a in range(30, 64) for b in range(30, a)} | {base ^ 1 << a ^ 1 << b ^ 1 << c for a, b, c in (rng.sample(range(64), 3) for _ in range(1500))}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {r["node"]: r["root"] for r in graph.components(simhash_dedup.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    want = brute.bit_components(fps)
+    size = Counter(want.values())
+    assert {f % (1 << 64) for f in got} == {f for f, c in want.items() if size[c] > 1}
+    roots = {want[f % (1 << 64)]: r for f, r in got.items()}
+    assert all(roots[want[f % (1 << 64)]] == r for f, r in got.items()) and len(set(roots.values())) == len(roots)
 
 
 def test_links_are_complete(spark):
