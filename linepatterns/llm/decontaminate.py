@@ -195,6 +195,6 @@ def _contaminated(hit: Column) -> Column:
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
     """``docs``, all columns, without the rows that are contaminated."""
     rows, found = _searched(docs, items, [], text, id, item_id, item_text, window)
-    bad = checkpointed(rows.join(found, _same(rows, found)).where(_contaminated(F.col("_hit"))).select(rows["_id"].alias("_i"), rows["_key"].alias("_k")).distinct())
+    bad = checkpointed(rows.join(found, _same(rows, found)).where(_contaminated(F.col("_hit"))).select(rows["_id"].alias("__id"), rows["_key"].alias("__key")).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST else bad
-    return docs.join(bad, F.col(id).eqNullSafe(F.col("_i")) & (F.xxhash64(F.col(text)) == F.col("_k")), "left_anti")
+    return docs.join(bad, F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__key")), "left_anti")

@@ -1,8 +1,7 @@
 """Importance resampling: documents drawn by how much likelier the target's n-gram model makes them than the raw corpus's.
 
 Features are words and pairs of neighbouring words (A-Z lower-cased), hashed to ``buckets``. Both models are multinomials
-over the buckets with add-one smoothing. The raw model counts every row. The target model counts at most about ``sample``
-of the target rows, drawn by a hash of their id. A row's log ratio is the sum over its features of log(target / raw); its
+over the buckets with add-one smoothing. The raw model counts every row, the target model every target row. A row's log ratio is the sum over its features of log(target / raw); its
 key is that plus a Gumbel variate, which a hash of its id, text and the seed fixes. The ``k`` largest keys are selected
 (``share`` of the rows that have words, rounded down), exactly, by counting keys in ever finer ranges and ranking only the rows
 of the last range, 10,000 at most unless their keys are equal.
@@ -21,6 +20,9 @@ from pyspark.sql import functions as F
 from linepatterns.llm._words import SPACED, Sums, checkpointed, chunks
 
 
+BROADCAST = 1_000_000
+
+
 def features(c, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of each feature of a chunk."""
     doc = np.repeat(np.arange(len(c.texts)), np.diff(c.at))
@@ -63,13 +65,13 @@ def _ratios(shared, buckets: int):
     return score
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, text: str = "text", id: str = "doc_id", share: float = 0.1, buckets: int = 10_000, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, text: str = "text", id: str = "doc_id", share: float = 0.1, buckets: int = 10_000, seed: int = 7) -> DataFrame:
     """``id``, log_ratio, gumbel_key and selected, a row for each row. target_ids: one column, the ids of the trusted rows."""
     base = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"))
     spark = docs.sparkSession
-    wanted = target_ids.toDF("_id").where("_id is not null").distinct()
-    drawn = F.broadcast(wanted.orderBy(F.xxhash64(F.lit(seed), F.col("_id")), "_id").limit(sample).withColumn("_target", F.lit(True)))
-    marked = base.join(drawn, "_id", "left").select("_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    wanted = target_ids.toDF("_id").where("_id is not null").distinct().withColumn("_target", F.lit(True))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    marked = base.join(wanted, "_id", "left").select("_text", F.coalesce("_target", F.lit(False)).alias("_target"))
     counts = np.ones((2, buckets))
     for r in marked.mapInArrow(_counts(buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         counts[:, r[0]] += r[1:]

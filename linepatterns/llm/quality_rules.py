@@ -4,13 +4,14 @@ Base figures of a text, over its words: word_chars, n_symbols, n_dup_lines, n_re
 10 words or more than a fifth of them lie in five-word windows that occur twice or more in it.
 
 The ratio compares two multinomials over ``BUCKETS`` hashes of words and of pairs of neighbouring words: the raw model counts
-every row, the target model the trusted rows, at most ``sample`` of them by a hash of their id. Both are smoothed by adding
+every row, the target model every trusted row, in one aggregation. Both are smoothed by adding
 ``SMOOTH`` to each bucket, the target's in proportion to the raw model. A text's llr is the mean over its features of
 log(target / raw), with ``PRIOR`` features of ratio 0 added, so that short texts are judged mildly. A text that doesn't fail the
 base rules is kept if llr >= ``THRESHOLD``; the threshold is fixed, so the verdict depends on the text and both models alone.
 
 Nulls and texts without words have no words and fail. Ids are only used to find trusted rows, so repeated rows and null ids
-do no harm. Without any trusted row all ratios are 0 and the base rules decide.
+do no harm. Without any trusted row all ratios are 0 and the base rules decide. Columns used inside begin with two underscores, so
+other columns of ``docs`` may have any name.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ BUCKETS = 1 << 15
 SMOOTH = 20.0
 PRIOR = 20
 THRESHOLD = -0.08
+BROADCAST = 1_000_000
 
 
 def word_array(text: Column) -> Column:
@@ -54,29 +56,32 @@ def repeat_words(h: Column, fours: Column) -> Column:
     return F.when(F.size(F.array_distinct(fours)) < F.size(fours), covered(joined(fours, h, 4))).otherwise(0).cast("long")
 
 
-def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and the base figures; ``_hashes`` and ``_pairs`` (of neighbours) stay for the ratio."""
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
+def _base_rules(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` and the base figures, their names after two underscores; __hashes and __pairs (of neighbours) stay for the ratio."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_words", word_array(F.col(text))).withColumn("_hashes", hashes(F.col("_words")))
-    df = df.withColumn("_pairs", joined(F.col("_hashes"), F.col("_hashes"), 1)).withColumn("_fours", joined(F.col("_pairs"), F.col("_pairs"), 2))
+    df = docs.withColumn("__words", word_array(F.col(text))).withColumn("__hashes", hashes(F.col("__words")))
+    df = df.withColumn("__pairs", joined(F.col("__hashes"), F.col("__hashes"), 1)).withColumn("__fours", joined(F.col("__pairs"), F.col("__pairs"), 2))
     df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_hashes"), F.col("_fours")),
+        "__n_words": F.size("__words").cast("long"),
+        "__word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "__n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"),
+        "__n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "__n_repeat_words": repeat_words(F.col("__hashes"), F.col("__fours")),
     })
-    return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    return df.withColumn("__base_failed", (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words")))
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text: str, id: str, sample: int) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text: str, id: str) -> DataFrame:
     """One row with ``weights``: log(target / raw) of each bucket."""
     wanted = trusted_ids.toDF("_trusted").where("_trusted is not null").distinct()
-    drawn = F.broadcast(wanted.orderBy(F.xxhash64("_trusted"), "_trusted").limit(sample))
-    hashed = docs.select(F.col(id).alias("_id"), hashes(word_array(F.col(text))).alias("_hashes")).withColumn("_pairs", joined(F.col("_hashes"), F.col("_hashes"), 1))
-    marked = hashed.join(drawn, F.col("_id") == F.col("_trusted"), "left")
-    each = marked.select(F.col("_trusted").isNotNull().cast("long").alias("target"), F.explode(F.concat("_hashes", "_pairs")).alias("hash"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id") == F.col("_trusted"), "left")
+    hashed = rows.select("_trusted", hashes(word_array(F.col("_text"))).alias("_hashes")).withColumn("_pairs", joined(F.col("_hashes"), F.col("_hashes"), 1))
+    each = hashed.select(F.col("_trusted").isNotNull().cast("long").alias("target"), F.explode(F.concat("_hashes", "_pairs")).alias("hash"))
     counts = each.groupBy(F.col("hash").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     table = every.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("rows"))  # BUCKETS rows
@@ -85,10 +90,20 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text: str, id: str, samp
     return table.select(F.transform("rows", lambda x: F.log(p_target(x) / p_raw(x))).alias("weights"))
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id: str = "doc_id", sample: int = 20_000) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept, a row for each row."""
-    weights = log_ratios(docs, trusted_ids, text, id, sample).scalar()
-    df = base_rules(docs, text).withColumn("_weights", weights)  # the optimizer folds this into the next step: rows don't carry it
-    total = F.aggregate(F.concat("_hashes", "_pairs"), F.lit(0.0), lambda acc, h: acc + F.get("_weights", h.bitwiseAND(BUCKETS - 1).cast("int")))
-    df = df.withColumn("llr", total / (2 * F.col("n_words") + PRIOR))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_words", "_hashes", "_pairs", "_fours", "_weights")
+def _judged(docs: DataFrame, trusted_ids: DataFrame, text: str, id: str) -> DataFrame:
+    weights = log_ratios(docs, trusted_ids, text, id).scalar()
+    df = _base_rules(docs, text).withColumn("__weights", weights)  # the optimizer folds this into the next step: rows don't carry it
+    total = F.aggregate(F.concat("__hashes", "__pairs"), F.lit(0.0), lambda acc, h: acc + F.get("__weights", h.bitwiseAND(BUCKETS - 1).cast("int")))
+    df = df.withColumn("__llr", total / (2 * F.col("__n_words") + PRIOR))
+    return df.withColumn("__kept", ~F.col("__base_failed") & (F.col("__llr") >= THRESHOLD))
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept, a row for each row."""
+    return _judged(docs, trusted_ids, text, id).select(*keep, *(F.col(f"__{c}").alias(c) for c in OUTPUTS))
+
+
+def kept(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs``, all columns, without the rows that are rejected."""
+    judged = _judged(docs, trusted_ids, text, id).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("__kept and __row >= 0").select(docs.columns)  # a row number keeps Spark from pushing the verdict, and all it rests on, into the scan once more

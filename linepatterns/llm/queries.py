@@ -45,8 +45,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted(spark, sf_dir))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return out.select("doc_id", *quality_rules.OUTPUTS)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,10 @@ that share such a point are within two bits. So each candidate is filed under th
 has at most 65 fingerprints, and a star at each point keeps all components exactly. There is no pairing inside a key,
 however many fingerprints share it. Copies share a fingerprint and are never expanded into pairs.
 
+Given a similarity in per cent instead, texts are linked if the Jaccard similarity of their sets of shingles is that or more.
+Fingerprints can't stand in for that: texts of five-word shingles that are 0.8 alike differ in ten bits of 64, more or less,
+where no code leaves fewer candidates than there are texts. ``_shingles`` finds those links exactly.
+
 Rows meet the label of their fingerprint by a join. Fingerprints of more than a thousandth of all rows are fewer than
 1,000, so their labels are broadcast; the others are shuffled.
 
@@ -31,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import LOWER, checkpointed, labelled
+from linepatterns.llm import _shingles
+from linepatterns.llm._words import LOWER, bit_table, checkpointed, labelled
 from linepatterns.llm.graph import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -128,8 +133,12 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3) -> DataFrame:
-    """``id``, fp and component_id (the smallest id that links reach, its own included), a row for each row."""
+def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, similar: int | None = None) -> DataFrame:
+    """``id``, fp (with ``similar``: sig, a hash of the set of shingles) and component_id (the smallest id that links reach, its own included), a row for each row."""
+    if similar is not None:
+        rows = checkpointed(_shingles.signatures(docs, text, id, width))
+        best = _best(docs, rows, text, width, similar)
+        return labelled(rows, best, "sig", rows.count()).select(F.col("_id").alias(id), "sig", F.col("_best._id").alias("component_id"))
     prints = checkpointed(fingerprints(docs, text, id, width))
     firsts = prints.groupBy("fp").agg(F.min(id).alias("first"), F.count("*").alias("n"))
     roots = components(links(firsts.select("fp")))
@@ -137,3 +146,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     moved = roots.join(grouped, "root").select(F.col("node").alias("fp"), F.col("first").alias("reached"))
     label = checkpointed(firsts.join(moved, "fp", "left").select("fp", "n", F.when(F.col("reached").isNull(), F.col("first")).otherwise(F.col("reached")).alias("component_id")))
     return labelled(prints, label, "fp", prints.count()).select(id, "fp", "component_id")
+
+
+def _best(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int) -> DataFrame:
+    """(sig, n, _best): rows of a set, and the first row of its component: (_null, _id, _key), ordered by id, nulls last, then by a hash of the text."""
+    firsts = checkpointed(rows.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")).alias("_first")))
+    roots = checkpointed(_shingles.links(docs, rows, text, width, similar))
+    named = firsts.join(roots, firsts["sig"] == roots["node"], "left").select("sig", "n", "_first", F.coalesce("root", "sig").alias("root"))
+    return checkpointed(named.join(named.groupBy("root").agg(F.min("_first").alias("_best")), "root").select("sig", "n", "_best"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, similar: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near duplicates: the smallest id, nulls last, then the smallest hash of the text, then any of equal rows."""
+    rows = checkpointed(_shingles.signatures(docs, text, id, width))
+    met = labelled(rows.select("_id", "_key", "sig"), _best(docs, rows, text, width, similar), "sig", rows.count())
+    own = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")
+    each = met.groupBy("_id", "_key").agg(F.count("*").alias("_rows"), F.first(own.eqNullSafe(F.col("_best"))).alias("_stays"))
+    touched = checkpointed(each.where("_rows > 1 or not _stays").select(F.col("_id").alias("__id"), F.col("_key").alias("__key"), "_stays"))
+    is_touched = bit_table(touched, F.xxhash64("__id", "__key"))(F.xxhash64(F.col(id), F.xxhash64(F.col(text))))  # most rows stay as they are and need no join
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__key"))
+    some = docs.where(is_touched)
+    again = some.join(touched.where("_stays"), same).dropDuplicates(["__id", "__key"]).select(*(docs[c] for c in docs.columns))
+    return docs.where(~is_touched).unionByName(some.join(touched, same, "left_anti")).unionByName(again)

@@ -33,23 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import SPACED, Sums, bit_table, checkpointed, chunks, labelled, sliding_min, window_names
+from linepatterns.llm._words import SPACED, Sums, bit_table, canonical, checkpointed, chunks, labelled, sliding_min, window_names
 
 PREFIX = 8
 GROUP = 4_000
 LENGTHS = (12, 18, 26)
-LONG = 64
 _PLACE = np.uint64(32)
 
 
-def canonical(text: bytes | None) -> bytes:
-    """The words joined by one space. Words of more than ``LONG`` bytes are replaced by a digest that is longer than that too, so no other word equals it."""
-    words = (text or b"").split()  # on the separators: bytes.split() knows just these six
-    if len(text or b"") > LONG and max(map(len, words), default=0) > LONG:
-        words = [b"\0" * (LONG - 16) + blake2b(w, digest_size=16).hexdigest().encode() if len(w) > LONG else w for w in words]
-    return b" ".join(words)
-
-
 def _chunks(batch):
     return chunks([canonical(t) for t in batch.column("_text").cast(pa.binary()).to_pylist()], SPACED)
 

@@ -62,6 +62,46 @@ def pii(docs):
     return out
 
 
+def contexts(texts, support, rounds, confident):
+    """(text, start, end) of the spans that contexts add."""
+    between, gap, edge = "[\\s\"'()\\[\\]{}<>,.;:=!?&$%#*|]+", "\\s\"'()\\[\\]{}<>,;:=|", "\"'()[]{}<>,.;:=!?&$%#*|"
+    split = lambda t: [w for w in re.split(between, t.lower()) if w]
+    edges, seeds, places, total = Counter(), set(), [], Counter()
+    for t in texts:
+        w = split(t)
+        total.update(zip(w, w[1:], strict=False))
+        base = base_pii(t)
+        runs = [(m.start(), m.end()) for m in re.finditer(f"[^{gap}]+", t) if re.search("[0-9@]", m[0])]
+        mentions = [(a, b, True, next(x for x in reversed(runs) if x[0] <= a)[0]) for a, _, b in base]
+        for x, y in runs:
+            a, b = x + len(t[x:y]) - len(t[x:y].lstrip(edge)), y - len(t[x:y]) + len(t[x:y].rstrip(edge))
+            m = t[a:b]
+            if len(m) >= 6 and ("@" in m or sum(c.isdigit() for c in m) >= 3) and not any(s < b and a < e or a <= s < y and s >= x for s, _, e in base):
+                mentions.append((a, b, False, x))
+        for a, b, seed, x in mentions:
+            before = tuple(split(t[:x])[-2:])
+            if len(before) == 2:
+                edges[before, t[a:b].lower()] += 1
+                if seed:
+                    seeds.add((before, t[a:b].lower()))
+                else:
+                    places.append((t, a, b, before))
+    instances = defaultdict(set)
+    for p, i in edges:
+        instances[p].add(i)
+    edges = {(p, i): n for (p, i), n in edges.items() if len(instances[p]) >= support}
+    score = {i: 0.0 for _, i in edges} | {i: 1.0 for p, i in seeds if (p, i) in edges}
+    best = {}
+    for _ in range(rounds):
+        best = {}
+        for p in {p for p, _ in edges}:
+            weight = sum(n * score[i] for (q, i), n in edges.items() if q == p) / max(total[p], 1)
+            if weight >= confident and sum(score[i] > 0 for q, i in edges if q == p) >= support:
+                best[p] = min(1.0, weight)
+        score = {i: max([s, *(best[p] for p, j in edges if j == i and p in best)]) for i, s in score.items()}
+    return {(t, a, b) for t, a, b, p in places if p in best}
+
+
 def contamination(docs, items, k=13):
     pat = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = lambda t: re.findall(pat, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))

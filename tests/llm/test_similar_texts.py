@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from linepatterns.llm import shingle_dedup
+from linepatterns.llm import _shingles, simhash_dedup
 from tests.llm.test_operators import awkward, pairs, same
 
 SF = "/root/testdata/sf0.001"
@@ -53,12 +53,12 @@ def edited():
 
 @pytest.mark.parametrize("bucket", [16, 1])
 def test_against_all_pairs(spark, monkeypatch, bucket):
-    monkeypatch.setattr(shingle_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(_shingles, "BUCKET", bucket)
     rows = edited() + [(2000 + i, r[1]) for i, r in enumerate(awkward())] + [(None, "one two three four five six"), (None, "")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    same(shingle_dedup.near_duplicates(df).select("doc_id", "component_id"), brute(rows))
+    same(simhash_dedup.near_duplicates(df, width=5, similar=80).select("doc_id", "component_id"), brute(rows))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    same(shingle_dedup.near_duplicates(docs).select("doc_id", "component_id"), brute(pairs(docs)))
+    same(simhash_dedup.near_duplicates(docs, width=5, similar=80).select("doc_id", "component_id"), brute(pairs(docs)))
 
 
 def test_stage_drops_edited_copies(spark):
@@ -69,4 +69,16 @@ def test_stage_drops_edited_copies(spark):
 
 
 def test_no_rows(spark):
-    assert shingle_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert simhash_dedup.near_duplicates(spark.createDataFrame([], SCHEMA), similar=80).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null ids and ids that stand for several texts; extra columns with names that are used inside."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (1, text), (2, text + " end"), (None, text), (None, "alone " * 9), (None, "alone " * 9), (1, "quite another text"), (3, None), (4, ""), (5, None)]
+    df = spark.createDataFrame([(*r, i, i, i) for i, r in enumerate(rows)], SCHEMA + ", _key long, sig long, _id long").repartition(3)
+    out = simhash_dedup.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, text), (None, "alone " * 9), (1, "quite another text"), (3, None)], key=repr)
+    assert simhash_dedup.one_of_each(df.limit(0)).collect() == []
