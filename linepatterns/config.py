@@ -16,6 +16,7 @@ class MinerConfig:
     """``support``: lines a word or pattern needs (absolute); ``rsupport``: the same as a percentage of all lines, if support is None.
 
     ``max_words``: words of a line after so many are dropped; None keeps all, 512 is what the C reference does.
+    ``max_line_bytes``: longer lines are cut into several; None keeps them whole, 10,239 is what the C reference does.
     """
 
     support: int | None = None
@@ -36,7 +37,9 @@ class MinerConfig:
     detailtoken: bool = False
     outliers_use_rewrite: bool = False
     max_words: int | None = None
+    max_line_bytes: int | None = None
     broadcast_words: int = 1_000_000
+    broadcast_bytes: int = 32 << 20
 
     def __post_init__(self):
         def need(ok: bool, what: str):
@@ -52,6 +55,7 @@ class MinerConfig:
         need(self.weightf in (1, 2), "weightf is 1 or 2")
         need(self.outputmode in (0, 1), "outputmode is 0 or 1")
         need(self.max_words is None or self.max_words > 0, "max_words must be positive")
+        need(self.max_line_bytes is None or self.max_line_bytes > 0, "max_line_bytes must be positive")
         need(self.wfilter is None or (self.wsearch is not None and self.wreplace is not None), "wfilter needs wsearch and wreplace")
         for name in ("separator", "lfilter", "wfilter", "wsearch"):
             if (value := getattr(self, name)) is not None:

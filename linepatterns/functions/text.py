@@ -6,13 +6,23 @@ import re
 
 import pandas as pd
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
 from linepatterns.functions.regex import java_pattern, parse_template, quote_replacement, replaces_at_once, rewrite_word
 
 
+def cut_lines(lines: DataFrame, limit: int | None) -> DataFrame:
+    """(line_id, line) as a reader with a buffer of ``limit`` bytes sees them: each longer line in pieces, which share its line_id's place in order."""
+    if limit is None:
+        return lines
+    raw = F.encode("line", "UTF-8")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("line") / limit) - 1, F.lit(0)).cast("int")), lambda i: F.decode(F.substring(raw, i * limit + 1, F.lit(limit)), "UTF-8"))
+    pieces = lines.where("line is not null").select("line_id", F.posexplode(parts).alias("piece", "line"))
+    return pieces.select(F.when(F.col("piece") == 0, F.col("line_id")).otherwise(F.xxhash64("line_id", "piece")).alias("line_id"), "line")
+
+
 def after_offset(line: Column, n: int) -> Column:
     """``line`` without its first ``n`` bytes; empty if there are no more."""
     return F.decode(F.substring(F.encode(line, "UTF-8"), n + 1, 2**31 - 1 - n), "UTF-8") if n else line
@@ -45,21 +55,25 @@ def words_of(line: Column, config: MinerConfig) -> Column:
     return F.when(F.coalesce(rest, F.lit("")) == "", F.array().cast("array<string>")).when(passes_filter(rest, config), split_words(from_template(rest, config), config)).otherwise(F.array().cast("array<string>"))
 
 
-def rewritten(word: Column, config: MinerConfig) -> Column:
-    """The rewritten word, or null if the filters leave it alone. Built-in where one pass is provably enough."""
+def rewritten_words(words: Column, config: MinerConfig) -> Column:
+    """The rewritten form of each word of an array, null where the filters leave it alone. Built-in where one pass is provably enough."""
     search, new = config.wsearch, config.wreplace
+    fits = lambda w: (w != "") & w.rlike(java_pattern(config.wfilter)) & w.rlike(java_pattern(search))
     if replaces_at_once(search, new):
-        text = F.regexp_replace(word, java_pattern(search), quote_replacement(new))
-    else:
-        pattern = java_pattern(search, python=True)
+        return F.transform(words, lambda w: F.when(fits(w), F.regexp_replace(w, java_pattern(search), quote_replacement(new))))
+    pattern = java_pattern(search, python=True)
+
+    @F.pandas_udf("array<string>")
+    def again(lists: pd.Series) -> pd.Series:
+        found, known = re.compile(pattern), {None: None}
+        return lists.map(lambda ws: [known[w] if w in known else rewrite_word(w, found, new) for w in ws], na_action="ignore")
 
-        @F.pandas_udf("string")
-        def again(words: pd.Series) -> pd.Series:
-            found = re.compile(pattern)
-            return words.map(lambda w: rewrite_word(w, found, new), na_action="ignore")
+    return again(F.transform(words, lambda w: F.when(fits(w), w)))
 
-        text = again(word)
-    return F.when(word.rlike(java_pattern(config.wfilter)) & word.rlike(java_pattern(search)), text)
+
+def rewritten(word: Column, config: MinerConfig) -> Column:
+    """The rewritten form of one word, or null."""
+    return F.get(rewritten_words(F.array(word), config), 0)
 
 
 def pattern_text(words: Column, gap_min: Column, gap_max: Column) -> Column:
@@ -75,5 +89,10 @@ def token_text(tokens: Column, detail: bool) -> Column:
     return F.transform(tokens, lambda t: F.when((F.size(t["words"]) > 1) | (F.lit(detail) & t["is_token"]), F.concat(F.lit("("), joined(t), F.lit(")"))).otherwise(joined(t)))
 
 
+def candidate_text(pattern: Column, support: Column) -> Column:
+    """A candidate as the debug output describes it."""
+    return F.concat(F.lit("candidate "), F.format_number(support, 0), F.lit(" "), pattern)
+
+
 def report_text(pattern: Column, support: Column) -> Column:
     return F.concat(pattern, F.lit("\nSupport : "), F.format_number(support, 0), F.lit("\n"))

@@ -34,15 +34,27 @@ def covers(nodes: Column, constants: str, gap_min: str, gap_max: str) -> Column:
     return F.aggregate(nodes, zero, step, lambda a: ~a["dead"] & (a["c"] == k) & (F.get(gap_min, k) <= a["lo"]) & (a["hi"] <= F.get(gap_max, k)))
 
 
+def rarest_words(candidates: DataFrame) -> DataFrame:
+    """(constants, anchor): of each candidate, the constant that fewest candidates hold."""
+    words = candidates.select("constants", F.explode(F.array_distinct("constants")).alias("word"))
+    usage = words.groupBy("word").agg(F.count("*").alias("n"))
+    return words.join(usage, "word").groupBy("constants").agg(F.min(F.struct("n", "word"))["word"].alias("anchor"))
+
+
+def path_prefixes(candidates: DataFrame) -> DataFrame:
+    """Different beginnings of the candidates' paths, the empty one among them: the nodes of their prefix tree."""
+    nodes = path_nodes("constants", "gap_min", "gap_max")
+    parts = candidates.select(nodes.alias("n")).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("n")), lambda k: F.slice("n", 1, k))).alias("path"))
+    return parts.distinct()
+
+
 def aggregate_supports(candidates: DataFrame) -> DataFrame:
     """``candidates`` with support raised by the own support of each more specific one.
 
     A more specific candidate holds all constants of the other and more. So it is met by an equi-join on the rarest of them, and
     then tested; the join has as many rows as that word's candidates.
     """
-    words = candidates.select("constants", F.explode(F.array_distinct("constants")).alias("word"))
-    usage = words.groupBy("word").agg(F.count("*").alias("n"))
-    anchor = words.join(usage, "word").groupBy("constants").agg(F.min(F.struct("n", "word"))["word"].alias("anchor"))
+    anchor = rarest_words(candidates)
     general = candidates.where(F.exists("gap_max", lambda g: g != 0)).join(anchor, "constants").select("anchor", *(F.col(c).alias(f"p_{c}") for c in ("constants", "n_constants", "gap_min", "gap_max")))
     special = candidates.select("own_support", "n_constants", F.explode(F.array_distinct("constants")).alias("anchor"), "constants", path_nodes("constants", "gap_min", "gap_max").alias("nodes"))
     pairs = general.join(special, "anchor").where("n_constants > p_n_constants").where(F.size(F.array_except("p_constants", "constants")) == 0)

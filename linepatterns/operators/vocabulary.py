@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
-from linepatterns.functions.text import rewritten, words_of
+from linepatterns.functions.text import rewritten_words, words_of
 
 
 def tokenise(lines: DataFrame, config: MinerConfig) -> DataFrame:
-    """(line_id, words)."""
-    return lines.select("line_id", words_of(F.col("line"), config).alias("words"))
+    """(line_id, line, words), and news, the rewritten words or nulls, if the run rewrites."""
+    rows = lines.select("line_id", "line", words_of(F.col("line"), config).alias("words"))
+    return rows.withColumn("news", rewritten_words(F.col("words"), config)) if config.rewrites else rows
 
 
-def exploded(tokens: DataFrame, config: MinerConfig, rewrite: bool | None = None) -> DataFrame:
-    """(line_id, n_words, pos, word), without empty words; with ``new``, the rewritten word, if the run rewrites."""
-    rows = tokens.select("line_id", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word")).where("word <> ''")
-    return rows.withColumn("new", rewritten(F.col("word"), config)) if (config.rewrites if rewrite is None else rewrite) else rows
+def exploded(tokens: DataFrame, rewrite: bool = False) -> DataFrame:
+    """(line_id, n_words, pos, word), without empty words; with ``new``, the rewritten word, if asked for."""
+    if not rewrite:
+        return tokens.select("line_id", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word")).where("word <> ''")
+    rows = tokens.select("line_id", F.size("words").alias("n_words"), F.posexplode(F.arrays_zip("words", "news")).alias("pos", "w"))
+    return rows.select("line_id", "n_words", "pos", F.col("w.words").alias("word"), F.col("w.news").alias("new")).where("word <> ''")
 
 
-def occurrences(tokens: DataFrame, config: MinerConfig) -> DataFrame:
-    """(line_id, word): each word, and each rewritten one, as often as it occurs."""
-    rows = exploded(tokens, config)
-    if not config.rewrites:
-        return rows.select("line_id", "word")
-    both = F.when(F.col("new").isNull(), F.array("word")).otherwise(F.array("word", "new"))
-    return rows.select("line_id", F.explode(both).alias("word"))
+def _both(tokens: DataFrame, config: MinerConfig) -> Column:
+    """A line's words and rewritten words, empty ones left out."""
+    both = F.concat("words", F.array_compact("news")) if config.rewrites else F.col("words")
+    return F.array_remove(both, "")
 
 
 def word_sketch(tokens: DataFrame, config: MinerConfig) -> DataFrame:
     """(slot, cnt): occurrences by hash slot."""
-    return occurrences(tokens, config).groupBy(F.pmod(F.xxhash64("word"), F.lit(config.wsize)).alias("slot")).agg(F.count("*").alias("cnt"))
+    words = tokens.select(F.explode(_both(tokens, config)).alias("word"))
+    return words.groupBy(F.pmod(F.xxhash64("word"), F.lit(config.wsize)).alias("slot")).agg(F.count("*").alias("cnt"))
 
 
 def vocabulary(tokens: DataFrame, config: MinerConfig, support: int) -> DataFrame:
     """(word, support): lines that hold a word. Repeats in a line go before anything is shuffled; rare slots go first if there is a sketch."""
-    if config.rewrites:
-        words = occurrences(tokens, config).groupBy("line_id", "word").count().select("word")
-    else:
-        words = tokens.select(F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
+    words = tokens.select(F.explode(F.array_distinct(_both(tokens, config))).alias("word"))
     if config.wsize:
         slots = word_sketch(tokens, config).where(F.col("cnt") >= support).select("slot")
         words = words.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(config.wsize))).join(slots, "slot", "left_semi").drop("slot")
@@ -47,6 +45,9 @@ def vocabulary(tokens: DataFrame, config: MinerConfig, support: int) -> DataFram
 
 
 def histogram(vocab: DataFrame, support: int) -> DataFrame:
-    """One row: words, and how many of them have a support of 1, up to 2, 5, 10 and 20, below ``support``."""
-    below = lambda n: F.count_if((F.col("support") <= n) & (F.col("support") < support)).alias(f"upto_{n}")
-    return vocab.agg(F.count("*").alias("words"), F.count_if(F.col("support") >= support).alias("frequent"), *(below(n) for n in (1, 2, 5, 10, 20)))
+    """One row: words, how many of them have a support of 1, up to 2, 5, 10 and 20, and below ``support``; and each as a percentage, truncated to whole numbers and the last to two decimals."""
+    upto = {f"upto_{n}": F.col("support") <= n for n in (1, 2, 5, 10, 20)}
+    row = vocab.agg(F.count("*").alias("words"), F.count_if(F.col("support") >= support).alias("frequent"), *(F.count_if(c).alias(name) for name, c in upto.items()), F.count_if(F.col("support") < support).alias("below"))
+    percent = lambda name: F.when(F.col("words") > 0, F.floor(100 * F.col(name) / F.col("words")))
+    last = F.when(F.col("words") > 0, F.round(100 * F.col("below") / F.col("words"), 2))
+    return row.select("*", *(percent(name).alias(f"percent_{name}") for name in upto), last.alias("percent_below"))

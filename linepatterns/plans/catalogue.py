@@ -23,6 +23,7 @@ DOC_PERCENT = 0.05
 FILTER = "evt (click|view) (.*)"
 TEMPLATE = "T $1 $2"
 REWRITE = {"wfilter": "^u", "wsearch": "[0-9]+", "wreplace": "N"}
+REWRITE_AGAIN = {"wfilter": "^u", "wsearch": "00", "wreplace": "0"}
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +35,11 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select((F.col("doc_id") * 100000 + F.col("i")).alias("line_id"), "line")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select((F.col("doc_id") * 4294967296 + F.col("i")).alias("line_id"), "line")
 
 
 def config(**options) -> MinerConfig:
-    return MinerConfig(**({"rsupport": PERCENT, "max_words": 512} | options))  # the SQL has the reference's limit
+    return MinerConfig(**({"rsupport": PERCENT} | options))
 
 
 def miner(spark: SparkSession, sf_dir: str, **options) -> LineMiner:
@@ -48,13 +49,13 @@ def miner(spark: SparkSession, sf_dir: str, **options) -> LineMiner:
 # ---------------------------------------------------------------- SQL parts
 
 _EV = """ev as (select event_id as line_id, concat_ws(' ', 'evt', event_type, 'user', 'u' || user_id, 'amount', case when value >= 100 then 'high' else 'low' end, props) as line from events)"""
-_DOC = """ev as (select doc_id * 100000 + i - 1 as line_id, l[i] as line from (select doc_id, string_split(text, chr(10)) as l from documents), unnest(range(1, len(l) + 1)) t(i))"""
+_DOC = """ev as (select doc_id * 4294967296 + i - 1 as line_id, l[i] as line from (select doc_id, string_split(text, chr(10)) as l from documents), unnest(range(1, len(l) + 1)) t(i))"""
 
 
-def _words(line: str = "line", where: str = "true") -> str:
+def _words(line: str = "line", where: str = "true", separator: str = "[ ]+") -> str:
     """wl: each line's words (none if dropped); tok: a row for each word that isn't empty."""
-    return f"""wl as (select line_id, case when coalesce(t, '') = '' then [] else (case when len(a) > 1 and a[len(a)] = '' then a[1:len(a) - 1] else a end)[1:512] end as words
-      from (select line_id, t, regexp_split_to_array(t, '[ ]+') as a from (select line_id, case when {where} then {line} else '' end as t from ev))),
+    return f"""wl as (select line_id, case when coalesce(t, '') = '' then [] else (case when len(a) > 1 and a[len(a)] = '' then a[1:len(a) - 1] else a end) end as words
+      from (select line_id, t, regexp_split_to_array(t, '{separator}') as a from (select line_id, case when {where} then {line} else '' end as t from ev))),
     tok as (select line_id, len(words) as nw, words[i] as w, i - 1 as pos from wl, unnest(range(1, len(words) + 1)) r(i) where words[i] <> '')"""
 
 
@@ -64,15 +65,16 @@ def _support(percent: float = PERCENT) -> str:
 
 _VOCAB = "voc as (select w as word, count(distinct line_id) as support from tok group by w), freq as (select word, support from voc, thr where support >= s)"
 _REWRITE = "rw as (select line_id, nw, pos, w, case when regexp_matches(w, '^u') and regexp_matches(w, '[0-9]+') then regexp_replace(w, '[0-9]+', 'N', 'g') end as r from tok)"
+_REWRITE_AGAIN = "rw as (select line_id, nw, pos, w, case when regexp_matches(w, '^u') and regexp_matches(w, '00') then regexp_replace(w, '00+', '0', 'g') end as r from tok)"
 _VOCAB_REWRITE = "voc as (select word, count(distinct line_id) as support from (select line_id, w as word from rw union all select line_id, r from rw where r is not null) group by word), freq as (select word, support from voc, thr where support >= s)"
 _CONST = "con as (select line_id, nw, pos, w from tok where w in (select word from freq))"
 _CONST_REWRITE = "con as (select line_id, nw, pos, case when w in (select word from freq) then w else r end as w from rw where w in (select word from freq) or r in (select word from freq))"
 _KEYS = """keys as (select line_id, list(w order by pos) as c, list(pos order by pos) as p, max(nw) as nw from con group by line_id),
     gap as (select line_id, c, unnest(range(1, len(c) + 2)) as i, p, nw from keys),
     env as (select c, i, min(g) as lo, max(g) as hi from (select c, i, case when i > len(c) then nw - p[len(c)] - 1 when i = 1 then p[1] else p[i] - p[i - 1] - 1 end as g from gap) group by c, i),
-    sup as (select c, count(*) as own from keys group by c)"""
+    sup as (select c, count(*) as own, min(line_id) as first_line from keys group by c)"""
 _CAND = """pat as (select c, string_agg(case when hi <> 0 then '*{' || lo || ',' || hi || '}' || case when i <= len(c) then ' ' else '' end else '' end || case when i <= len(c) then c[i] || ' ' else '' end, '' order by i) as pattern, list(lo order by i) as lo, list(hi order by i) as hi from env group by c),
-    cand as (select sup.c, len(sup.c) as k, pattern, lo, hi, own, own as support from sup join pat on sup.c = pat.c)"""
+    cand as (select sup.c, len(sup.c) as k, pattern, lo, hi, own, own as support, first_line from sup join pat on sup.c = pat.c)"""
 _CLUSTER = "clu as (select cand.* from cand, thr where support >= s)"
 _AGGR = """node as (select c, own, unnest(flatten(list_transform(range(1, k + 2), lambda i: list_concat(case when hi[i] <> 0 then [{'w': cast(null as varchar), 'lo': lo[i], 'hi': hi[i]}] else [] end, case when i <= k then [{'w': c[i], 'lo': cast(1 as bigint), 'hi': cast(1 as bigint)}] else [] end)))) as n, k from cand),
     path as (select c, any_value(own) as own, any_value(k) as k, list(n) as ns from (select c, own, k, n from node) group by c),
@@ -86,6 +88,18 @@ _AGGR = """node as (select c, own, unnest(flatten(list_transform(range(1, k + 2)
       from (select *, lo + ns[j].lo as lo2, hi + ns[j].hi as hi2 from fold where j <= len(ns) and not dead)),
     gain as (select pc, sum(own) as gained from fold where j = len(ns) + 1 and not dead and x = pk + 1 and plo[pk + 1] <= lo and hi <= phi[pk + 1] group by pc),
     agg as (select c, pattern, k, cast(own + coalesce(gained, 0) as bigint) as support from cand left join gain on c = pc)"""
+_COVERED = """lw as (select line_id, words, list_transform(words, lambda w: {'w': w, 'lo': 1, 'hi': 1}) as ns from wl),
+    pl as (select pattern, c as pc, k as pk, lo as plo, hi as phi, line_id, ns from clu join lw on list_has_all(words, c)),
+    fold as (select pattern, pc, pk, plo, phi, line_id, ns, 1 as j, 1 as x, cast(0 as bigint) as lo, cast(0 as bigint) as hi, false as dead from pl
+      union all select pattern, pc, pk, plo, phi, line_id, ns, j + 1,
+        case when x <= pk and lo2 - 1 >= plo[x] and hi2 - 1 <= phi[x] and ns[j].w = pc[x] then x + 1 else x end,
+        case when x <= pk and lo2 - 1 >= plo[x] and hi2 - 1 <= phi[x] and ns[j].w = pc[x] then 0 else lo2 end,
+        case when x <= pk and lo2 - 1 >= plo[x] and hi2 - 1 <= phi[x] and ns[j].w = pc[x] then 0 else hi2 end,
+        x <= pk and lo2 - 1 >= plo[x] and hi2 - 1 > phi[x]
+      from (select *, lo + ns[j].lo as lo2, hi + ns[j].hi as hi2 from fold where j <= len(ns) and not dead)),
+    cov as (select pattern, count(*) as n from fold where j = len(ns) + 1 and not dead and x = pk + 1 and plo[pk + 1] <= lo and hi <= phi[pk + 1] group by pattern)"""
+_PATHS = """steps as (select c, flatten(list_transform(range(1, k + 2), lambda i: list_concat(case when hi[i] <> 0 then ['*{' || lo[i] || ',' || hi[i] || '}'] else [] end, case when i <= k then ['=' || c[i]] else [] end))) as ns from cand),
+    heads as (select distinct ns[1:j] as head from steps, unnest(range(0, len(ns) + 1)) t(j))"""
 _DEP = """pairs as (select own, unnest(list_distinct(c)) as w1, list_distinct(c) as d from sup), cooc as (select w1, w2, cast(sum(own) as bigint) as n from (select w1, unnest(d) as w2, own from pairs) group by w1, w2),
     dep as (select a.w1, a.w2, a.n / b.n as dep from cooc a join cooc b on b.w1 = a.w1 and b.w2 = a.w1)"""
 
@@ -102,18 +116,18 @@ def _join(detail: bool) -> str:
     return f"""mask as (select c, list(case when weight >= 0.5 then word end order by pos) as m from wt group by c), jc as (select clu.*, m, len(list_filter(m, lambda x: x is null)) > 0 as tok from clu join mask on clu.c = mask.c),
     je as (select m, tok, i, min(lo[i]) as lo, max(hi[i]) as hi from jc, unnest(range(1, len(c) + 2)) t(i) group by m, tok, i),
     jt as (select m, tok, i, string_agg(distinct c[i], '|' order by c[i]) as m1, count(distinct c[i]) as nw, any_value(m[i] is null) as masked from jc, unnest(range(1, len(c) + 1)) t(i) group by m, tok, i),
-    jn as (select m, tok, cast(sum(support) as bigint) as support, count(*) as n_members from jc group by m, tok),
+    jn as (select m, tok, cast(sum(support) as bigint) as support, count(*) as n_members, min(first_line) as first_line, any_value(k) as k from jc group by m, tok),
     jp as (select je.m, je.tok, string_agg(case when hi <> 0 then '*{{' || lo || ',' || hi || '}}' || case when jt.i is not null then ' ' else '' end else '' end || case when jt.i is null then '' when nw > 1 then '(' || m1 || ') ' when masked then {single.replace("m", "m1")} || ' ' else m1 || ' ' end, '' order by je.i) as pattern
       from je left join jt on je.m is not distinct from jt.m and je.tok = jt.tok and je.i = jt.i group by je.m, je.tok),
-    joined as (select pattern, support, n_members, jp.tok as is_joined from jp join jn on jp.m is not distinct from jn.m and jp.tok = jn.tok)"""
+    joined as (select pattern, support, n_members, jp.tok as is_joined, first_line, k from jp join jn on jp.m is not distinct from jn.m and jp.tok = jn.tok)"""
 
 
 def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{', '.join(parts)} {select}"
 
 
-def _mined(*more: str, select: str, source: str = _EV, words: str | None = None, percent: float = PERCENT, rewrite: bool = False, recursive: bool = False) -> str:
-    vocab = (_REWRITE, _VOCAB_REWRITE, _CONST_REWRITE) if rewrite else (_VOCAB, _CONST)
+def _mined(*more: str, select: str, source: str = _EV, words: str | None = None, percent: float = PERCENT, rewrite: str | None = None, recursive: bool = False) -> str:
+    vocab = (rewrite, _VOCAB_REWRITE, _CONST_REWRITE) if rewrite else (_VOCAB, _CONST)
     return _with(source, words or _words(), _support(percent), *vocab, _KEYS, _CAND, *more, select=select, recursive=recursive)
 
 
@@ -138,7 +152,7 @@ def template_lines(spark, sf_dir):
 
 
 def tokenize(spark, sf_dir):
-    rows = vocabulary.exploded(vocabulary.tokenise(doc(spark, sf_dir), config()), config())
+    rows = vocabulary.exploded(vocabulary.tokenise(doc(spark, sf_dir), config()))
     return rows.select("line_id", F.col("pos").cast("long").alias("pos"), "word")
 
 
@@ -161,7 +175,7 @@ def word_histogram(spark, sf_dir):
 
 
 def word_rewrite(spark, sf_dir):
-    words = vocabulary.exploded(vocabulary.tokenise(ev(spark, sf_dir), config()), config()).select("word").distinct()
+    words = vocabulary.exploded(vocabulary.tokenise(ev(spark, sf_dir), config())).select("word").distinct()
     return words.withColumn("new", rewritten(F.col("word"), config(**REWRITE))).where("new is not null")
 
 
@@ -191,6 +205,32 @@ def clusters_by_constants(spark, sf_dir):
     return miner(spark, sf_dir, outputmode=1).report().select("pattern", F.col("n_constants").cast("long").alias("n_constants"), "support")
 
 
+def clusters_ranked(spark, sf_dir):
+    """The report in its order: by support."""
+    return miner(spark, sf_dir).report().select("rank", "pattern", "support")
+
+
+def clusters_ranked_by_constants(spark, sf_dir):
+    return miner(spark, sf_dir, outputmode=1).report().select("rank", "pattern", "support")
+
+
+def join_clusters_ranked(spark, sf_dir):
+    """Joined and other clusters in one order."""
+    return miner(spark, sf_dir, wweight=0.5, outputmode=1).report().select("rank", "pattern", "support", "is_joined")
+
+
+def clusters_separator(spark, sf_dir):
+    """Another separator, over lines with commas and tabs."""
+    lines = ev(spark, sf_dir).withColumn("line", F.regexp_replace("line", " user ", ",\t user,"))
+    return LineMiner(lines, config(separator="[ \t,]+")).report().select("pattern", "support")
+
+
+def clusters_byteoffset_multibyte(spark, sf_dir):
+    """An offset in bytes behind characters of two bytes."""
+    lines = ev(spark, sf_dir).withColumn("line", F.concat(F.lit("\u00e9\u00fc "), "line"))
+    return LineMiner(lines, config(byteoffset=5)).report().select("pattern", "support")
+
+
 def clusters_byteoffset(spark, sf_dir):
     return miner(spark, sf_dir, byteoffset=4).report().select("pattern", "support")
 
@@ -203,6 +243,25 @@ def clusters_rewrite(spark, sf_dir):
     return miner(spark, sf_dir, **REWRITE).report().select("pattern", "support")
 
 
+def word_rewrite_again(spark, sf_dir):
+    """Words rewritten until nothing matches: zeros in a row become one."""
+    words = vocabulary.exploded(vocabulary.tokenise(ev(spark, sf_dir), config())).select("word").distinct()
+    return words.withColumn("new", rewritten(F.col("word"), config(**REWRITE_AGAIN))).where("new is not null")
+
+
+def clusters_rewrite_again(spark, sf_dir):
+    return miner(spark, sf_dir, **REWRITE_AGAIN).report().select("pattern", "support")
+
+
+def join_clusters_rewrite(spark, sf_dir):
+    """Rewriting and word weights together."""
+    return _joined(miner(spark, sf_dir, wweight=0.5, **REWRITE))
+
+
+def weights_rewrite(spark, sf_dir):
+    return _weights_of(miner(spark, sf_dir, **REWRITE))
+
+
 def word_sketch_filter(spark, sf_dir):
     return miner(spark, sf_dir, wsize=5000).report().select("pattern", "support")
 
@@ -268,6 +327,21 @@ def run_summary(spark, sf_dir):
     return miner(spark, sf_dir, wweight=0.5).summary()
 
 
+def run_summary_aggregate(spark, sf_dir):
+    """With aggregated supports and the nodes of the candidates' prefix tree."""
+    return miner(spark, sf_dir, aggrsup=True).summary()
+
+
+def run_summary_sketches(spark, sf_dir):
+    """With the slots that a sketch leaves; they depend on the hash, so no SQL gives them."""
+    return miner(spark, sf_dir, wsize=5000, csize=5000).summary()
+
+
+def candidate_descriptions(spark, sf_dir):
+    """Candidates as the debug output lists them, by support."""
+    return miner(spark, sf_dir).described_candidates()
+
+
 def clusters_text_source(spark, sf_dir):
     """Through text files, as from a log folder."""
     path = os.path.join(shared_folder(spark), f"ev-{os.urandom(6).hex()}")
@@ -287,6 +361,8 @@ _ALL = (
     line_count, byteoffset_lines, lfilter_lines, template_lines, tokenize, word_support, frequent_words, relative_support, word_histogram, word_rewrite, word_support_rewrite,
     candidate_patterns, clusters, clusters_documents, clusters_by_constants, clusters_byteoffset, clusters_filtered, clusters_rewrite, word_sketch_filter, candidate_sketch_filter,
     aggregate_supports, aggregate_clusters, word_cooccurrence, word_dependency, weights_f1, weights_f2, join_clusters, join_clusters_detail, outliers, outliers_filtered, outliers_rewrite, run_summary, clusters_text_source, classify_lines,
+    clusters_ranked, clusters_ranked_by_constants, join_clusters_ranked, clusters_separator, clusters_byteoffset_multibyte, word_rewrite_again, clusters_rewrite_again, join_clusters_rewrite, weights_rewrite,
+    run_summary_aggregate, run_summary_sketches, candidate_descriptions,
 )
 
 
@@ -305,13 +381,18 @@ def _outliers(words: str | None = None, rewrite: bool = False) -> str:
         return _mined(_CLUSTER, words=words, select=_OUT)
     # clusters come from rewritten words, a line's own key does not
     own = "own as (select line_id, list(w order by pos) as c from tok where w in (select word from freq) group by line_id)"
-    return _mined(_CLUSTER, own, rewrite=True, select=_OUT.replace("from keys", "from own"))
+    return _mined(_CLUSTER, own, rewrite=_REWRITE, select=_OUT.replace("from keys", "from own"))
 
 
 def oracle_sql() -> dict[str, str]:
     clusters = _mined(_CLUSTER, select=_SHOWN)
     docs = lambda select, *more: _with(_DOC, _words(), _support(DOC_PERCENT), _VOCAB, *more, select=select)
-    below = ", ".join(f"count(*) filter (support <= {n} and support < s) as upto_{n}" for n in (1, 2, 5, 10, 20))
+    upto = ", ".join(f"count(*) filter (support <= {n}) as upto_{n}, cast(floor(100 * count(*) filter (support <= {n}) / count(*)) as bigint) as percent_upto_{n}" for n in (1, 2, 5, 10, 20))
+    below = f"{upto}, count(*) filter (support < s) as below, round(100 * count(*) filter (support < s) / count(*), 2) as percent_below"
+    rank = lambda order, rows: f"select row_number() over (order by {order}, pattern) as rank, * exclude (k, first_line) from ({rows})"
+    by_support, by_constants = "support desc, k, first_line desc", "k, is_joined, first_line desc"
+    shown = "select pattern, support, k, first_line{} from clu"
+    counts = "(select s from thr) as support, (select count(*) from ev) as lines, (select count(*) from voc) as words, (select count(*) from freq) as frequent_words, (select count(*) from cand) as candidates"
     weights = "select array_to_string(c, ' ') as constants, cast(pos - 1 as bigint) as pos, word, round(weight, 6) as weight from wt"
     joined = "select pattern, support, n_members, is_joined from joined"
     return {
@@ -323,6 +404,18 @@ def oracle_sql() -> dict[str, str]:
         "word_support": docs("select word, support from voc"),
         "frequent_words": docs("select word, support from freq"),
         "relative_support": _with(_DOC, _support(DOC_PERCENT), select="select (select count(*) from ev) as lines, s as support from thr"),
+        "clusters_ranked": _mined(_CLUSTER, select=rank(by_support, shown.format(""))),
+        "clusters_ranked_by_constants": _mined(_CLUSTER, select=rank(by_constants.replace("is_joined, ", ""), shown.format(""))),
+        "join_clusters_ranked": _mined(_CLUSTER, _DEP, _weights(1), _join(False), select=rank(by_constants, "select pattern, support, is_joined, k, first_line from joined")),
+        "clusters_separator": _mined(_CLUSTER, words=_words("replace(line, ' user ', ',' || chr(9) || ' user,')", separator="[ \\t,]+"), select=_SHOWN),
+        "clusters_byteoffset_multibyte": _mined(_CLUSTER, words=_words("substr('\u00e9\u00fc ' || line, 4)"), select=_SHOWN),
+        "word_rewrite_again": _with(_EV, _words(), _REWRITE_AGAIN, select="select distinct w as word, r as new from rw where r is not null"),
+        "clusters_rewrite_again": _mined(_CLUSTER, rewrite=_REWRITE_AGAIN, select=_SHOWN),
+        "join_clusters_rewrite": _mined(_CLUSTER, _DEP, _weights(1), _join(False), rewrite=_REWRITE, select=joined),
+        "weights_rewrite": _mined(_CLUSTER, _DEP, _weights(1), rewrite=_REWRITE, select=weights),
+        "run_summary_aggregate": _mined(_AGGR, "clu as (select agg.* from agg, thr where support >= s)", _PATHS, recursive=True, select=f"select {counts}, (select count(*) from clu) as clusters, (select count(*) from ({_OUT})) as outliers, (select count(*) from heads) as path_prefixes"),
+        "candidate_descriptions": _mined(select="select row_number() over (order by support desc, k, first_line desc, pattern) as rank, 'candidate ' || format('{:,}', support) || ' ' || pattern as description from cand"),
+        "classify_lines": _mined(_CLUSTER, _COVERED, recursive=True, select="select pattern, n from cov"),
         "word_histogram": docs(f"select count(*) as words, count(*) filter (support >= s) as frequent, {below} from voc, thr"),
         "word_rewrite": _with(_EV, _words(), _REWRITE, select="select distinct w as word, r as new from rw where r is not null"),
         "word_support_rewrite": _with(_EV, _words(), _support(), _REWRITE, _VOCAB_REWRITE, select="select word, support from voc"),
@@ -332,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
         "clusters_by_constants": _mined(_CLUSTER, select="select pattern, cast(k as bigint) as n_constants, support from clu"),
         "clusters_byteoffset": _mined(_CLUSTER, words=_words("substr(line, 5)"), select=_SHOWN),
         "clusters_filtered": _mined(_CLUSTER, words=_words(_TEMPLATED, _FILTERED), select=_SHOWN),
-        "clusters_rewrite": _mined(_CLUSTER, rewrite=True, select=_SHOWN),
+        "clusters_rewrite": _mined(_CLUSTER, rewrite=_REWRITE, select=_SHOWN),
         "word_sketch_filter": clusters,
         "candidate_sketch_filter": clusters,
         "clusters_text_source": clusters,
@@ -347,5 +440,5 @@ def oracle_sql() -> dict[str, str]:
         "outliers": _outliers(),
         "outliers_filtered": _outliers(words=_words("line", _FILTERED)),
         "outliers_rewrite": _outliers(rewrite=True),
-        "run_summary": _mined(_CLUSTER, _DEP, _weights(1), _join(False), select=f"select (select s from thr) as support, (select count(*) from ev) as lines, (select count(*) from voc) as words, (select count(*) from freq) as frequent_words, (select count(*) from cand) as candidates, (select count(*) from clu) as clusters, (select count(*) from ({_OUT})) as outliers, (select count(*) from joined where is_joined) as joined_clusters, (select count(*) from joined) as total_clusters"),
+        "run_summary": _mined(_CLUSTER, _DEP, _weights(1), _join(False), select=f"select {counts}, (select count(*) from clu) as clusters, (select count(*) from ({_OUT})) as outliers, (select count(*) from joined where is_joined) as joined_clusters, (select count(*) from joined) as total_clusters"),
     }

@@ -5,19 +5,36 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
-from linepatterns.functions.text import pattern_text, token_text
+from linepatterns.functions.text import candidate_text, cut_lines, pattern_text, token_text
 from linepatterns.operators import aggregate, candidates, vocabulary, weights
 
 
 class LineMiner:
-    """lines: (line_id, line). Each property or method is a DataFrame; only support and the number of frequent words reach the driver."""
+    """lines: (line_id, line). Each property or method is a DataFrame; only support, the number of frequent words, and the words if they are few reach the driver.
+
+    Frequent words and counted keys are kept for the stages that share them until ``close()``, or the end of a ``with`` block.
+    """
 
     def __init__(self, lines: DataFrame, config: MinerConfig):
-        self.lines, self.config = lines, config
+        self.lines, self.config, self._held = cut_lines(lines, config.max_line_bytes), config, []
+
+    def __enter__(self) -> LineMiner:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._held[-1]
 
     @cached_property
     def n_lines(self) -> int:
@@ -37,32 +54,47 @@ class LineMiner:
 
     @cached_property
     def frequent_words(self) -> DataFrame:
-        return self.vocabulary.where(F.col("support") >= self.support).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._hold(self.vocabulary.where(F.col("support") >= self.support))
 
     @cached_property
     def n_frequent(self) -> int:
         return self.frequent_words.count()
 
+    @cached_property
+    def known(self):
+        return candidates.known_words(self.frequent_words, self.config)
+
     def _keys(self, rewrite: bool | None = None) -> DataFrame:
-        return candidates.line_keys(self.tokens, self.frequent_words, self.config, self.n_frequent <= self.config.broadcast_words, rewrite)
+        return candidates.line_keys(self.tokens, self.frequent_words, self.known, self.config, rewrite)
 
     @cached_property
     def line_keys(self) -> DataFrame:
-        return self._keys()
+        """(line_id, constants, gaps) of the lines with a constant."""
+        return self._keys().where(F.size("constants") > 0).select("line_id", "constants", "gaps")
+
+    @cached_property
+    def counted_keys(self) -> DataFrame:
+        """Lines by key: one pass over the lines, for candidates, co-occurrence and weights together."""
+        return self._hold(candidates.counted_keys(self.line_keys))
 
     @cached_property
     def candidates(self) -> DataFrame:
         """With aggregated support if the run aggregates."""
-        found = candidates.candidates(self.line_keys, self.config, self.support)
+        found = candidates.candidates(self.counted_keys, self.config, self.support)
         if self.config.aggrsup:
-            found = aggregate.aggregate_supports(found.persist(StorageLevel.MEMORY_AND_DISK))
+            found = aggregate.aggregate_supports(self._hold(found))
         return found
 
+    def described_candidates(self) -> DataFrame:
+        """(rank, description): all candidates by support, as the debug output has them. The order is that of sorted files; ranks come from it."""
+        found = self.candidates.withColumn("pattern", pattern_text(F.col("constants"), F.col("gap_min"), F.col("gap_max")))
+        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("support"), "n_constants", F.desc("first_line_id"), "pattern")
+        return found.select(F.row_number().over(order).cast("long").alias("rank"), candidate_text(F.col("pattern"), F.col("support")).alias("description")).orderBy("rank")
+
     @cached_property
     def cooccurrence(self) -> DataFrame:
         """From all lines with a constant, also those whose candidates a sketch drops."""
-        rows = self.line_keys.groupBy("constants").agg(F.count("*").alias("own_support"))
-        return weights.cooccurrence(rows)
+        return weights.cooccurrence(self.counted_keys.groupBy("constants").agg(F.sum("support").alias("own_support")))
 
     @cached_property
     def dependency(self) -> DataFrame:
@@ -84,23 +116,30 @@ class LineMiner:
         return found.withColumn("pattern", pattern_text(token_text(F.col("tokens"), self.config.detailtoken), F.col("gap_min"), F.col("gap_max")))
 
     def report(self) -> DataFrame:
-        """(pattern, support) and what orders them: by support, or by the number of constants."""
+        """(rank, pattern, support) and what orders them: by support, or by the number of constants."""
         found = self.joined if self.config.wweight else self.clusters.withColumn("is_joined", F.lit(False))
         found = found.select("pattern", "support", "n_constants", "first_line_id", "is_joined")
         order = [F.col("n_constants"), F.col("is_joined"), F.desc("first_line_id")] if self.config.outputmode else [F.desc("support"), F.col("n_constants"), F.desc("first_line_id")]
-        return found.orderBy(*order, "pattern")
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "pattern"))  # of the clusters, which are lines / support at most, or a few more if supports are aggregated
+        return found.withColumn("rank", rank.cast("long")).orderBy("rank")
 
     def outliers(self) -> DataFrame:
         """Lines that are in no cluster by their own words; nothing if no word is frequent."""
         if not self.n_frequent:
             return self.lines.where(F.lit(False)).select("line_id", "line")
-        keys = self.line_keys if self.config.outliers_use_rewrite else self._keys(rewrite=False)
-        return candidates.outliers(self.lines, keys, self.clusters)
+        keys = self._keys(None if self.config.outliers_use_rewrite else False)
+        return candidates.outliers(keys, self.clusters)
 
     def summary(self) -> DataFrame:
         """One row of counts."""
         count = lambda df, name, where="true": df.agg(F.count_if(F.expr(where)).alias(name))
         parts = [count(self.lines, "lines"), count(self.vocabulary, "words"), count(self.frequent_words, "frequent_words"), count(self.candidates, "candidates"), count(self.clusters, "clusters"), count(self.outliers(), "outliers")]
+        if self.config.wsize:
+            parts.append(count(vocabulary.word_sketch(self.tokens, self.config), "word_slots", f"cnt >= {self.support}"))
+        if self.config.csize:
+            parts.append(count(candidates.candidate_sketch(self.counted_keys, self.config), "candidate_slots", f"cnt >= {self.support}"))
+        if self.config.aggrsup:
+            parts.append(count(aggregate.path_prefixes(self.candidates), "path_prefixes"))
         if self.config.wweight:
             parts += [count(self.joined, "joined_clusters", "is_joined"), count(self.joined, "total_clusters")]
         return self.lines.sparkSession.range(1).select(F.lit(self.support).cast("long").alias("support"), *(p.scalar().alias(p.columns[0]) for p in parts))

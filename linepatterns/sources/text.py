@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linepatterns.functions.text import report_text
+
 log = logging.getLogger("linepatterns")
 
 
 def matching_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """Paths that Spark's file systems find for the patterns, in order, repeats kept; what matches nothing is logged and skipped."""
+    """Paths that Spark's file systems find for the patterns, in order, repeats kept; what matches nothing or may not be read is logged and skipped."""
     jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    read = jvm.org.apache.hadoop.fs.permission.FsAction.READ
     for p in patterns:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        found = path.getFileSystem(conf).globStatus(path)
+        files = path.getFileSystem(conf)
+        found = files.globStatus(path)
         if not found:
             log.error("nothing to read at %s", p)
-        out += [f.getPath().toString() for f in found or ()]
+        for f in found or ():
+            try:
+                files.access(f.getPath(), read)
+            except Py4JJavaError as e:
+                log.error("%s can't be read: %s", f.getPath().toString(), e.java_exception.getMessage())
+                continue
+            out.append(f.getPath().toString())
     return out
 
 
@@ -43,9 +54,14 @@ def write_outliers(outliers: DataFrame, path: str) -> None:
     outliers.select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
-def write_report(clusters: DataFrame, path: str) -> None:
-    """A text file a cluster in the order of the report; nothing is written if there are none."""
-    from linepatterns.functions.text import report_text
+def report_lines(report: DataFrame) -> DataFrame:
+    """(rank, value): the report as text in its order, with a blank line before and after it; nothing if there are no clusters."""
+    body = report.select("rank", report_text(F.col("pattern"), F.col("support")).alias("value"))
+    frame = report.agg(F.count("*").alias("n")).where("n > 0").select(F.explode(F.array(F.lit(0), F.col("n") + 1)).alias("rank"), F.lit("").alias("value"))
+    return frame.unionByName(body)
+
 
-    if not clusters.isEmpty():
-        clusters.select(report_text(F.col("pattern"), F.col("support")).alias("value")).write.mode("overwrite").text(path)
+def write_report(report: DataFrame, path: str) -> None:
+    """One text file in the order of the report, which has at most lines / support clusters; nothing is written if there are none."""
+    if not report.isEmpty():
+        report_lines(report).repartition(1).sortWithinPartitions("rank").select("value").write.mode("overwrite").text(path)

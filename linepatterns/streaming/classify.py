@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
 from linepatterns.functions.text import words_of
-from linepatterns.operators.aggregate import covers
+from linepatterns.operators.aggregate import covers, rarest_words
 
 
 def classify(lines: DataFrame, clusters: DataFrame, config: MinerConfig) -> DataFrame:
     """``lines`` (any columns, among them line) with the patterns that cover each. Stateless: it works on streams.
 
-    A line meets the clusters whose first constant it holds by an equi-join, and then their gaps are tested. clusters: constants,
+    A line meets the clusters whose rarest constant it holds by an equi-join, and then their gaps are tested. clusters: constants,
     gap_min, gap_max, pattern, as mined; static.
     """
     node = lambda w: F.struct(w.alias("word"), F.lit(1).alias("lo"), F.lit(1).alias("hi"))
     words = lines.withColumn("_words", words_of(F.col("line"), config))
-    rows = words.withColumn("_nodes", F.transform("_words", node)).withColumn("_first", F.explode(F.array_distinct("_words")))
-    known = clusters.select(F.get("constants", 0).alias("_first"), F.col("constants").alias("_c"), F.col("gap_min").alias("_lo"), F.col("gap_max").alias("_hi"), "pattern")
-    found = rows.join(known, "_first").where(covers(F.col("_nodes"), "_c", "_lo", "_hi"))
+    rows = words.withColumn("_nodes", F.transform("_words", node)).withColumn("_word", F.explode(F.array_distinct("_words")))
+    anchor = rarest_words(clusters)
+    known = clusters.join(anchor, "constants").select(F.col("anchor").alias("_word"), F.col("constants").alias("_c"), F.col("gap_min").alias("_lo"), F.col("gap_max").alias("_hi"), "pattern")
+    found = rows.join(known, "_word").where(covers(F.col("_nodes"), "_c", "_lo", "_hi"))
     return found.select(*lines.columns, "pattern")
 
 
