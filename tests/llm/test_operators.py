@@ -436,13 +436,77 @@ def test_components_of_paths(spark):
 
 
 def test_language_id(spark, docs, odd):
-    out = queries.op10_language_id(spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    large = SF.replace("0.001", "0.01")
+    labelled = spark.read.parquet(f"{large}/documents.parquet")
+    out = queries.op10_language_id(spark, large).join(labelled.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    for lang in {r["lang"] for r in out} - {None}:
+        own = [r for r in out if r["lang"] == lang]
+        assert sum(r["lang"] == r["lang_pred"] for r in own) / len(own) > 0.95, lang
     assert sum(r["lang"] == r["lang_pred"] for r in out) / len(out) > 0.97
     model = language_id.learn(odd)
-    rows = language_id.identify(odd, model, keep=("doc_id", "text")).collect()
+    rows = language_id.identify(odd.withColumnRenamed("size", "_f0"), model, keep=("doc_id", "text", "_f0")).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert all((r["lang_pred"] == "und") == (not language_id.words(r["text"])) for r in rows)
     nothing = language_id.identify(odd, language_id.learn(empty(spark))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+    assert language_id.identify(empty(spark), model).collect() == []
+
+
+def test_language_id_letters(spark):
+    """Numeric characters are no letters, and marks belong to the letters before them."""
+    assert language_id.words("\u00bd \u00b2 \u2460 12 \u2167") == []
+    assert language_id.words("\u0939\u093f\u0928\u094d\u0926\u0940 na\u00efve A1b _c") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "na\u00efve", "a", "b", "c"]
+    model = language_id.learn(spark.createDataFrame([(1, "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e", "hi"), (2, "some words", "en")], "doc_id long, text string, lang string"))
+    got = language_id.identify(spark.createDataFrame([(1, "\u00bd \u00b2 \u2460"), (2, "\u0939\u093f\u0928\u094d\u0926\u0940!"), (3, "word")], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(got)] == ["und", "hi", "en"]
+
+
+def test_language_id_against_a_plain_model(spark, monkeypatch):
+    """Scores and winners, worked out with dictionaries of strings; ties, unseen words, many languages and a full memory."""
+    import math
+
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    langs = {f"l{i:02d}": "abcdefghij\u00e9\u00fc"[i % 7 : i % 7 + 5] for i in range(20)}
+    train = [(i, " ".join(word(a) for _ in range(30)), lang) for i, (lang, a) in enumerate(sorted(langs.items()))] + [(90, "tie", "l00"), (91, "tie", "l01"), (92, None, "l02"), (93, "none of it", None)]
+    test = [(i, " ".join(word(rng.choice(list(langs.values()))) for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(900, "tie"), (901, "zzz"), (902, None), (903, "1 2")]
+    tables = [defaultdict(Counter) for _ in range(6)]
+    for _, t, lang in train:
+        if t and lang:
+            for w in language_id.words(t):
+                tables[0][w][lang] += 1
+                for n in range(1, 6):
+                    for g in language_id.grams(w, n):
+                        tables[n][g][lang] += 1
+    names = sorted({lang for _, t, lang in train if t and lang})
+    total = [Counter() for _ in range(6)]
+    worst = [dict.fromkeys(names, 0.0) for _ in range(6)]
+    for n in range(6):
+        for c in tables[n].values():
+            total[n].update(c)
+        for c in tables[n].values():
+            for lang, k in c.items():
+                worst[n][lang] = max(worst[n][lang], 1 - math.log10(k / total[n][lang]))
+    row = lambda n, g: [-math.log10(tables[n][g][x] / total[n][x]) if tables[n][g][x] else worst[n][x] for x in names]
+
+    def of(w):
+        if w in tables[0]:
+            return row(0, w)
+        for n in range(5, 0, -1):
+            if found := [row(n, g) for g in language_id.grams(w, n) if g in tables[n]]:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+
+    monkeypatch.setattr(language_id, "MEMORY", 5000)
+    model = language_id.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"), sample=20 * 10**6)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(spark.createDataFrame(test, "doc_id long, text string"), model).collect()}
+    for d, t in test:
+        ws = language_id.words(t)
+        rows = [r for w in ws if (r := of(w))]
+        if not rows:
+            assert got[d] == ((names[0], 1 / len(names)) if ws else ("und", 0.0))
+            continue
+        mean = [sum(x) / len(rows) for x in zip(*rows, strict=True)]
+        assert abs(mean[names.index(got[d][0])] - min(mean)) < 1e-9 and abs(got[d][1] - 1 / sum(10 ** (min(mean) - m) for m in mean)) < 1e-9
+    assert got[900][0] in ("l00", "l01")
 
 
