@@ -30,8 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("record_id", warc.response_id("page_id", "url"))
-    return warc.derivatives(pages, keep=("page_id",)).drop("record")
+    """The pages as response records, each taken apart again and derived from: both records of it, bytes included."""
+    records = warc.as_records(table(spark, sf_dir, "pages"), keep=("page_id",))
+    found = warc.responses(records, keep=("page_id",), all_rows=True)
+    return warc.derivatives(found, payload_digest="payload_digest", payload_length="payload_length", keep=("page_id",))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,21 @@
 """WARC derivatives: a metadata and a plain-text conversion record for each response record.
 
-Both refer to the response by WARC-Refers-To and carry its target URI and date. The metadata block (application/warc-fields)
-lists what the source says of itself: its record id, payload digest, length, content type and further headers, then title,
-language, character set and outlinks found in the page, in order. The conversion block is the page's text: without
-comments, scripts, styles and tags, block elements ending a line, character references decoded, white space folded. Digests
-are ``sha1:`` and Base32 as is usual in WARC files. Record ids are UUIDs of the digest of kind, source record and block, so
-a rerun gives the same ones.
-
-A null payload is an empty page and still gives both records; a null target URI or header is left out. Very long pages are
-handled one at a time, and the patterns do not back up over them. Repeated rows give repeated records.
+Responses. ``responses`` takes response records as they stand in a WARC file (record head, HTTP head, body) apart, a record a row, and
+``read_records`` splits WARC files into them. ``as_records`` makes such records of a table of pages that has none.
+
+Derivatives refer to their response by WARC-Refers-To, WARC-Refers-To-Target-URI and WARC-Refers-To-Date and carry its target URI and
+date. The metadata block (application/warc-fields) lists what the source says of itself: its record id, payload digest, length and
+HTTP status and headers, then title, language, character set and outlinks found in the page, in order. The conversion block is the
+page's text: without comments, scripts, styles and tags, block elements ending a line, character references decoded, white space
+folded. Digests are ``sha1:`` and Base32 as is usual in WARC files. Record ids are UUIDs of the digest of kind, source record and
+block, so a rerun gives the same ones.
+
+A page is read once from start to end: a tag ends at the first ``>`` after it, nothing is tried past the last one, and a comment,
+script or style that never ends hides the rest.
+
+A null payload is an empty page and still gives both records; a null target URI, date or header is left out. Records that are no
+response, or that are cut short, are left out by ``responses`` unless asked for. Repeated rows give repeated records. Of the tables
+only the named columns and ``keep`` are read.
 """
 
 from __future__ import annotations
@@ -18,85 +25,221 @@ import hashlib
 import html
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATE = "1970-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|h[1-6]|nav|header|footer|article|section|aside|main|title|head|body|html|pre|blockquote|form|figure|figcaption|option)\b[^>]*>", re.I)
-_CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<a\s[^>]*?href\s*=\s*(?:"([^">]*)"|'([^'>]*)'|([^\s"'>]+))""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
-_CHARSET = re.compile(r"""<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
+VERSION = b"WARC/1.0\r\n"
+#: fixed values: elements that hide their content, that end a line, and that part cells
+HIDDEN = frozenset("script style noscript template".split())
+BLOCK = frozenset("p div br hr li ul ol dl dt dd table tr h1 h2 h3 h4 h5 h6 nav header footer article section aside main title head body html pre blockquote form figure figcaption option".split())
+CELL = frozenset("td th".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
 
 
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def parts(page: str) -> Iterator[tuple[str | None, str]]:
+    """(None, text) and (name of the element, with a slash if it ends, what stands in the tag), in order; hidden content is left out."""
+    lower, at, last, shown = None, 0, page.rfind(">"), 0
+    while 0 <= (i := page.find("<", at)) < last or (i >= 0 and page.startswith("<!--", i)):
+        if page.startswith("<!--", i):
+            yield None, page[shown:i]
+            end = page.find("-->", i + 4)
+            at = shown = len(page) if end < 0 else end + 3
+            continue
+        if page[i + 1 : i + 2] not in ("/", "!", "?") and not page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] > "z":
+            at = i + 1
+            continue
+        end = page.find(">", i)
+        inside = page[i + 1 : end]
+        name = m[0].lower() if (m := _NAME.match(inside)) else ""
+        yield None, page[shown:i]
+        yield name, inside[len(name) :]
+        at = shown = end + 1
+        if name in HIDDEN:
+            lower = lower if lower is not None else page.translate(_LOWER)
+            close = lower.find("</" + name, at)
+            end = page.find(">", close) if close >= 0 else -1
+            at = shown = len(page) if end < 0 else end + 1
+    yield None, page[shown:]
+
+
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
 def plain_text(page: str) -> str:
-    text = _BLOCK.sub("\n", _HIDDEN.sub(" ", page))
-    text = html.unescape(_TAG.sub("", _CELL.sub(" ", text)))
-    return "\n".join(line for x in text.split("\n") if (line := " ".join(x.split())))
+    out = []
+    for name, text in parts(page):
+        bare = name.lstrip("/") if name else name
+        out.append(text if name is None else "\n" if bare in BLOCK else " " if bare in CELL else "")
+    return "\n".join(line for x in html.unescape("".join(out)).split("\n") if (line := _folded(x)))
 
 
 def _folded(value: str) -> str:
     return " ".join(value.split())
 
 
+def _attributes(inside: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(inside):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
 def metadata_block(page: str, source: list[tuple[str, str | None]]) -> str:
-    shown = _HIDDEN.sub(" ", page)
-    first = lambda pattern: _folded(html.unescape(m[1])) if (m := pattern.search(shown)) else None
-    fields = [*source, ("title", first(_TITLE)), ("language", first(_LANG)), ("charset", first(_CHARSET))]
-    fields += [("outlink", _folded(html.unescape(m[1] or m[2] or m[3] or ""))) for m in _LINK.finditer(shown)]
+    found: dict[str, str] = {}
+    links, title = [], None
+    for name, text in parts(page):
+        if name is None:
+            if title is not None:
+                title.append(text)
+            continue
+        if name == "title" and "title" not in found and title is None:
+            title = []
+        elif name == "/title" and title is not None:
+            found["title"], title = _folded(html.unescape("".join(title))), None
+        elif name in ("html", "meta", "a"):
+            own = _attributes(text)
+            if name == "html" and own.get("lang"):
+                found.setdefault("language", own["lang"])
+            elif name == "meta" and (m := _CHARSET.search(text)):
+                found.setdefault("charset", m[1])
+            elif name == "a" and "href" in own:
+                links.append(_folded(html.unescape(own["href"])))
+    fields = [*source, *((k, found.get(k)) for k in ("title", "language", "charset")), *(("outlink", x) for x in links)]
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
 
 
 def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     """One WARC/1.0 record."""
     head = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
-    return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return VERSION + head.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
+
+
+def heads(lines: str) -> list[tuple[str, str]]:
+    """(name, value) of header lines; a line that begins with white space goes on with the value before it."""
+    out: list[tuple[str, str]] = []
+    for line in lines.splitlines():
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], _folded(out[-1][1] + " " + line))
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            out.append((name.strip(), _folded(value)))
+    return out
+
+
+def response(record: bytes | None) -> tuple | None:
+    """(record id, target URI, date, HTTP head, payload as text, digest of the payload's bytes, their number) of a whole response record; else null."""
+    head, found, rest = (record or b"").partition(b"\r\n\r\n")
+    if not found or not head.startswith(b"WARC/"):
+        return None
+    own = {k.lower(): v for k, v in heads(head.split(b"\r\n", 1)[-1].decode("utf-8", "replace"))}
+    size = own.get("content-length", "")
+    if own.get("warc-type", "").lower() != "response" or not size.isdigit() or len(rest) < int(size):
+        return None
+    http, found, payload = rest[: int(size)].partition(b"\r\n\r\n")
+    if not found:
+        http, payload = b"", http
+    charset = _CHARSET.search(dict((k.lower(), v) for k, v in heads(http.decode("latin-1"))).get("content-type", "")) or _CHARSET.search(payload[:2048].decode("latin-1"))
+    try:
+        text = payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        text = payload.decode("utf-8", "replace")
+    return own.get("warc-record-id"), own.get("warc-target-uri"), own.get("warc-date"), http.decode("latin-1"), text, digest(payload), len(payload)
+
 
+_RESPONSE = "record_id string, url string, date string, headers string, html string, payload_digest string, payload_length long"
 
-def derive(page: str | None, uri: str | None, record_id: str, date: str | None, source: str | None) -> list[tuple]:
-    """(type, record id, content type, length, block digest, payload digest of the source, block) of both records."""
-    payload = (page or "").encode()
-    source_digest = digest(payload)
-    own = [("source-record-id", record_id), ("source-payload-digest", source_digest), ("source-content-length", str(len(payload)))]
-    own += [(f"source-header-{k.strip().lower()}", _folded(v)) for line in (source or "").splitlines() if ":" in line for k, v in [line.split(":", 1)]]
+
+def responses(records: DataFrame, record: str = "record", keep: tuple[str, ...] = (), all_rows: bool = False) -> DataFrame:
+    """The ``keep`` columns and record_id, url, date, headers, html, payload_digest and payload_length of each response; other records go, or have nulls with ``all_rows``."""
+    fields = [f"_f{i}" for i in range(len(keep))]
+    base = records.select(*(F.col(k).alias(f) for k, f in zip(keep, fields, strict=True)), F.col(record).cast("binary").alias("_record"))
+
+    def take(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 200):
+                part = batch.slice(lo, 200)
+                found = [response(r) for r in part.column("_record").to_pylist()]
+                at = [i for i, r in enumerate(found) if r or all_rows]
+                columns = list(zip(*(found[i] or (None,) * 7 for i in at), strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([*(part.column(f).take(pa.array(at, pa.int64())) for f in fields), *(pa.array(x, pa.string()) for x in columns[:6]), pa.array(columns[6], pa.int64())], names=[*fields, *(x.split()[0] for x in _RESPONSE.split(", "))])
+
+    out = base.mapInArrow(take, "".join(f"{f} {base.schema[f].dataType.simpleString()}, " for f in fields) + _RESPONSE)
+    return out.select(*(F.col(f).alias(k) for k, f in zip(keep, fields, strict=True)), *(x.split()[0] for x in _RESPONSE.split(", ")))
+
+
+def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(record): the records of WARC files, plain ones split among tasks, compressed ones a task a file. A record must fit in memory; one whose body holds the first line of a record is cut there."""
+    rows = spark.read.option("lineSep", VERSION.decode()).text(paths).select(F.col("value").cast("binary").alias("value"))
+    return rows.where(F.octet_length("value") > 0).select(F.concat(F.lit(bytearray(VERSION)), "value").alias("record"))
+
+
+def as_records(pages: DataFrame, payload: str = "html", uri: str = "url", date: str = "1970-01-01T00:00:00Z", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``keep`` columns and record: a response record for each page of a table that has the pages alone. Its id is a UUID of URI and page."""
+    body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"))
+    block = F.concat(F.encode(http, "UTF-8"), body)
+    head = F.concat(F.lit(VERSION.decode() + "WARC-Type: response\r\n"), line("WARC-Record-ID", response_id(uri, payload)), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.col(uri)), F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
+    return pages.select(*keep, F.concat(F.encode(head, "UTF-8"), block, F.lit(bytearray(b"\r\n\r\n"))).alias("record"))
+
+
+def derive(page: str | None, uri: str | None, record_id: str | None, date: str | None, source: str | None, payload_digest: str | None = None, payload_length: int | None = None) -> list[tuple]:
+    """(type, record id, content type, length, block digest, payload digest of the source, block, record) of both records."""
+    payload = (page or "").encode("utf-8", "replace")
+    source_digest = payload_digest or digest(payload)
+    own = [("source-record-id", record_id), ("source-payload-digest", source_digest), ("source-content-length", str(len(payload) if payload_length is None else payload_length))]
+    if source and source.startswith("HTTP/"):
+        own.append(("source-http-status", _folded(source.splitlines()[0])))
+        source = source.partition("\n")[2]
+    own += [(f"source-header-{k.lower()}", v) for k, v in heads(source or "")]
     out = []
     for kind, content, block in (("metadata", "application/warc-fields", metadata_block(page or "", own)), ("conversion", "text/plain; charset=utf-8", plain_text(page or ""))):
         raw = block.encode("utf-8", "replace")
-        name = f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind} {record_id} {digest(raw)}'.encode()).digest()[:16], version=5)}>"
-        head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date or DATE), ("WARC-Target-URI", uri), ("WARC-Refers-To", record_id), ("WARC-Block-Digest", digest(raw)), ("WARC-Payload-Digest", digest(raw)), ("Content-Type", content), ("Content-Length", str(len(raw)))]
+        name = f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind} {record_id} {digest(raw)}'.encode('utf-8', 'replace')).digest()[:16], version=5)}>"
+        head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", record_id), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
+        head += [("WARC-Block-Digest", digest(raw)), ("WARC-Payload-Digest", digest(raw)), ("Content-Type", content), ("Content-Length", str(len(raw)))]
         out.append((kind, name, content, len(raw), digest(raw), source_digest, block, serialise(head, raw)))
     return out
 
 
-def derivatives(responses: DataFrame, payload: str = "html", uri: str = "url", record_id: str = "record_id", date: str | None = None, headers: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Two rows for each response: the ``keep`` columns, record_type, warc_record_id, refers_to, target_uri, content_type, content_length, block_digest, source_digest, block and record (bytes for a WARC file)."""
-    spare = F.lit(None).cast("string")
-    base = responses.select(*keep, F.col(payload).alias("_page"), F.col(uri).alias("_uri"), F.col(record_id).alias("_record"), (F.col(date) if date else spare).alias("_date"), (F.col(headers) if headers else spare).alias("_headers"))
+def derivatives(responses: DataFrame, payload: str = "html", uri: str = "url", record_id: str = "record_id", date: str | None = "date", headers: str | None = "headers", payload_digest: str | None = None, payload_length: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two rows for each response: the ``keep`` columns, record_type, warc_record_id, refers_to, target_uri, date, content_type, content_length, block_digest, source_digest, block and record (bytes for a WARC file)."""
+    fields = [f"_f{i}" for i in range(len(keep))]
+    own = lambda c, kind="string": F.col(c).cast(kind) if c else F.lit(None).cast(kind)
+    inputs = {"_page": own(payload), "_uri": own(uri), "_record": own(record_id), "_date": own(date), "_headers": own(headers), "_digest": own(payload_digest), "_length": own(payload_length, "long")}
+    base = responses.select(*(F.col(k).alias(f) for k, f in zip(keep, fields, strict=True)), *(c.alias(n) for n, c in inputs.items()))
+
+    names = list(inputs)
 
     def build(batches):
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.slice(lo, 200)
-                rows = list(zip(*(part.column(k).to_pylist() for k in ("_page", "_uri", "_record", "_date", "_headers")), strict=True))
-                made = [(r[2], r[1], *d) for r in rows for d in derive(*r)]
-                refers, target, kind, name, content, size, block_digest, source_digest, block, record = zip(*made, strict=True)
+                rows = list(zip(*(part.column(k).to_pylist() for k in names), strict=True))
+                made = [(r[2], r[1], r[3], *d) for r in rows for d in derive(*r)]
+                refers, target, when, kind, name, content, size, block_digest, source_digest, block, record = zip(*made, strict=True)
                 twice = pa.array([i for i in range(len(part)) for _ in range(2)])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k).take(twice) for k in keep), *(pa.array(x, pa.string()) for x in (kind, name, refers, target, content)), pa.array(size, pa.int64()), *(pa.array(x, pa.string()) for x in (block_digest, source_digest, block)), pa.array(record, pa.binary())],
-                    names=[*keep, "record_type", "warc_record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest", "block", "record"],
+                    [*(part.column(f).take(twice) for f in fields), *(pa.array(x, pa.string()) for x in (kind, name, refers, target, when, content)), pa.array(size, pa.int64()), *(pa.array(x, pa.string()) for x in (block_digest, source_digest, block)), pa.array(record, pa.binary())],
+                    names=[*fields, *OUTPUTS],
                 )
 
-    schema = "".join(f"`{k}` {base.schema[k].dataType.simpleString()}, " for k in keep)
-    return base.mapInArrow(build, schema + "record_type string, warc_record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, source_digest string, block string, record binary")
+    schema = "".join(f"{f} {base.schema[f].dataType.simpleString()}, " for f in fields)
+    kinds = {"content_length": "long", "record": "binary"}
+    out = base.mapInArrow(build, schema + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in OUTPUTS))
+    return out.select(*(F.col(f).alias(k) for k, f in zip(keep, fields, strict=True)), *OUTPUTS)
+
+
+OUTPUTS = ("record_type", "warc_record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest", "block", "record")
 
 
 def response_id(*columns: str):

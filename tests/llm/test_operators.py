@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from linepatterns.llm import _words, decontaminate, graph, importance, language_id, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_counts, warc
+from linepatterns.llm import _words, decontaminate, graph, importance, language_id, mixing, pii, quality_rules, queries, simhash_dedup, substring_dedup, token_counts
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -113,31 +113,6 @@ def test_token_counts(spark, docs, odd):
     assert fit.count() == 0
 
 
-def test_warc(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("record_id", warc.response_id("page_id", "url")).withColumn("head", F.lit("Server: x\r\nETag: 7"))
-    rows = warc.derivatives(pages, headers="head", keep=("page_id",)).collect()
-    assert len(rows) == 2 * pages.count()
-    source = {r["record_id"]: r for r in pages.collect()}
-    for r in rows:  # round trip through the bytes
-        head, block = bytes(r["record"]).split(b"\r\n\r\n", 1)
-        lines = head.decode().split("\r\n")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        block = block[: int(fields["Content-Length"])]
-        assert lines[0] == "WARC/1.0" and fields["WARC-Type"] == r["record_type"] and block.decode() == r["block"]
-        assert fields["WARC-Block-Digest"] == warc.digest(block) == r["block_digest"]
-        page = source[fields["WARC-Refers-To"]]
-        assert fields["WARC-Target-URI"] == page["url"] and r["source_digest"] == warc.digest(page["html"].encode())
-        if r["record_type"] == "metadata":
-            assert f"source-payload-digest: {r['source_digest']}\r\n" in r["block"] and "source-header-etag: 7\r\n" in r["block"]
-        else:
-            assert "<p>" not in r["block"] and "track(" not in r["block"]
-    assert warc.plain_text("<p>a &amp; b<br>c<script>x<b></script><!-- n --> d</p>e<td>f</td>g") == "a & b\nc d\ne f g"
-    odd = spark.createDataFrame([(None, None, None), ("", "u", "r"), ("<p", "u", "r"), ("<a href='/x'>t</a><script>" + "<" * 50000, None, "s"), ("<a href='/x'>t</a>", None, "s")], "html string, url string, record_id string")
-    got = warc.derivatives(odd).collect()
-    assert len(got) == 10 and sum("outlink: /x" in r["block"] for r in got) == 2
-    assert warc.derivatives(odd.limit(0)).collect() == []
-
-
 def test_pii(spark, docs, odd):
     def base(df):
         out = pii.personal_data(df)
