@@ -95,7 +95,7 @@ def test_substring_dedup_of_a_hot_prefix(spark, monkeypatch):
     same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)), brute.substring_dedup(rows))
 
 
-def test_token_counts(spark, docs, odd):
+def test_token_counts(spark, docs, odd, monkeypatch):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -106,11 +106,32 @@ def test_token_counts(spark, docs, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    for text, counts in token_counts.count_prefixes(docs.limit(20), path, keep=("text",)).select("text", "prefix_counts").collect():
+    rows = token_counts.count_prefixes(docs.limit(20).withColumn("_f0", F.lit(1)), path, keep=("text", "_f0")).select("text", "prefix_counts", token_counts.fitting_characters("prefix_counts", 10).alias("fit"), token_counts.tokens_up_to("prefix_counts", 33).alias("up")).collect()
+    for text, counts, fit, up in rows:
+        assert len(counts) == len(text) + 1 and up == counts[min(33, len(text))]
+        assert counts[fit] <= 10 and all(n > 10 for n in counts[fit + 1 :])
         for cut in range(0, min(len(text), 400), 7):
-            assert token_counts.tokens_up_to(path, text, counts, cut) == len(tok.encode(text[:cut], add_special_tokens=False).ids)
-    fit = token_counts.count_prefixes(docs, path).where(token_counts.fitting_words(F.col("prefix_counts"), 10) > 10)
-    assert fit.count() == 0
+            assert counts[cut] == len(tok.encode(text[:cut], add_special_tokens=False).ids)
+
+
+def test_token_counts_at_every_prefix(monkeypatch):
+    """The program over letters and the short way, at every place of awkward texts: endings, special strings, marks that join letters, controls."""
+    import public_tokenizers
+
+    rng = random.Random(1)
+    found = token_counts.Prefixes(public_tokenizers.path("word_bpe_49k.json"))
+    alpha = [*"abcdefghijklmnoprst'''..,,!?-12345<|>ABC\u00c9\u00fc\u00df\u03a3\u0130\u0131\ufb01\ud55c\u65e5\u0301\u0327\u1100\u1161\u11a8\u304b\u3099\U0001f600\u200d \t\n\x1c\xa0", "'s", "'re", "'ll", "<|endoftext|>", "<|startoftext|>", "the ", "ing ", "ation", "!!!"]
+    for short in (0, 6, 48):
+        monkeypatch.setattr(token_counts, "SHORT", short)
+        for _ in range(300):
+            text = "".join(rng.choice(alpha) for _ in range(rng.randint(0, 25)))
+            (table,) = found.tables([text])
+            assert table.tolist() == [len(found.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], text
+        found.clear()
+    monkeypatch.setattr(token_counts, "MEMORY", 1000)
+    assert [t[-1] for t in found.tables(["some words", "more words"] * 3)] == [2] * 6
+    began = time.time()
+    assert len(found.tables(["xyz" * 60_000])[0]) == 180_001 and time.time() - began < 60
 
 
 def test_pii(spark, docs, odd):
