@@ -7,8 +7,10 @@ Candidates. Two sets that are alike share at least ``similar`` per cent of the l
 they share one among the first n - ceil(n * similar / 100) + 1 of each. The order is by a table of ``SLOTS`` counts, rare
 slots first, so what many texts share is seldom looked up. The table only sets the order; it never changes results.
 
-Pairs. Under a key, each set is paired with the smallest one, and where at most ``BUCKET`` share it, with every other. Larger
-keys' sets are paired further only where they are not in one component yet.
+Pairs. Where at most ``BUCKET`` sets share a key, they are all paired. Under a larger key each is paired with the one that has the fewest
+rarer shingles, which is the plainest of a group of copies, and further pairs are made only between components. A pair is made only
+if enough can be shared: the shingles from the key on, and those before it that any other set has among its first. A set's own
+shingles are rare and come first, so texts that have no more than a passage in common fail this.
 
 Bounds. Each row carries a histogram of its set in ``BINS`` counts. The sum of the smaller counts of two histograms is the most
 that the sets can share, so most pairs that are not alike go before any set is fetched; sets are compared for the rest.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linepatterns.llm._words import SPACED, Sums, bit_table, canonical, checkpointed, chunks, mix
@@ -166,21 +168,22 @@ def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int)
     shared = checkpointed(shared)
     may_share = bit_table(shared, F.col("key"), 1 << 24)
     entries = prefixes(texts, width, similar, rank, False).where(may_share(F.col("key"))).join(shared, "key")
-    filed = checkpointed(entries.groupBy("key", "sig").agg(F.first("n").alias("n"), F.first("place").alias("place")))
-    size = filed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("sig", "n", "place")).alias("least"))
+    filed = entries.groupBy("key", "sig").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    filed = checkpointed(filed.withColumn("before", F.row_number().over(Window.partitionBy("sig").orderBy("place")) - 1))  # keys before this one that any other set has
+    size = filed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "sig", "n", "before")).alias("least"))
     sized = checkpointed(filed.join(size, "key"))
-    side = lambda df, s, *more: df.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"place_{s}"), *more)
-    rest = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # no more is shared than what is before this key in both, and from it on
+    side = lambda df, s, *more: df.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"place_{s}"), F.col("before").alias(f"before_{s}"), *more)
+    rest = F.least("before_a", "before_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # no more is shared than the shared keys before this one, and what is from it on
     may = (100 + similar) * rest >= similar * (F.col("n_a") + F.col("n_b"))
     few = sized.where(f"m <= {BUCKET}")
     near = side(few, "a").join(side(few, "b"), "key").where("a < b").where(may).select("a", "b")
     large = sized.where(f"m > {BUCKET}")
-    stars = large.where(F.col("sig") > F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"), F.col("least.place").alias("place_a"), F.col("place").alias("place_b")).where(may).select("a", "b")
+    stars = large.where(F.col("sig") != F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"), F.col("least.place").alias("place_a"), F.col("place").alias("place_b"), F.col("least.before").alias("before_a"), F.col("before").alias("before_b")).where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     used = checkpointed(filed.select("sig").distinct())
     bins = checkpointed(rows.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))
     edges = checkpointed(alike(checkpointed(near.unionByName(stars).distinct()), texts, width, bins, similar))
     roots = components(edges)
-    named = checkpointed(large.drop("least", "m").join(roots, large["sig"] == roots["node"], "left").select("key", "sig", "n", "place", F.coalesce("root", "sig").alias("root")))
+    named = checkpointed(large.drop("least", "m").join(roots, large["sig"] == roots["node"], "left").select("key", "sig", "n", "place", "before", F.coalesce("root", "sig").alias("root")))
     apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     named = named.join(apart, "key")
     more = side(named, "a", F.col("root").alias("r_a")).join(side(named, "b", F.col("root").alias("r_b")), "key").where("a < b and r_a <> r_b").where(may).select("a", "b").distinct()
