@@ -43,4 +43,6 @@ def join_clusters(clusters: DataFrame, weights: DataFrame, threshold: float) ->
     words = words.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "words"))).alias("tokens"))
     members = rows.groupBy("key").agg(F.count("*").alias("n_members"))
     out = merged.join(words, "key").join(members, "key")
-    return out.select(F.transform("tokens", lambda t, i: F.struct(t["words"].alias("words"), F.get("key.mask", i).isNull().alias("is_token"))).alias("tokens"), "gap_min", "gap_max", "support", "first_line_id", F.size("tokens").alias("n_constants"), "n_members", F.col("key.is_joined").alias("is_joined"))
+    tokens = F.transform("tokens", lambda t, i: F.struct(t["words"].alias("words"), F.get("key.mask", i).isNull().alias("is_token")))
+    own = ("gap_min", "gap_max", "support", "first_line_id", F.size("tokens").alias("n_constants"), "n_members", F.col("key.is_joined").alias("is_joined"))
+    return out.select(tokens.alias("tokens"), *own)
