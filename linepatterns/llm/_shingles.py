@@ -178,7 +178,10 @@ def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int)
     few = sized.where(f"m <= {BUCKET}")
     near = side(few, "a").join(side(few, "b"), "key").where("a < b").where(may).select("a", "b")
     large = sized.where(f"m > {BUCKET}")
-    stars = large.where(F.col("sig") != F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), F.col("least.n").alias("n_a"), F.col("n").alias("n_b"), F.col("least.place").alias("place_a"), F.col("place").alias("place_b"), F.col("least.before").alias("before_a"), F.col("before").alias("before_b")).where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    plainest = [F.col(f"least.{c}").alias(f"{c}_a") for c in ("n", "place", "before")]
+    own = [F.col(c).alias(f"{c}_b") for c in ("n", "place", "before")]
+    stars = large.where(F.col("sig") != F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), *plainest, *own)
+    stars = stars.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     used = checkpointed(filed.select("sig").distinct())
     bins = checkpointed(rows.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))
     edges = checkpointed(alike(checkpointed(near.unionByName(stars).distinct()), texts, width, bins, similar))

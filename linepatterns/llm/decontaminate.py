@@ -185,7 +185,15 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: t
     rows, found = _searched(docs, items, list(keep), text, id, item_id, item_text, window)
     both = rows.join(found, _same(rows, found), "left")
     hit, names = F.coalesce("_hit", F.lit(0)).cast("long"), F.coalesce("_names", F.array().cast("array<string>"))
-    return both.select(*(F.col(f"_f{i}").alias(f) for i, f in enumerate(keep)), F.col("_n").alias("n_words"), hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), _contaminated(hit).alias("contaminated"))
+    return both.select(
+        *(F.col(f"_f{i}").alias(f) for i, f in enumerate(keep)),
+        F.col("_n").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size(names).cast("long").alias("n_items"),
+        names.alias("items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        _contaminated(hit).alias("contaminated"),
+    )
 
 
 def _contaminated(hit: Column) -> Column:

@@ -60,7 +60,8 @@ def mixture(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str
         parts = inside.groupBy("source", place(level).alias("_part")).agg(F.sum("size").alias("_size"), F.first("_before").alias("_from"), F.first("_rest").alias("_rest"))
         parts = parts.withColumn("_upto", F.col("_from") + F.sum("_size").over(Window.partitionBy("source").orderBy("_part")))
         over = parts.where("_upto > _rest").groupBy("source").agg(F.min_by(F.struct("_part", (F.col("_upto") - F.col("_size")).alias("_before")), "_part").alias("_at"))
-        plan = checkpointed(plan.drop("_border", "_before").join(small(over.select(F.col("source").alias("_s"), F.col("_at._part").alias("_border"), F.col("_at._before").alias("_before"))), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
+        border = over.select(F.col("source").alias("_s"), F.col("_at._part").alias("_border"), F.col("_at._before").alias("_before"))
+        plan = checkpointed(plan.drop("_border", "_before").join(small(border), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"))
     rows = sized.join(small(plan), same).drop("_source").withColumn("_place", place(LEVELS))
     edge = rows.where("size > 0 and _place = _border").withColumn("_upto", F.sum("size").over(Window.partitionBy("source").orderBy("_draw", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("_more", (F.col("_before") + F.col("_upto") - F.col("size") / 2 <= F.col("_rest")).cast("long")).drop("_upto")

@@ -183,7 +183,9 @@ def _covered(words: DataFrame, sizes: DataFrame, window: int) -> DataFrame:
         parts = checkpointed(left.groupBy("_lead").agg(F.count("*").alias("_size"), F.sum("_n").alias("_all")).where("_all > 1"))
         fit = left.join(_packed(parts.where(F.col("_size") <= GROUP).drop("_all"), "_lead").drop("_size"), "_lead")
         out = out.unionByName(checkpointed(tree(fit.select("_bin", "_part", "_context", "_n", "_at", "_words"))))
-        left = checkpointed(left.join(F.broadcast(parts.where(F.col("_size") > GROUP).select("_lead")), "_lead", "left_semi").drop("_lead") if parts.count() <= GROUP else left.join(parts.where(F.col("_size") > GROUP).select("_lead"), "_lead", "left_semi").drop("_lead"))
+        larger = parts.where(F.col("_size") > GROUP).select("_lead")
+        larger = F.broadcast(larger) if larger.count() <= GROUP else larger
+        left = checkpointed(left.join(larger, "_lead", "left_semi").drop("_lead"))
         if left.isEmpty():
             return out
     nodes = checkpointed(left.groupBy("_words").agg(F.sum("_n").alias("_leaves"), F.count("*").alias("n")).where("_leaves > 1").drop("_leaves").withColumn("_hit", F.lit(True)))

@@ -188,7 +188,15 @@ def as_records(pages: DataFrame, payload: str = "html", uri: str = "url", date:
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"))
     block = F.concat(F.encode(http, "UTF-8"), body)
-    head = F.concat(F.lit(VERSION.decode() + "WARC-Type: response\r\n"), line("WARC-Record-ID", response_id(uri, payload)), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.col(uri)), F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
+    head = F.concat(
+        F.lit(VERSION.decode() + "WARC-Type: response\r\n"),
+        line("WARC-Record-ID", response_id(uri, payload)),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.col(uri)),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"),
+        line("Content-Length", F.octet_length(block).cast("string")),
+        F.lit("\r\n"),
+    )
     return pages.select(*keep, F.concat(F.encode(head, "UTF-8"), block, F.lit(bytearray(b"\r\n\r\n"))).alias("record"))
 
 
@@ -211,8 +219,18 @@ def derive(page: str | None, uri: str | None, record_id: str | None, date: str |
     return out
 
 
-def derivatives(responses: DataFrame, payload: str = "html", uri: str = "url", record_id: str = "record_id", date: str | None = "date", headers: str | None = "headers", payload_digest: str | None = None, payload_length: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Two rows for each response: the ``keep`` columns, record_type, warc_record_id, refers_to, target_uri, date, content_type, content_length, block_digest, source_digest, block and record (bytes for a WARC file)."""
+def derivatives(
+    responses: DataFrame,
+    payload: str = "html",
+    uri: str = "url",
+    record_id: str = "record_id",
+    date: str | None = "date",
+    headers: str | None = "headers",
+    payload_digest: str | None = None,
+    payload_length: str | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Two rows for each response: the ``keep`` columns and those of ``OUTPUTS``; ``record`` is the bytes for a WARC file."""
     fields = [f"_f{i}" for i in range(len(keep))]
     own = lambda c, kind="string": F.col(c).cast(kind) if c else F.lit(None).cast(kind)
     inputs = {"_page": own(payload), "_uri": own(uri), "_record": own(record_id), "_date": own(date), "_headers": own(headers), "_digest": own(payload_digest), "_length": own(payload_length, "long")}
@@ -228,10 +246,9 @@ def derivatives(responses: DataFrame, payload: str = "html", uri: str = "url", r
                 made = [(r[2], r[1], r[3], *d) for r in rows for d in derive(*r)]
                 refers, target, when, kind, name, content, size, block_digest, source_digest, block, record = zip(*made, strict=True)
                 twice = pa.array([i for i in range(len(part)) for _ in range(2)])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f).take(twice) for f in fields), *(pa.array(x, pa.string()) for x in (kind, name, refers, target, when, content)), pa.array(size, pa.int64()), *(pa.array(x, pa.string()) for x in (block_digest, source_digest, block)), pa.array(record, pa.binary())],
-                    names=[*fields, *OUTPUTS],
-                )
+                texts = lambda *xs: [pa.array(x, pa.string()) for x in xs]
+                columns = [*texts(kind, name, refers, target, when, content), pa.array(size, pa.int64()), *texts(block_digest, source_digest, block), pa.array(record, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(f).take(twice) for f in fields), *columns], names=[*fields, *OUTPUTS])
 
     schema = "".join(f"{f} {base.schema[f].dataType.simpleString()}, " for f in fields)
     kinds = {"content_length": "long", "record": "binary"}
