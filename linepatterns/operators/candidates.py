@@ -85,12 +85,18 @@ def counted_keys(keys: DataFrame) -> DataFrame:
 def envelope(rows: DataFrame, key: str) -> DataFrame:
     """(key, gap_min, gap_max, support, own_support, first_line_id) of rows with key, gap_min, gap_max, support and first_line_id.
 
-    Gaps are aggregated by place, so no key's rows are ever gathered.
+    Most keys have one row and are done. Of the others, gaps are aggregated by place, so no key's rows are ever gathered, and a key is not
+    repeated for each of its places but for those that have several gaps to compare.
     """
-    each = rows.select(key, "support", "first_line_id", F.posexplode(F.arrays_zip("gap_min", "gap_max")).alias("i", "g"))
-    each = each.groupBy(key, "i").agg(F.min("g.gap_min").alias("lo"), F.max("g.gap_max").alias("hi"), F.sum("support").alias("support"), F.min("first_line_id").alias("first_line_id"))
-    whole = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("g"), F.max("support").alias("support"), F.min("first_line_id").alias("first_line_id"))
-    return whole.select(key, F.transform("g", lambda x: x["lo"]).alias("gap_min"), F.transform("g", lambda x: x["hi"]).alias("gap_max"), "support", F.col("support").alias("own_support"), "first_line_id")
+    whole = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.min("gap_min").alias("gap_min"), F.min("gap_max").alias("gap_max"), F.sum("support").alias("support"), F.min("first_line_id").alias("first_line_id"))
+    many = whole.where("_rows > 1").select(F.col(key).alias("_many"))
+    each = rows.join(many, rows[key] == F.col("_many"), "left_semi").select(key, F.posexplode(F.arrays_zip("gap_min", "gap_max")).alias("i", "g"))
+    each = each.groupBy(key, "i").agg(F.min("g.gap_min").alias("lo"), F.max("g.gap_max").alias("hi"))
+    ends = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("_g")).withColumnRenamed(key, "_many")
+    found = whole.join(ends, whole[key] == F.col("_many"), "left")
+    low = F.coalesce(F.transform("_g", lambda x: x["lo"]), F.col("gap_min"))
+    high = F.coalesce(F.transform("_g", lambda x: x["hi"]), F.col("gap_max"))
+    return found.select(key, low.alias("gap_min"), high.alias("gap_max"), "support", F.col("support").alias("own_support"), "first_line_id")
 
 
 def candidates(counted: DataFrame, config: MinerConfig, support: int) -> DataFrame:
