@@ -30,6 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,20 +193,22 @@ def _covered(words: DataFrame, sizes: DataFrame, window: int) -> DataFrame:
     return out.unionByName(labelled(left, nodes, "_words", left.count()).select("_context", "_n", F.col("_at").alias("_lo"), F.col("_at").alias("_hi")))
 
 
-def _keep(window: int, fields: list[str]):
+def _keep(fields: list[str]):
     def keep(batches):
         for batch in batches:
-            spans = batch.column("_spans").to_pylist()
-            n_words, n_removed, kept = [], [], []
-            for text, own in zip(batch.column("_text").cast(pa.binary()).to_pylist(), spans, strict=True):
+            spans = batch.column("_spans")
+            until = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(spans), 0)))
+            lo, hi = (np.asarray(spans.flatten().field(f)) for f in ("_lo", "_hi"))
+            n_words, n_removed, kept, at = [], [], [], 0
+            for text, end in zip(batch.column("_text").cast(pa.binary()).to_pylist(), until.tolist(), strict=True):
                 words = (text or b"").split()
                 n_words.append(len(words))
-                if own:
+                if end > at:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [s["_lo"] for s in own], 1)
-                    np.add.at(edge, [s["_hi"] for s in own], -1)
-                    stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                    words = [words[i] for i in stay]
+                    np.add.at(edge, lo[at:end], 1)
+                    np.add.at(edge, hi[at:end], -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
+                    at = end
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
             columns = [batch.column(f) for f in fields]
@@ -249,5 +252,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", wind
     some = some.join(spans, same(some, spans), "left").select(*(some[f] for f in fields), some["_text"], "_spans")
     none = kept.where(~touched(row)).select(*fields, "_text", F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
     schema = ", ".join(f"{f} {kept.schema[f].dataType.simpleString()}" for f in fields)
-    out = some.unionByName(none).mapInArrow(_keep(window, fields), f"{schema}, n_words long, n_removed long, kept_text string")
+    out = some.unionByName(none).mapInArrow(_keep(fields), f"{schema}, n_words long, n_removed long, kept_text string")
     return out.select(*(F.col(f).alias(k) for k, f in zip((id, *keep), fields, strict=True)), "n_words", "n_removed", "kept_text")
