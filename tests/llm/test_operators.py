@@ -103,6 +103,10 @@ def test_token_counts(spark, docs, odd, monkeypatch):
     same(count(docs), brute.token_counts(pairs(docs), path))
     same(count(odd), brute.token_counts(pairs(odd), path))
     same(count(empty(spark)), [])
+    short = lambda df: token_counts.count_prefixes(df, path, every=False).select("doc_id", "n_bytes", "n_tokens", F.col("n_tokens") > 2048)
+    same(short(docs), brute.token_counts(pairs(docs), path))
+    same(short(odd), brute.token_counts(pairs(odd), path))
+    same(queries.op2_token_counts(spark, SF).select("doc_id", "n_bytes", "n_tokens", "over_limit"), brute.token_counts(pairs(docs), path))
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
