@@ -36,7 +36,6 @@ VERSION = b"WARC/1.0\r\n"
 HIDDEN = frozenset("script style noscript template".split())
 BLOCK = frozenset("p div br hr li ul ol dl dt dd table tr h1 h2 h3 h4 h5 h6 nav header footer article section aside main title head body html pre blockquote form figure figcaption option".split())
 CELL = frozenset("td th".split())
-_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
 
@@ -48,38 +47,76 @@ def digest(block: bytes) -> str:
 def parts(page: str) -> Iterator[tuple[str | None, str]]:
     """(None, text) and (name of the element, with a slash if it ends, what stands in the tag), in order; hidden content is left out."""
     lower, at, last, shown = None, 0, page.rfind(">"), 0
-    while 0 <= (i := page.find("<", at)) < last or (i >= 0 and page.startswith("<!--", i)):
-        if page.startswith("<!--", i):
-            yield None, page[shown:i]
+    while m := _OPEN.search(page, at):
+        i = m.start()
+        if m[1]:
+            if i > shown:
+                yield None, page[shown:i]
             end = page.find("-->", i + 4)
             at = shown = len(page) if end < 0 else end + 3
             continue
-        if page[i + 1 : i + 2] not in ("/", "!", "?") and not page[i + 1 : i + 2].isalpha() or page[i + 1 : i + 2] > "z":
-            at = i + 1
+        if i > last:
+            if page.find("<!--", i) < 0:
+                break
+            at = m.end()
             continue
         end = page.find(">", i)
-        inside = page[i + 1 : end]
-        name = m[0].lower() if (m := _NAME.match(inside)) else ""
-        yield None, page[shown:i]
-        yield name, inside[len(name) :]
+        if i > shown:
+            yield None, page[shown:i]
         at = shown = end + 1
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        yield name, page[m.end() : end] if name in _READ else ""
         if name in HIDDEN:
             lower = lower if lower is not None else page.translate(_LOWER)
             close = lower.find("</" + name, at)
             end = page.find(">", close) if close >= 0 else -1
             at = shown = len(page) if end < 0 else end + 1
-    yield None, page[shown:]
+    if shown < len(page):
+        yield None, page[shown:]
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
+_OPEN = re.compile(r"<(?:(!--)|(/?[a-zA-Z][a-zA-Z0-9:-]*)|[/!?])")
+_READ = frozenset(("html", "meta", "a"))
 
 
-def plain_text(page: str) -> str:
-    out = []
+def read(page: str) -> tuple[str, list[tuple[str, str]]]:
+    """The page's text, and title, language, charset and outlinks as (name, value), in one reading."""
+    out: list[str] = []
+    found: dict[str, str] = {}
+    links: list[str] = []
+    title = -1  # where in ``out`` it begins
     for name, text in parts(page):
-        bare = name.lstrip("/") if name else name
-        out.append(text if name is None else "\n" if bare in BLOCK else " " if bare in CELL else "")
-    return "\n".join(line for x in html.unescape("".join(out)).split("\n") if (line := _folded(x)))
+        if name is None:
+            out.append(text)
+            continue
+        bare = name.removeprefix("/")
+        if name == "title" and "title" not in found and title < 0:
+            title = len(out) + 1
+        elif name == "/title" and title >= 0:
+            found["title"], title = _folded(html.unescape("".join(out[title:]))), -1
+        elif name in _READ:
+            if name == "meta":
+                if m := _CHARSET.search(text):
+                    found.setdefault("charset", m[1])
+            else:
+                own = _attributes(text)
+                if name == "a" and "href" in own:
+                    links.append(_folded(html.unescape(own["href"])))
+                elif name == "html" and own.get("lang"):
+                    found.setdefault("language", own["lang"])
+        if bare in BLOCK:
+            out.append("\n")
+        elif bare in CELL:
+            out.append(" ")
+    shown = "\n".join(line for x in html.unescape("".join(out)).split("\n") if (line := _folded(x)))
+    return shown, [*((k, found[k]) for k in ("title", "language", "charset") if k in found), *(("outlink", x) for x in links)]
+
+
+def plain_text(page: str) -> str:
+    return read(page)[0]
 
 
 def _folded(value: str) -> str:
@@ -93,27 +130,7 @@ def _attributes(inside: str) -> dict[str, str]:
     return found
 
 
-def metadata_block(page: str, source: list[tuple[str, str | None]]) -> str:
-    found: dict[str, str] = {}
-    links, title = [], None
-    for name, text in parts(page):
-        if name is None:
-            if title is not None:
-                title.append(text)
-            continue
-        if name == "title" and "title" not in found and title is None:
-            title = []
-        elif name == "/title" and title is not None:
-            found["title"], title = _folded(html.unescape("".join(title))), None
-        elif name in ("html", "meta", "a"):
-            own = _attributes(text)
-            if name == "html" and own.get("lang"):
-                found.setdefault("language", own["lang"])
-            elif name == "meta" and (m := _CHARSET.search(text)):
-                found.setdefault("charset", m[1])
-            elif name == "a" and "href" in own:
-                links.append(_folded(html.unescape(own["href"])))
-    fields = [*source, *((k, found.get(k)) for k in ("title", "language", "charset")), *(("outlink", x) for x in links)]
+def metadata_block(fields: list[tuple[str, str | None]]) -> str:
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
 
 
@@ -210,12 +227,14 @@ def derive(page: str | None, uri: str | None, record_id: str | None, date: str |
         source = source.partition("\n")[2]
     own += [(f"source-header-{k.lower()}", v) for k, v in heads(source or "")]
     out = []
-    for kind, content, block in (("metadata", "application/warc-fields", metadata_block(page or "", own)), ("conversion", "text/plain; charset=utf-8", plain_text(page or ""))):
+    text, found = read(page or "")
+    for kind, content, block in (("metadata", "application/warc-fields", metadata_block([*own, *found])), ("conversion", "text/plain; charset=utf-8", text)):
         raw = block.encode("utf-8", "replace")
-        name = f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind} {record_id} {digest(raw)}'.encode('utf-8', 'replace')).digest()[:16], version=5)}>"
+        block_digest = digest(raw)
+        name = f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{kind} {record_id} {block_digest}'.encode('utf-8', 'replace')).digest()[:16], version=5)}>"
         head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", record_id), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
-        head += [("WARC-Block-Digest", digest(raw)), ("WARC-Payload-Digest", digest(raw)), ("Content-Type", content), ("Content-Length", str(len(raw)))]
-        out.append((kind, name, content, len(raw), digest(raw), source_digest, block, serialise(head, raw)))
+        head += [("WARC-Block-Digest", block_digest), ("WARC-Payload-Digest", block_digest), ("Content-Type", content), ("Content-Length", str(len(raw)))]
+        out.append((kind, name, content, len(raw), block_digest, source_digest, block, serialise(head, raw)))
     return out
 
 

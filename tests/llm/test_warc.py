@@ -98,7 +98,7 @@ def test_random_pages():
         page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
         seen = Reader(page)
         assert warc.plain_text(page).split("\n") == (seen.lines() or [""]), page
-        assert [x.split(": ", 1)[1] for x in warc.metadata_block(page, []).split("\r\n") if x.startswith("outlink")] == seen.links, page
+        assert [v for k, v in warc.read(page)[1] if k == "outlink"] == seen.links, page
 
 
 def test_response_records(spark, tmp_path):
@@ -136,6 +136,5 @@ def test_awkward_pages(spark):
 def test_long_pages_take_time_in_proportion(unit):
     began = time.time()
     page = unit * (1_000_000 // len(unit))
-    warc.plain_text(page)
-    warc.metadata_block(page, [])
+    warc.derive(page, None, None, None, None)
     assert time.time() - began < 20
