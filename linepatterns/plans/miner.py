@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
 from linepatterns.functions.text import candidate_text, cut_lines, pattern_text, token_text
 from linepatterns.operators import aggregate, candidates, vocabulary, weights
+from linepatterns.operators.ranks import ranked
 
 
 class LineMiner:
@@ -86,10 +87,10 @@ class LineMiner:
         return found
 
     def described_candidates(self) -> DataFrame:
-        """(rank, description): all candidates by support, as the debug output has them. The order is that of sorted files; ranks come from it."""
+        """(rank, description): all candidates by support, as the debug output has them."""
         found = self.candidates.withColumn("pattern", pattern_text(F.col("constants"), F.col("gap_min"), F.col("gap_max")))
-        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("support"), "n_constants", F.desc("first_line_id"), "pattern")
-        return found.select(F.row_number().over(order).cast("long").alias("rank"), candidate_text(F.col("pattern"), F.col("support")).alias("description")).orderBy("rank")
+        found = ranked(found.select("support", "n_constants", "first_line_id", "pattern"), F.desc("support"), "n_constants", F.desc("first_line_id"), "pattern")
+        return found.select("rank", candidate_text(F.col("pattern"), F.col("support")).alias("description"))
 
     @cached_property
     def cooccurrence(self) -> DataFrame:
@@ -116,12 +117,11 @@ class LineMiner:
         return found.withColumn("pattern", pattern_text(token_text(F.col("tokens"), self.config.detailtoken), F.col("gap_min"), F.col("gap_max")))
 
     def report(self) -> DataFrame:
-        """(rank, pattern, support) and what orders them: by support, or by the number of constants."""
+        """(rank, pattern, support) and what orders them: by support, or by the number of constants. Rows come in order."""
         found = self.joined if self.config.wweight else self.clusters.withColumn("is_joined", F.lit(False))
         found = found.select("pattern", "support", "n_constants", "first_line_id", "is_joined")
         order = [F.col("n_constants"), F.col("is_joined"), F.desc("first_line_id")] if self.config.outputmode else [F.desc("support"), F.col("n_constants"), F.desc("first_line_id")]
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "pattern"))  # of the clusters, which are lines / support at most, or a few more if supports are aggregated
-        return found.withColumn("rank", rank.cast("long")).orderBy("rank")
+        return ranked(found, *order, "pattern")
 
     def outliers(self) -> DataFrame:
         """Lines that are in no cluster by their own words; nothing if no word is frequent."""

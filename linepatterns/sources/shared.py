@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,17 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut; partitions and the order of their rows stay."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def free_name(taken: Iterable[str], start: str) -> str:
+    """A column name that begins with ``start`` and that none of ``taken`` begins with, whatever its case."""
+    name, lower = f"_{start}", [t.lower() for t in taken]
+    while any(t.startswith(name.lower()) for t in lower):
+        name = f"_{name}"
+    return name
