@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.operators.candidates import envelope
+from linepatterns.sources.shared import written
 
 
 def cooccurrence(candidates: DataFrame) -> DataFrame:
@@ -14,6 +15,32 @@ def cooccurrence(candidates: DataFrame) -> DataFrame:
     return rows.select(F.explode("d").alias("w1"), "d", "own_support").select("w1", F.explode("d").alias("w2"), "own_support").groupBy("w1", "w2").agg(F.sum("own_support").alias("n"))
 
 
+def needed_pairs(clusters: DataFrame) -> DataFrame:
+    """(word, other): different words that stand together in a cluster. Each pair stands once, at that of both that has fewer partners, so no word has many."""
+    d = clusters.select(F.array_distinct("constants").alias("d"))
+    pairs = d.select(F.explode("d").alias("word"), "d").select("word", F.explode("d").alias("other")).distinct().where("word <> other")
+    ranked = pairs.join(pairs.groupBy("word").agg(F.count("*").alias("n")), "word").select("word", "other", F.struct("n", "word").alias("own"))
+    both = ranked.join(ranked.select(F.col("word").alias("other"), F.col("other").alias("word"), F.col("own").alias("its")), ["word", "other"])
+    return both.where("own < its").select("word", "other")
+
+
+def needed_cooccurrence(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The rows of ``cooccurrence`` for words that stand together in a cluster, from all candidates.
+
+    A candidate's words look up their partners, and those that the candidate holds too are kept. So it makes a row for each of its words and each pair
+    that is needed, not for all pairs of its words.
+    """
+    pairs = needed_pairs(clusters)
+    used = clusters.select(F.explode("constants").alias("word")).distinct()
+    rows = written(candidates.select(F.monotonically_increasing_id().alias("id"), F.array_distinct("constants").alias("d"), "own_support"))
+    words = rows.select("id", "own_support", F.explode("d").alias("word")).join(used, "word", "left_semi")
+    own = words.groupBy("word").agg(F.sum("own_support").alias("n")).select(F.col("word").alias("w1"), F.col("word").alias("w2"), "n")
+    asked = words.join(pairs, "word").select("id", "own_support", "word", "other")
+    met = asked.join(words.select("id", F.col("word").alias("other")), ["id", "other"], "left_semi")
+    n = met.groupBy("word", "other").agg(F.sum("own_support").alias("n"))
+    return own.unionByName(n.toDF("w1", "w2", "n")).unionByName(n.toDF("w2", "w1", "n"))
+
+
 def dependency(cooc: DataFrame) -> DataFrame:
     """(w1, w2, dep): the share of w1's lines that hold w2."""
     own = cooc.where("w1 = w2").select(F.col("w1").alias("_w"), F.col("n").alias("own"))

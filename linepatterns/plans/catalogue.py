@@ -274,6 +274,18 @@ def aggregate_supports(spark, sf_dir):
     return _candidates(miner(spark, sf_dir, aggrsup=True))
 
 
+def covered_candidates(spark, sf_dir):
+    """Each pair of candidates of which one covers the other."""
+    from linepatterns.functions.text import pattern_text
+
+    rows = aggregate.indexed(miner(spark, sf_dir).candidates)
+    named = rows.select("id", pattern_text(F.col("constants"), F.col("gap_min"), F.col("gap_max")).alias("pattern"))
+    pairs = aggregate.covered(rows)
+    for side in ("general", "special"):
+        pairs = pairs.join(named.select(F.col("id").alias(side), F.col("pattern").alias(f"{side}_pattern")), side)
+    return pairs.select(*(F.col(f"{side}_pattern").alias(side) for side in ("general", "special")))
+
+
 def aggregate_clusters(spark, sf_dir):
     return miner(spark, sf_dir, aggrsup=True).report().select("pattern", "support")
 
@@ -362,7 +374,7 @@ _ALL = (
     candidate_patterns, clusters, clusters_documents, clusters_by_constants, clusters_byteoffset, clusters_filtered, clusters_rewrite, word_sketch_filter, candidate_sketch_filter,
     aggregate_supports, aggregate_clusters, word_cooccurrence, word_dependency, weights_f1, weights_f2, join_clusters, join_clusters_detail, outliers, outliers_filtered, outliers_rewrite, run_summary, clusters_text_source, classify_lines,
     clusters_ranked, clusters_ranked_by_constants, join_clusters_ranked, clusters_separator, clusters_byteoffset_multibyte, word_rewrite_again, clusters_rewrite_again, join_clusters_rewrite, weights_rewrite,
-    run_summary_aggregate, run_summary_sketches, candidate_descriptions,
+    run_summary_aggregate, run_summary_sketches, candidate_descriptions, covered_candidates,
 )
 
 
@@ -430,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "candidate_sketch_filter": clusters,
         "clusters_text_source": clusters,
         "aggregate_supports": _mined(_AGGR, recursive=True, select="select pattern, support from agg"),
+        "covered_candidates": _mined(_AGGR, recursive=True, select="select g.pattern as general, s.pattern as special from fold join pat g on g.c = pc join pat s on s.c = qc where j = len(ns) + 1 and not dead and x = pk + 1 and plo[pk + 1] <= fold.lo and fold.hi <= phi[pk + 1]"),
         "aggregate_clusters": _mined(_AGGR, recursive=True, select="select pattern, support from agg, thr where support >= s"),
         "word_cooccurrence": _mined(_DEP, select="select w1, w2, n from cooc"),
         "word_dependency": _mined(_DEP, select="select w1, w2, round(dep, 6) as dep from dep"),

@@ -94,8 +94,12 @@ class LineMiner:
 
     @cached_property
     def cooccurrence(self) -> DataFrame:
-        """From all lines with a constant, also those whose candidates a sketch drops."""
-        return weights.cooccurrence(self.counted_keys.groupBy("constants").agg(F.sum("support").alias("own_support")))
+        """Of all words, from all lines with a constant, also those whose candidates a sketch drops."""
+        return weights.cooccurrence(self._keyed_lines)
+
+    @property
+    def _keyed_lines(self) -> DataFrame:
+        return self.counted_keys.groupBy("constants").agg(F.sum("support").alias("own_support"))
 
     @cached_property
     def dependency(self) -> DataFrame:
@@ -109,7 +113,9 @@ class LineMiner:
 
     @cached_property
     def word_weights(self) -> DataFrame:
-        return weights.word_weights(self.clusters, self.dependency, self.config.weightf)
+        """Only words that stand together in a cluster are counted together."""
+        found = weights.dependency(weights.needed_cooccurrence(self._keyed_lines, self.clusters))
+        return weights.word_weights(self.clusters, found, self.config.weightf)
 
     @cached_property
     def joined(self) -> DataFrame:
