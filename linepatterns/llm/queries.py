@@ -91,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Filters as bits of a mask; a document's mask has those it fails. Orders are all rows of five different letters.
-_AUDIT = r"""with words as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+_AUDIT = r"""with words as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 known as (select doc_id as id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by all),
 judged as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
     (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g'))) > 2 * length(t))::int

@@ -215,9 +215,25 @@ def pieces_of(rows, capacity=1024):
     return out
 
 
-@pytest.mark.parametrize("kept", [1 << 18, 3])
-def test_packing(spark, docs, odd, kept, monkeypatch):  # noqa: F811
-    monkeypatch.setattr(packing, "KEPT", kept)
+def test_ids_are_those_of_the_library(tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(PATH), random.Random(6)
+    signs = "aZ 09\n\t\r\xa0\x85\x1c\u200b\u3000\u180e\ufeff'\u2019sd.,!\u00e9\u0301\u4e2d\U0001f600\u0663\u00b2\x00\u00ad<|>"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", " " * 300_000 + "x", "^" * 100_000, "it's we'LL I'd", "x" * 50_000]
+    whole = lambda t: b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids)
+    assert packing._ranked(PATH) is not None
+    for chunk in (1 << 20, 3):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        assert [t for t in texts if packing.encode(t, PATH) != whole(t)] == []
+    other = public_tokenizers.path("word_bpe_49k.json")  # another scheme: the library itself
+    assert packing._ranked(other) is None
+    assert packing.encode("Some Words", other) == b"".join(i.to_bytes(4, "little") for i in Tokenizer.from_file(other).encode("Some Words", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 40])
+def test_packing(spark, docs, odd, chunk, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(packing, "CHUNK", chunk)
     extra = spark.createDataFrame([(500 + i, t) for i, t in enumerate(["a <|endoftext|> b<|endoftext|>c", " a  b \n c　d᠎ e\xa0 f", "''s  it's  'x 1 ''", "x" * 4000, "é " * 3000])], "doc_id long, text string")
     for df in (docs, odd.unionByName(extra, allowMissingColumns=True)):
         packed = packing.pack(df, PATH)
