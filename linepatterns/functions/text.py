@@ -14,13 +14,13 @@ from linepatterns.functions.regex import java_pattern, parse_template, quote_rep
 
 
 def cut_lines(lines: DataFrame, limit: int | None) -> DataFrame:
-    """(line_id, line) as a reader with a buffer of ``limit`` bytes sees them: each longer line in pieces, which share its line_id's place in order."""
+    """(line_id, line) as a reader with a buffer of ``limit`` bytes sees them: each longer line in pieces. line_id becomes (line_id, piece), so pieces stand in order where their line stood."""
     if limit is None:
         return lines
     raw = F.encode("line", "UTF-8")
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("line") / limit) - 1, F.lit(0)).cast("int")), lambda i: F.decode(F.substring(raw, i * limit + 1, F.lit(limit)), "UTF-8"))
     pieces = lines.where("line is not null").select("line_id", F.posexplode(parts).alias("piece", "line"))
-    return pieces.select(F.when(F.col("piece") == 0, F.col("line_id")).otherwise(F.xxhash64("line_id", "piece")).alias("line_id"), "line")
+    return pieces.select(F.struct("line_id", "piece").alias("line_id"), "line")
 
 
 def after_offset(line: Column, n: int) -> Column:

@@ -56,16 +56,21 @@ def test_report_file(spark, tmp_path):
     lines = [*["x y"] * 3, *["x z"] * 2]
     m = LineMiner(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string"), MinerConfig(support=2))
     write_report(m.report(), f"{tmp_path}/r")
-    assert "".join(open(p).read() for p in sorted(tmp_path.glob("r/part-*"))) == "\nx y \nSupport : 3\n\nx z \nSupport : 2\n\n\n"
+    assert (tmp_path / "r").read_text() == "\nx y \nSupport : 3\n\nx z \nSupport : 2\n\n\n"
     none = LineMiner(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string"), MinerConfig(support=9))
     write_report(none.report(), f"{tmp_path}/none")
-    assert not (tmp_path / "none").exists()
+    assert not (tmp_path / "none").exists() and not (tmp_path / "r.parts").exists()
+    many = spark.createDataFrame([(i, f"w{i:03d}") for i in range(300)] * 2, "line_id long, line string").repartition(9)
+    write_report(LineMiner(many, MinerConfig(support=2)).report(), f"{tmp_path}/r")  # over the one that is there
+    assert (tmp_path / "r").read_text() == "\n" + "".join(f"w{i:03d} \nSupport : 2\n\n" for i in range(299, -1, -1)) + "\n"
 
 
 def test_long_lines_are_cut_if_asked(spark):
     df = spark.createDataFrame([(1, "ab cdé"), (2, ""), (3, "abcd"), (4, None)], "line_id long, line string")
     m = LineMiner(df, MinerConfig(support=1, max_line_bytes=4))
-    assert sorted(r["line"] for r in m.lines.collect()) == ["", "ab c", "abcd", "dé"] and m.n_lines == 4
+    assert [(*r["line_id"], r["line"]) for r in m.lines.orderBy("line_id").collect()] == [(1, 0, "ab c"), (1, 1, "dé"), (2, 0, ""), (3, 0, "abcd")] and m.n_lines == 4
+    assert [(r["pattern"], tuple(r["first_line_id"])) for r in m.report().where("pattern like 'd%'").collect()] == [("dé ", (1, 1))]
+    assert {tuple(r["line_id"]) for r in m.outliers().collect()} == {(2, 0)}
     with pytest.raises(ValueError):
         MinerConfig(support=1, max_line_bytes=0)
 
