@@ -70,28 +70,28 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import functions as F
 
     from linepatterns.plans.miner import LineMiner
+    from linepatterns.progress import Progress
     from linepatterns.sources.text import read_lines, report_lines, write_outliers
 
     spark = spark or SparkSession.builder.appName(NAME).getOrCreate()
-    miner = LineMiner(read_lines(spark, a.input), config)
-    stage = lambda what: log.debug("stage: %s", what) if a.debug > 1 else None
-    stage("lines and words")
-    log.info("%d lines, support %d, %d frequent words", miner.n_lines, miner.support, miner.n_frequent)
-    if not miner.n_frequent:
-        return 0
-    if a.debug:
-        for r in miner.frequent_words.orderBy(F.desc("support"), "word").toLocalIterator():
-            log.debug("word %s %d", r["word"], r["support"])
-        stage("candidates")
-        for r in miner.described_candidates().toLocalIterator():
-            log.debug("%s", r["description"])
-    stage("clusters")
-    for r in report_lines(miner.report()).orderBy("rank").toLocalIterator():
-        print(r["value"])
-    if a.outliers:
-        stage("outliers")
-        write_outliers(miner.outliers(), a.outliers)
-    miner.close()
+    with Progress(spark, log, a.debug) as progress, LineMiner(read_lines(spark, a.input), config) as miner:
+        progress.stage("lines and words")
+        log.info("%d lines, support %d, %d frequent words", miner.n_lines, miner.support, miner.n_frequent)
+        progress.total = miner.n_lines
+        if not miner.n_frequent:
+            return 0
+        if a.debug:
+            for r in miner.frequent_words.orderBy(F.desc("support"), "word").toLocalIterator():
+                log.debug("word %s %d", r["word"], r["support"])
+            progress.stage("candidates")
+            for r in miner.described_candidates().toLocalIterator():
+                log.debug("%s", r["description"])
+        progress.stage("clusters")
+        for r in report_lines(miner.report()).orderBy("rank").toLocalIterator():
+            print(r["value"])
+        if a.outliers:
+            progress.stage("outliers")
+            write_outliers(miner.outliers(), a.outliers)
     return 0
 
 

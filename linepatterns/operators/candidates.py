@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
+from linepatterns.operators import sketches
 from linepatterns.operators.vocabulary import exploded
 
 
@@ -99,20 +100,14 @@ def envelope(rows: DataFrame, key: str) -> DataFrame:
     return found.select(key, low.alias("gap_min"), high.alias("gap_max"), "support", F.col("support").alias("own_support"), "first_line_id")
 
 
-def candidates(counted: DataFrame, config: MinerConfig, support: int) -> DataFrame:
-    """(constants, n_constants, gap_min, gap_max, support, own_support, first_line_id) from counted keys. Rare sketch slots go first if there is a sketch."""
-    if config.csize:
-        slot = F.pmod(F.xxhash64("constants"), F.lit(config.csize))
-        slots = candidate_sketch(counted, config).where(F.col("cnt") >= support).select("slot")
-        counted = counted.withColumn("slot", slot).join(slots, "slot", "left_semi")
+def candidates(counted: DataFrame, config: MinerConfig, kept: Column | None = None) -> DataFrame:
+    """(constants, n_constants, gap_min, gap_max, support, own_support, first_line_id) from counted keys. kept: a sketch's frequent slots; keys of other slots go."""
+    if kept is not None:
+        counted = counted.where(sketches.holds(kept, F.xxhash64("constants"), config.csize))
     rows = counted.select("constants", F.col("gaps").alias("gap_min"), F.col("gaps").alias("gap_max"), "support", "first_line_id")
     return envelope(rows, "constants").withColumn("n_constants", F.size("constants"))
 
 
-def candidate_sketch(counted: DataFrame, config: MinerConfig) -> DataFrame:
-    return counted.groupBy(F.pmod(F.xxhash64("constants"), F.lit(config.csize)).alias("slot")).agg(F.sum("support").alias("cnt"))
-
-
 def outliers(keys: DataFrame, clusters: DataFrame) -> DataFrame:
     """(line_id, line): lines without constants, and lines whose constants are no cluster's. Clusters are broadcast if Spark finds them small."""
     return keys.join(clusters.select("constants"), "constants", "left_anti").select("line_id", "line")

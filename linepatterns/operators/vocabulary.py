@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
 from linepatterns.functions.text import rewritten_words, words_of
+from linepatterns.operators import sketches
 
 
 def tokenise(lines: DataFrame, config: MinerConfig) -> DataFrame:
@@ -29,19 +30,21 @@ def _both(tokens: DataFrame, config: MinerConfig) -> Column:
     return F.array_remove(both, "")
 
 
-def word_sketch(tokens: DataFrame, config: MinerConfig) -> DataFrame:
-    """(slot, cnt): occurrences by hash slot."""
-    words = tokens.select(F.explode(_both(tokens, config)).alias("word"))
-    return words.groupBy(F.pmod(F.xxhash64("word"), F.lit(config.wsize)).alias("slot")).agg(F.count("*").alias("cnt"))
+def word_slots(tokens: DataFrame, config: MinerConfig) -> DataFrame:
+    """(slots): the slot of each occurrence of a line's words and rewritten words."""
+    return tokens.select(sketches.slots_of(_both(tokens, config), config.wsize).alias("slots"))
 
 
-def vocabulary(tokens: DataFrame, config: MinerConfig, support: int) -> DataFrame:
-    """(word, support): lines that hold a word. Repeats in a line go before anything is shuffled; rare slots go first if there is a sketch."""
-    words = tokens.select(F.explode(F.array_distinct(_both(tokens, config))).alias("word"))
-    if config.wsize:
-        slots = word_sketch(tokens, config).where(F.col("cnt") >= support).select("slot")
-        words = words.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(config.wsize))).join(slots, "slot", "left_semi").drop("slot")
-    return words.groupBy("word").agg(F.count("*").alias("support"))
+def counted(tokens: DataFrame, config: MinerConfig, kept: Column | None = None) -> DataFrame:
+    """(word, support): lines that hold a word, and all lines where word is null: one pass counts both.
+
+    Repeats in a line go before anything is shuffled. kept: a sketch's frequent slots; words of other slots go where the line stands.
+    """
+    words = F.concat(F.array_distinct(_both(tokens, config)), F.array(F.lit(None).cast("string")))
+    rows = tokens.select(F.explode(words).alias("word"))
+    if kept is not None:
+        rows = rows.where(F.col("word").isNull() | sketches.holds(kept, F.xxhash64("word"), config.wsize))
+    return rows.groupBy("word").agg(F.count("*").alias("support"))
 
 
 def histogram(vocab: DataFrame, support: int) -> DataFrame:

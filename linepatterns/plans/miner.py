@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
 from linepatterns.functions.text import candidate_text, cut_lines, pattern_text, token_text
-from linepatterns.operators import aggregate, candidates, vocabulary, weights
+from linepatterns.operators import aggregate, candidates, sketches, vocabulary, weights
 from linepatterns.operators.ranks import ranked
 
 
@@ -39,7 +40,10 @@ class LineMiner:
 
     @cached_property
     def n_lines(self) -> int:
-        return self.lines.count()
+        """From the pass that counts words, unless a sketch has to know the support before it."""
+        if self.config.wsize and self.config.support is None:
+            return self.lines.count()
+        return sum(r["support"] for r in self._counted.where("word is null").collect())
 
     @cached_property
     def support(self) -> int:
@@ -49,9 +53,19 @@ class LineMiner:
     def tokens(self) -> DataFrame:
         return vocabulary.tokenise(self.lines, self.config)
 
+    @cached_property
+    def word_slots(self) -> np.ndarray:
+        """Which slots of the word sketch are frequent."""
+        return sketches.frequent_slots(vocabulary.word_slots(self.tokens, self.config), self.config.wsize, self.support)
+
+    @cached_property
+    def _counted(self) -> DataFrame:
+        kept = sketches.as_bits(self.lines.sparkSession, self.word_slots) if self.config.wsize else None
+        return self._hold(vocabulary.counted(self.tokens, self.config, kept))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return vocabulary.vocabulary(self.tokens, self.config, self.support)
+        return self._counted.where("word is not null")
 
     @cached_property
     def frequent_words(self) -> DataFrame:
@@ -73,15 +87,27 @@ class LineMiner:
         """(line_id, constants, gaps) of the lines with a constant."""
         return self._keys().where(F.size("constants") > 0).select("line_id", "constants", "gaps")
 
+    @cached_property
+    def candidate_slots(self) -> np.ndarray:
+        """Which slots of the candidate sketch are frequent."""
+        return sketches.frequent_slots(self.line_keys.select(sketches.slots_of(F.array("constants"), self.config.csize)), self.config.csize, self.support)
+
+    @cached_property
+    def _kept_candidates(self):
+        return sketches.as_bits(self.lines.sparkSession, self.candidate_slots) if self.config.csize else None
+
     @cached_property
     def counted_keys(self) -> DataFrame:
-        """Lines by key: one pass over the lines, for candidates, co-occurrence and weights together."""
-        return self._hold(candidates.counted_keys(self.line_keys))
+        """Lines by key: one pass over the lines, for candidates, co-occurrence and weights together. Without weights, a sketch drops keys before they are shuffled."""
+        keys = self.line_keys
+        if self.config.csize and not self.config.wweight:
+            keys = keys.where(sketches.holds(self._kept_candidates, F.xxhash64("constants"), self.config.csize))
+        return self._hold(candidates.counted_keys(keys))
 
     @cached_property
     def candidates(self) -> DataFrame:
         """With aggregated support if the run aggregates."""
-        found = candidates.candidates(self.counted_keys, self.config, self.support)
+        found = candidates.candidates(self.counted_keys, self.config, self._kept_candidates)
         if self.config.aggrsup:
             found = aggregate.aggregate_supports(self._hold(found))
         return found
@@ -136,16 +162,25 @@ class LineMiner:
         keys = self._keys(None if self.config.outliers_use_rewrite else False)
         return candidates.outliers(keys, self.clusters)
 
+    def n_outliers(self) -> int:
+        """Without another pass over the lines where they are judged by the keys that clusters were made from."""
+        if not self.n_frequent:
+            return 0
+        if self.config.rewrites and not self.config.outliers_use_rewrite:
+            return self.outliers().count()
+        return self.n_lines - (self.clusters.agg(F.sum("own_support")).first()[0] or 0)
+
     def summary(self) -> DataFrame:
-        """One row of counts."""
-        count = lambda df, name, where="true": df.agg(F.count_if(F.expr(where)).alias(name))
-        parts = [count(self.lines, "lines"), count(self.vocabulary, "words"), count(self.frequent_words, "frequent_words"), count(self.candidates, "candidates"), count(self.clusters, "clusters"), count(self.outliers(), "outliers")]
+        """One row of counts. They come from the words, keys and clusters that the run has counted; lines are read again only if outliers are judged by other words than clusters."""
+        clusters = self._hold(self.clusters)
+        words, frequent = self.vocabulary.agg(F.count("*"), F.count_if(F.col("support") >= self.support)).first()
+        out = {"support": self.support, "lines": self.n_lines, "words": words, "frequent_words": frequent, "candidates": self.candidates.count(), "clusters": clusters.count(), "outliers": self.n_outliers()}
         if self.config.wsize:
-            parts.append(count(vocabulary.word_sketch(self.tokens, self.config), "word_slots", f"cnt >= {self.support}"))
+            out["word_slots"] = int(self.word_slots.sum())
         if self.config.csize:
-            parts.append(count(candidates.candidate_sketch(self.counted_keys, self.config), "candidate_slots", f"cnt >= {self.support}"))
+            out["candidate_slots"] = int(self.candidate_slots.sum())
         if self.config.aggrsup:
-            parts.append(count(aggregate.path_prefixes(self.candidates), "path_prefixes"))
+            out["path_prefixes"] = aggregate.path_prefixes(self.candidates).count()
         if self.config.wweight:
-            parts += [count(self.joined, "joined_clusters", "is_joined"), count(self.joined, "total_clusters")]
-        return self.lines.sparkSession.range(1).select(F.lit(self.support).cast("long").alias("support"), *(p.scalar().alias(p.columns[0]) for p in parts))
+            out["joined_clusters"], out["total_clusters"] = self.joined.agg(F.count_if("is_joined"), F.count("*")).first()
+        return self.lines.sparkSession.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in out.items()))
