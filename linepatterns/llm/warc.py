@@ -21,10 +21,12 @@ only the named columns and ``keep`` are read.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,13 @@ HIDDEN = frozenset("script style noscript template".split())
 BLOCK = frozenset("p div br hr li ul ol dl dt dd table tr h1 h2 h3 h4 h5 h6 nav header footer article section aside main title head body html pre blockquote form figure figcaption option".split())
 CELL = frozenset("td th".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_SIZE = re.compile("[0-9]{1,18}")
+#: bytes of a record that ``read_records`` puts together from pieces; one that says it has more is taken as it stands
+MOST = 1 << 30
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
+#: fixed values: Python's codecs that are no character sets
+NO_CHARSETS = frozenset(("idna", "punycode", "undefined", "unicode-escape", "raw-unicode-escape", "utf-7", "base64", "bz2", "hex", "quopri", "rot13", "uu", "zlib"))
+_START, _PART = b"WARC/1.", b"\r\n\r\nWARC/1."
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
 
 
@@ -55,10 +64,10 @@ def parts(page: str) -> Iterator[tuple[str | None, str]]:
             end = page.find("-->", i + 4)
             at = shown = len(page) if end < 0 else end + 3
             continue
-        if i > last:
-            if page.find("<!--", i) < 0:
+        if i > last:  # no tag ends any more, and a comment would hide the rest
+            at = page.find("<!--", i)
+            if at < 0:
                 break
-            at = m.end()
             continue
         end = page.find(">", i)
         if i > shown:
@@ -152,31 +161,94 @@ def heads(lines: str) -> list[tuple[str, str]]:
     return out
 
 
-def response(record: bytes | None) -> tuple | None:
-    """(record id, target URI, date, HTTP head, payload as text, digest of the payload's bytes, their number) of a whole response record; else null."""
+def unchunked(body: bytes) -> tuple[bytes, bool]:
+    """The body of a chunked transfer, and whether it is whole. A body that doesn't begin as one is returned as it is: archives often keep the header of a body they have put together."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size, at = int(m[1], 16), m.end()
+        if not size:
+            return b"".join(out), True
+        out.append(body[at : at + size])
+        at += size
+        if at > len(body):
+            return b"".join(out), False
+        at += 2 * (body[at : at + 2] == b"\r\n")
+    return (b"".join(out), False) if out else (body, True)
+
+
+def inflated(body: bytes, coding: str, most: int) -> tuple[bytes, bool]:
+    """The body without its content coding, up to ``most`` bytes, and whether that is all of it."""
+    if coding in ("gzip", "x-gzip"):
+        ways = [31]
+    else:
+        ways = [15, -15]  # deflate, with its frame or, as some servers send it, without
+    for bits in ways:
+        out, size, rest = [], 0, body
+        try:
+            while rest and size < most:
+                d = zlib.decompressobj(bits)
+                out.append(d.decompress(rest, most - size))
+                size += len(out[-1])
+                if not d.eof:
+                    return b"".join(out), False
+                rest = d.unused_data if bits == 31 else b""
+            return b"".join(out), not rest
+        except zlib.error:
+            if out:
+                return b"".join(out), False
+    return body, coding == "identity"
+
+
+def decoded(text: bytes, charset: str) -> str:
+    """By a codec for text in the Web; any other name stands for UTF-8."""
+    try:
+        if codecs.lookup(charset).name not in NO_CHARSETS:
+            return text.decode(charset, "replace")
+    except (LookupError, UnicodeError):
+        pass
+    return text.decode("utf-8", "replace")
+
+
+def response(record: bytes | None, most: int = 64 << 20) -> tuple | None:
+    """(record id, target URI, date, HTTP head, payload as text, digest of the payload's bytes, their number, state) of a whole response record; else null.
+
+    Digest and number are those of the payload as it stands in the record. For its text a chunked transfer is put together and gzip or deflate undone. State:
+    ``whole``; ``cut`` where the coding breaks off or gives more than ``most`` bytes, and the text is what comes before that; ``coded`` where the coding is not known, and there is no text.
+    """
     head, found, rest = (record or b"").partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/"):
         return None
     own = {k.lower(): v for k, v in heads(head.split(b"\r\n", 1)[-1].decode("utf-8", "replace"))}
     size = own.get("content-length", "")
-    if own.get("warc-type", "").lower() != "response" or not size.isdigit() or len(rest) < int(size):
+    if own.get("warc-type", "").lower() != "response" or not _SIZE.fullmatch(size) or len(rest) < int(size):
         return None
     http, found, payload = rest[: int(size)].partition(b"\r\n\r\n")
     if not found:
         http, payload = b"", http
-    charset = _CHARSET.search(dict((k.lower(), v) for k, v in heads(http.decode("latin-1"))).get("content-type", "")) or _CHARSET.search(payload[:2048].decode("latin-1"))
-    try:
-        text = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        text = payload.decode("utf-8", "replace")
-    return own.get("warc-record-id"), own.get("warc-target-uri"), own.get("warc-date"), http.decode("latin-1"), text, digest(payload), len(payload)
-
-
-_RESPONSE = "record_id string, url string, date string, headers string, html string, payload_digest string, payload_length long"
+    said = dict((k.lower(), v) for k, v in heads(http.decode("latin-1")))
+    body, state = payload, "whole"
+    if "chunked" in said.get("transfer-encoding", "").lower():
+        body, whole = unchunked(body)
+        state = "whole" if whole else "cut"
+    for coding in reversed([c.strip().lower() for c in said.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            if coding != "deflate" and not body.startswith(b"\x1f\x8b"):  # kept with the coding undone
+                continue
+            body, whole = inflated(body, coding, most)
+            state = state if whole else "cut"
+        elif coding not in ("", "identity"):
+            body, state = b"", "coded"
+            break
+    charset = _CHARSET.search(said.get("content-type", "")) or _CHARSET.search(body[:2048].decode("latin-1"))
+    text = decoded(body, charset[1] if charset else "utf-8")
+    return own.get("warc-record-id"), own.get("warc-target-uri"), own.get("warc-date"), http.decode("latin-1"), text, digest(payload), len(payload), state
+
+
+_RESPONSE = "record_id string, url string, date string, headers string, html string, payload_digest string, payload_length long, body string"
 
 
 def responses(records: DataFrame, record: str = "record", keep: tuple[str, ...] = (), all_rows: bool = False) -> DataFrame:
-    """The ``keep`` columns and record_id, url, date, headers, html, payload_digest and payload_length of each response; other records go, or have nulls with ``all_rows``."""
+    """The ``keep`` columns and record_id, url, date, headers, html, payload_digest, payload_length and body (the state of ``response``) of each response; other records go, or have nulls with ``all_rows``."""
     fields = [f"_f{i}" for i in range(len(keep))]
     base = records.select(*(F.col(k).alias(f) for k, f in zip(keep, fields, strict=True)), F.col(record).cast("binary").alias("_record"))
 
@@ -186,17 +258,50 @@ def responses(records: DataFrame, record: str = "record", keep: tuple[str, ...]
                 part = batch.slice(lo, 200)
                 found = [response(r) for r in part.column("_record").to_pylist()]
                 at = [i for i, r in enumerate(found) if r or all_rows]
-                columns = list(zip(*(found[i] or (None,) * 7 for i in at), strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([*(part.column(f).take(pa.array(at, pa.int64())) for f in fields), *(pa.array(x, pa.string()) for x in columns[:6]), pa.array(columns[6], pa.int64())], names=[*fields, *(x.split()[0] for x in _RESPONSE.split(", "))])
+                columns = list(zip(*(found[i] or (None,) * 8 for i in at), strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([*(part.column(f).take(pa.array(at, pa.int64())) for f in fields), *(pa.array(x, pa.string()) for x in columns[:6]), pa.array(columns[6], pa.int64()), pa.array(columns[7], pa.string())], names=[*fields, *(x.split()[0] for x in _RESPONSE.split(", "))])
 
     out = base.mapInArrow(take, "".join(f"{f} {base.schema[f].dataType.simpleString()}, " for f in fields) + _RESPONSE)
     return out.select(*(F.col(f).alias(k) for k, f in zip(keep, fields, strict=True)), *(x.split()[0] for x in _RESPONSE.split(", ")))
 
 
+def _joined(batches):
+    """Pieces between record heads -> records: a record shorter than it says goes on with the pieces after it in the same block."""
+    held: list[bytes] = []
+    lacking, last = 0, None
+
+    def out(over: int):
+        """The record without what stands after its length."""
+        record = b"".join(held)
+        return pa.RecordBatch.from_arrays([pa.array([(record[: len(record) - over] if over > 0 else record) + b"\r\n\r\n"], pa.binary())], names=["record"])
+
+    for batch in batches:
+        for path, block, piece in zip(batch.column("path"), batch.column("block"), batch.column("value"), strict=True):
+            piece, here = piece.as_py(), (path.as_py(), block.as_py())
+            if held and here == last and lacking > 0:
+                lacking -= len(_PART) + len(piece)
+                held += [_PART, piece]
+                continue
+            if held:
+                yield out(-lacking)
+            held, last = [piece if piece.startswith(_START) else _START + piece], here
+            head, found, rest = held[0].partition(b"\r\n\r\n")
+            size = dict((k.lower(), v) for k, v in heads(head.decode("latin-1"))).get("content-length", "")
+            lacking = int(size) - len(rest) if found and _SIZE.fullmatch(size) and int(size) <= MOST else 0
+    if held:
+        yield out(-lacking)
+
+
 def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(record): the records of WARC files, plain ones split among tasks, compressed ones a task a file. A record must fit in memory; one whose body holds the first line of a record is cut there."""
-    rows = spark.read.option("lineSep", VERSION.decode()).text(paths).select(F.col("value").cast("binary").alias("value"))
-    return rows.where(F.octet_length("value") > 0).select(F.concat(F.lit(bytearray(VERSION)), "value").alias("record"))
+    """(record): the records of WARC files of any version, plain ones split among tasks, compressed ones a task a file. A record must fit in memory.
+
+    Files are split where a blank line and ``WARC/1.`` follow each other. A body may hold that too: so a record that is shorter than its
+    Content-Length goes on with what follows. Only where the border of two of Spark's splits of a plain file lies in such a body,
+    between its start and that line, the record ends there, which ``responses`` sees from its length.
+    """
+    rows = spark.read.option("lineSep", _PART.decode()).text(paths)
+    pieces = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(_joined, "record binary").where(F.octet_length("record") > len(_START) + 4)
 
 
 def as_records(pages: DataFrame, payload: str = "html", uri: str = "url", date: str = "1970-01-01T00:00:00Z", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,9 +1,11 @@
 """WARC records against an independent reader and the standard library's HTML parser."""
 
 import base64
+import gzip
 import hashlib
 import random
 import time
+import zlib
 from html.parser import HTMLParser
 
 import pytest
@@ -138,3 +140,65 @@ def test_long_pages_take_time_in_proportion(unit):
     page = unit * (1_000_000 // len(unit))
     warc.derive(page, None, None, None, None)
     assert time.time() - began < 20
+
+
+def a_response(body=b"<p>x</p>", http=b"HTTP/1.1 200 OK\r\nContent-Type: text/html", size=None, version=b"1.0", more=b""):
+    block = http + b"\r\n\r\n" + body
+    size = str(len(block)).encode() if size is None else size
+    return b"WARC/" + version + b"\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\n" + more + b"Content-Length: " + size + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def typed(charset):
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=" + charset
+
+
+def test_hostile_heads(spark):
+    assert warc.response(a_response(size="²".encode())) is None and warc.response(a_response(size=b"9" * 5000)) is None and warc.response(a_response(size=b"-1")) is None
+    for charset in ("idna", "undefined", "punycode", "unicode_escape", "base64", "rot13", "utf-7", "no-such-thing", "utf-16", "utf-32", "cp1252"):
+        text = warc.response(a_response(b"\\ud800 \xff\x00 <p>" + b"a" * 9, typed(charset.encode())))[4]
+        assert isinstance(text, str) and text.encode("utf-8")
+    rows = [(a_response(size="²".encode()),), (a_response(b"x", typed(b"idna")),), (a_response(b"\xe4", typed(b"latin-1")),), (None,), (b"",)]
+    got = warc.responses(spark.createDataFrame(rows, "record binary"), all_rows=True).collect()
+    assert sorted(str(r["html"]) for r in got) == ["None", "None", "None", "x", "ä"]
+
+
+def test_codings():
+    page = "<p>é</p>".encode() * 50
+    zipped, raw = gzip.compress(page), zlib.compress(page)[2:-4]
+    chunks = lambda b: b"".join(b"%x;a=b\r\n" % len(b[i : i + 7]) + b[i : i + 7] + b"\r\n" for i in range(0, len(b), 7)) + b"0\r\nTrailer: x\r\n\r\n"
+    head = lambda *lines: b"\r\n".join((b"HTTP/1.1 200 OK", *lines))
+    chunked, coded = b"Transfer-Encoding: chunked", lambda c: b"Content-Encoding: " + c
+    for body, http in (
+        (chunks(page), head(chunked)), (zipped, head(coded(b"gzip"))), (zipped[:0] + gzip.compress(page[:100]) + gzip.compress(page[100:]), head(coded(b"x-gzip"))), (zlib.compress(page), head(coded(b"deflate"))), (raw, head(coded(b"deflate"))),
+        (chunks(zipped), head(chunked, coded(b"GZIP"))), (gzip.compress(zlib.compress(page)), head(coded(b"deflate, gzip"))), (page, head(chunked)), (page, head(coded(b"gzip"))), (page, head(coded(b"identity"))),
+    ):
+        found = warc.response(a_response(body, http))
+        assert found[4:] == (page.decode(), warc.digest(body), len(body), "whole"), http
+    assert warc.response(a_response(zipped[:-20], head(coded(b"gzip"))))[7] == "cut"
+    assert warc.response(a_response(chunks(page)[:100], head(chunked)))[7] == "cut"
+    assert warc.response(a_response(b"\x0b", head(coded(b"br"))))[4::3] == ("", "coded")
+    bomb = gzip.compress(b"a" * 10_000_000)
+    cut = warc.response(a_response(bomb, head(coded(b"gzip"))), most=1000)
+    assert cut[4:] == ("a" * 1000, warc.digest(bomb), len(bomb), "cut")
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_files_of_any_version(spark, tmp_path, name):
+    inside = b"text\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 1\r\n\r\nno"
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    records = [info, *(a_response(b"body %d " % i + (inside if i == 2 else b"\r\n\r\n" * (i % 2)), version=b"1.1" if i % 3 else b"1.0") for i in range(5))]
+    write = gzip.compress if name.endswith("gz") else bytes
+    (tmp_path / name).write_bytes(b"".join(map(write, records)))
+    (tmp_path / f"b{name}").write_bytes(b"".join(map(write, records[1:])))
+    got = warc.read_records(spark, [f"{tmp_path}/{name}", f"{tmp_path}/b{name}"])
+    assert sorted(bytes(r["record"]) for r in got.collect()) == sorted(records + records[1:])
+    assert sorted(r["payload_length"] for r in warc.responses(got).collect()) == sorted(2 * [len(r.partition(b"text/html\r\n\r\n")[2]) - 4 for r in records[1:]])
+
+
+def test_a_comment_after_tags_that_never_end_is_linear():
+    took = []
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        assert warc.plain_text("x<a " * n + "<!--") == ("x<a " * n).strip()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 0.5 + 20 * took[0] and took[1] < 3
