@@ -47,13 +47,3 @@ def parse_template(template: str) -> list[str | int]:
 def replaces_at_once(search: str, replacement: str) -> bool:
     """Whether replacing all matches at once equals replacing the first again and again: one class of characters, none of them in the replacement."""
     return bool(re.fullmatch(r"\[[^\[\]\\^]+\]\+?", search)) and not re.search(search, replacement)
-
-
-def rewrite_word(word: str, search: re.Pattern, replacement: str, limit: int = 10_000) -> str:
-    """The first match is replaced and the word searched again from its start, until nothing matches or, after one replacement, the match is a prefix of the replacement."""
-    for n in range(limit):
-        m = search.search(word)
-        if m is None or (n and replacement.startswith(m[0])):
-            return word
-        word = word[: m.start()] + replacement + word[m.end() :]
-    raise ValueError(f"replacing {search.pattern} by {replacement} does not end")

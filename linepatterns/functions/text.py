@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
-from linepatterns.functions.regex import java_pattern, parse_template, quote_replacement, replaces_at_once, rewrite_word
+from linepatterns.functions.regex import java_pattern, parse_template, quote_replacement, replaces_at_once
+
+#: replacements in a word that are tried for all words, and at most
+STEPS, MOST_STEPS = 8, 10_000
 
 
 def cut_lines(lines: DataFrame, limit: int | None) -> DataFrame:
@@ -55,20 +54,37 @@ def words_of(line: Column, config: MinerConfig) -> Column:
     return F.when(F.coalesce(rest, F.lit("")) == "", F.array().cast("array<string>")).when(passes_filter(rest, config), split_words(from_template(rest, config), config)).otherwise(F.array().cast("array<string>"))
 
 
+def _replaced_again(word: Column, search: str, new: str) -> Column:
+    """``word`` with the leftmost match replaced and searched again from its start, until nothing matches or, after one replacement, the match is a prefix of ``new``.
+
+    A fold over numbers of steps that stands still once it is done: ``STEPS`` for all words, and ``MOST_STEPS`` more for those that need them. A word that
+    needs still more raises an error. The place of a match is the shortest beginning that a match follows.
+    """
+    before = rf"^[\s\S]*?(?=(?:{search}))"
+    state = lambda w, done: F.struct(w.alias("word"), F.lit(done).alias("done"))
+
+    def step(s: Column, i: Column) -> Column:
+        w, head, match = s["word"], F.regexp_extract(s["word"], before, 0), F.regexp_extract(s["word"], search, 0)
+        ends = ~w.rlike(search) | ((i > 0) & F.lit(new).startswith(match))
+        rest = F.call_function("substring", w, F.length(head) + F.length(match) + 1)
+        return F.when(s["done"], s).when(ends, state(w, True)).otherwise(state(F.concat(head, F.lit(new), rest), False))
+
+    def fold(w: Column, low: int, high: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(low), F.lit(high)), state(w, False), step)
+
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    endless = F.raise_error(F.lit(f"replacing {search} by {new} does not end")).cast("string")
+    more = lambda s: once(fold(s["word"], STEPS, MOST_STEPS), lambda t: F.when(t["done"], t["word"]).otherwise(endless))
+    return once(fold(word, 0, STEPS - 1), lambda s: F.when(s["done"], s["word"]).otherwise(more(s)))
+
+
 def rewritten_words(words: Column, config: MinerConfig) -> Column:
-    """The rewritten form of each word of an array, null where the filters leave it alone. Built-in where one pass is provably enough."""
-    search, new = config.wsearch, config.wreplace
-    fits = lambda w: (w != "") & w.rlike(java_pattern(config.wfilter)) & w.rlike(java_pattern(search))
-    if replaces_at_once(search, new):
-        return F.transform(words, lambda w: F.when(fits(w), F.regexp_replace(w, java_pattern(search), quote_replacement(new))))
-    pattern = java_pattern(search, python=True)
-
-    @F.pandas_udf("array<string>")
-    def again(lists: pd.Series) -> pd.Series:
-        found, known = re.compile(pattern), {None: None}
-        return lists.map(lambda ws: [known[w] if w in known else rewrite_word(w, found, new) for w in ws], na_action="ignore")
-
-    return again(F.transform(words, lambda w: F.when(fits(w), w)))
+    """The rewritten form of each word of an array, null where the filters leave it alone."""
+    search, new = java_pattern(config.wsearch), config.wreplace
+    fits = lambda w: (w != "") & w.rlike(java_pattern(config.wfilter)) & w.rlike(search)
+    if replaces_at_once(config.wsearch, new):
+        return F.transform(words, lambda w: F.when(fits(w), F.regexp_replace(w, search, quote_replacement(new))))
+    return F.transform(words, lambda w: F.when(fits(w), _replaced_again(w, search, new)))
 
 
 def rewritten(word: Column, config: MinerConfig) -> Column:

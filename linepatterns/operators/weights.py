@@ -18,10 +18,12 @@ def cooccurrence(candidates: DataFrame) -> DataFrame:
 def needed_pairs(clusters: DataFrame) -> DataFrame:
     """(word, other): different words that stand together in a cluster. Each pair stands once, at that of both that has fewer partners, so no word has many."""
     d = clusters.select(F.array_distinct("constants").alias("d"))
-    pairs = d.select(F.explode("d").alias("word"), "d").select("word", F.explode("d").alias("other")).distinct().where("word <> other")
-    ranked = pairs.join(pairs.groupBy("word").agg(F.count("*").alias("n")), "word").select("word", "other", F.struct("n", "word").alias("own"))
-    both = ranked.join(ranked.select(F.col("word").alias("other"), F.col("other").alias("word"), F.col("own").alias("its")), ["word", "other"])
-    return both.where("own < its").select("word", "other")
+    pairs = written(d.select(F.explode("d").alias("word"), "d").select("word", F.explode("d").alias("other")).where("word < other").distinct())
+    partners = pairs.select(F.explode(F.array("word", "other")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    of = lambda c: partners.select(F.col("w").alias(c), F.struct("n", "w").alias(f"n_{c}"))
+    both = pairs.join(of("word"), "word").join(of("other"), "other")
+    first = F.col("n_word") < F.col("n_other")
+    return both.select(F.when(first, F.col("word")).otherwise(F.col("other")).alias("word"), F.when(first, F.col("other")).otherwise(F.col("word")).alias("other"))
 
 
 def needed_cooccurrence(candidates: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -38,7 +40,8 @@ def needed_cooccurrence(candidates: DataFrame, clusters: DataFrame) -> DataFrame
     asked = words.join(pairs, "word").select("id", "own_support", "word", "other")
     met = asked.join(words.select("id", F.col("word").alias("other")), ["id", "other"], "left_semi")
     n = met.groupBy("word", "other").agg(F.sum("own_support").alias("n"))
-    return own.unionByName(n.toDF("w1", "w2", "n")).unionByName(n.toDF("w2", "w1", "n"))
+    both = n.select(F.explode(F.array(F.struct(F.col("word").alias("w1"), F.col("other").alias("w2"), "n"), F.struct(F.col("other").alias("w1"), F.col("word").alias("w2"), "n"))).alias("p"))
+    return written(own.unionByName(both.select("p.*")))
 
 
 def dependency(cooc: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ class LineMiner:
     def clusters(self) -> DataFrame:
         """Candidates with enough support, with their pattern."""
         found = self.candidates.where(F.col("support") >= self.support)
-        return found.withColumn("pattern", pattern_text(F.col("constants"), F.col("gap_min"), F.col("gap_max")))
+        return self._hold(found.withColumn("pattern", pattern_text(F.col("constants"), F.col("gap_min"), F.col("gap_max"))))
 
     @cached_property
     def word_weights(self) -> DataFrame:
@@ -172,9 +172,8 @@ class LineMiner:
 
     def summary(self) -> DataFrame:
         """One row of counts. They come from the words, keys and clusters that the run has counted; lines are read again only if outliers are judged by other words than clusters."""
-        clusters = self._hold(self.clusters)
         words, frequent = self.vocabulary.agg(F.count("*"), F.count_if(F.col("support") >= self.support)).first()
-        out = {"support": self.support, "lines": self.n_lines, "words": words, "frequent_words": frequent, "candidates": self.candidates.count(), "clusters": clusters.count(), "outliers": self.n_outliers()}
+        out = {"support": self.support, "lines": self.n_lines, "words": words, "frequent_words": frequent, "candidates": self.candidates.count(), "clusters": self.clusters.count(), "outliers": self.n_outliers()}
         if self.config.wsize:
             out["word_slots"] = int(self.word_slots.sum())
         if self.config.csize:

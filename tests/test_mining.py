@@ -1,13 +1,15 @@
 """Small logs with known results, and properties that hold for any log."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from linepatterns.cli import main
 from linepatterns.config import MinerConfig
-from linepatterns.functions.regex import java_pattern, parse_template, rewrite_word
+from linepatterns.functions.regex import java_pattern, parse_template
+from linepatterns.functions.text import rewritten
 from linepatterns.plans.miner import LineMiner
 from linepatterns.sources.text import read_lines, write_outliers
 from linepatterns.streaming.classify import classify, counts
@@ -58,17 +60,40 @@ def test_rewriting(spark):
     m = mine(spark, E, support=2, wfilter="[.:]", wsearch="[0-9]+", wreplace="N")
     assert dict(m.frequent_words.collect()) == {"conn": 6, "from": 6, "N.N.N.N": 4, "10.1.1.3": 3}
     assert {tuple(r["constants"]): r["support"] for r in m.candidates.collect()} == {("conn", "from", "10.1.1.3"): 3, ("conn", "from"): 2, ("conn", "from", "N.N.N.N"): 1}
-    import re
+    for word, search, new, want in [("10.1.1.2:80", "[0-9]+", "N", "N.N.N.N:N"), ("10.20", "[0-9]+", "0", "0.20"), ("a=1=2", "=.+", "=VALUE", "a=VALUE"), ("aabb", "ab", "", ""), ("123x", "^[0-9]", "", "x")]:
+        assert plainly_rewritten(word, search, new) == rewritten_by_spark(spark, [word], search, new) == want
 
-    cases = [("10.1.1.2:80", "[0-9]+", "N", "N.N.N.N:N"), ("10.20", "[0-9]+", "0", "0.20"), ("a=1=2", "=.+", "=VALUE", "a=VALUE"), ("aabb", "ab", "", ""), ("123x", "^[0-9]", "", "x")]
-    for word, search, new, want in cases:
-        assert rewrite_word(word, re.compile(search), new) == want
-        from linepatterns.functions.text import rewritten
 
-        c = MinerConfig(support=1, wfilter=".", wsearch=search, wreplace=new)
-        assert spark.createDataFrame([(word,)], "w string").select(rewritten(F.col("w"), c)).first()[0] == want
-    with pytest.raises(ValueError):
-        rewrite_word("a", re.compile("a"), "ba")
+def plainly_rewritten(word, search, new):
+    for n in range(10_000):
+        m = re.search(search, word)
+        if m is None or (n and new.startswith(m[0])):
+            return word
+        word = word[: m.start()] + new + word[m.end() :]
+    return None
+
+
+def rewritten_by_spark(spark, words, search, new):
+    c = MinerConfig(support=1, wfilter="(?s).*", wsearch=search, wreplace=new)
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(words)), "i int, w string").orderBy("i").select(rewritten(F.col("w"), c)).collect()]
+    return got[0] if len(got) == 1 else got
+
+
+def test_rewriting_again_and_again(spark):
+    """Against a loop: classes, anchors, alternatives, groups that are referred to, empty matches, signs beyond 16 bits, dollars and backslashes."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("ab0.$\\\n\u00e9\U0001f600", k=rng.randint(1, 14))) for _ in range(120)] + ["0" * 200, "ab" * 30]
+    for search, new in [("00", "0"), ("ab", "ba"), ("a.*?b", ""), ("(a|b)\\1", "$"), ("\U0001f600", "\\"), ("b*", "x"), ("^a|b$", "0"), ("\\.|\n", "\u00e9"), ("a+b?", "b"), ("[$]", "$$"), ("(?:0|a)(?=b)", "")]:
+        want = [plainly_rewritten(w, search, new) if re.search(search, w) else None for w in words]
+        assert rewritten_by_spark(spark, words, search, new) == want, (search, new)
+    with pytest.raises(Exception, match="does not end"):
+        rewritten_by_spark(spark, ["a"], "a", "ba")
+
+
+def test_rewriting_needs_no_python(spark):
+    df = spark.createDataFrame([("u100",)], "w string").select(rewritten(F.col("w"), MinerConfig(support=1, wfilter="^u", wsearch="00", wreplace="0")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and df.first()[0] == "u10"
 
 
 def test_first_fit_is_final(spark):
