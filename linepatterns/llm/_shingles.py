@@ -7,8 +7,9 @@ Candidates. Two sets that are alike share at least ``similar`` per cent of the l
 they share one among the first n - ceil(n * similar / 100) + 1 of each. The order is by a table of ``SLOTS`` counts, rare
 slots first, so what many texts share is seldom looked up. The table only sets the order; it never changes results.
 
-Pairs. Where at most ``BUCKET`` sets share a key, they are all paired. Under a larger key each is paired with the one that has the fewest
-rarer shingles, which is the plainest of a group of copies, and further pairs are made only between components. A pair is made only
+Pairs. Where at most ``BUCKET`` sets share a key, they are all paired. Under a larger key each is paired with a pivot, the one that has the fewest
+rarer shingles, which is the plainest of a group of copies. Sets of different components are then filed by what each and its pivot don't share
+(``pairs_beside_pivots``), as sets that are alike differ from a pivot in much the same. A pair is made only
 if enough can be shared: the shingles from the key on, and those before it that any other set has among its first. A set's own
 shingles are rare and come first, so texts that have no more than a passage in common fail this.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
     found = texts.mapInArrow(take, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32)
+    return counts
 
 
 def prefixes(texts: DataFrame, width: int, similar: int, rank, keys_only: bool) -> DataFrame:
@@ -160,10 +162,85 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, bins: DataFrame, simil
     return _sides(near, sets, "set").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
 
 
+def _lost(batches):
+    """(pivot, token, lost): tokens of a pivot and how many of a batch's sets beside it lack each."""
+    for batch in batches:
+        of: dict[int, list[np.ndarray]] = {}
+        for pivot, own, its in zip(*(batch.column(c).to_pylist() for c in ("pivot", "own", "its")), strict=True):
+            of.setdefault(pivot, []).append(np.setdiff1d(np.frombuffer(its, np.uint64), np.frombuffer(own, np.uint64), assume_unique=True))
+        for pivot, tokens in of.items():
+            token, n = np.unique(np.concatenate(tokens), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), pivot)), pa.array(token.view(np.int64)), pa.array(n)], names=["pivot", "token", "lost"])
+
+
+def _beside(similar: int, counts):
+    """(pivot, sig, root, token, n, d, place, small) of rows with both sets: what stands in one of them only, as far as it has to be filed.
+
+    The order is by how many sets beside the pivot differ from it in a token: those that lack it, if the pivot has it, else at most those that have it anywhere.
+    """
+
+    def take(batches):
+        names = ("pivot", "sig", "root")
+        for batch in batches:
+            tokens, sizes, places, smalls, of = [], [], [], [], []
+            known, times = (np.asarray(batch.column(c).flatten()) for c in ("tokens", "times"))
+            ends = np.asarray(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0)).cumsum()
+            for i, (own, its) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "its")), strict=True)):
+                own, its = np.frombuffer(own, np.uint64), np.frombuffer(its, np.uint64)
+                here = slice(ends[i - 1] if i else 0, ends[i])
+                more, less = np.setdiff1d(own, its, assume_unique=True), np.setdiff1d(its, own, assume_unique=True)
+                token = np.concatenate([more, less])
+                often = np.concatenate([counts.value[_slot(more)], times[here][np.searchsorted(known[here], less.view(np.int64))]])
+                d = len(token)
+                token = token[np.lexsort((token, often))][: len(own) * (100 - similar) // similar + 1]
+                place = np.arange(len(token))
+                tokens.append(token)
+                sizes.append(np.array([[len(own)], [d]]).repeat(len(token), 1))
+                places.append(place)
+                smalls.append(place <= len(own) * (100 - similar) // (2 * similar))
+                of.append(np.full(len(token), i))
+            if tokens:
+                at, size = pa.array(np.concatenate(of)), np.concatenate(sizes, 1)
+                columns = [pa.array(np.concatenate(tokens).view(np.int64)), *map(pa.array, size), pa.array(np.concatenate(places)), pa.array(np.concatenate(smalls))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *columns], names=[*names, "token", "n", "d", "place", "small"])
+
+    return take
+
+
+def pairs_beside_pivots(members: DataFrame, texts: DataFrame, width: int, similar: int, counts) -> DataFrame:
+    """(a, b): sets of different components beside the same pivot that may be alike. members: (pivot, sig, root).
+
+    Let A and B be what two sets a and b don't share with their pivot p, so that a and b differ in what A and B don't share. If a and b are alike, they differ in at most
+    (100 - s) / (100 + s) of their sizes together, at most t = |a| (100 - s) / s. So A and B share at least (|A| + |B| - t) / 2. They share one token at least
+    unless both are alike to p, which those of different components are not: without any, |A| + |B| is at most that part of |a| + |b|; if a isn't alike to p, |A| is more than that part of
+    |a| + |p|, so |B| is less than that part of |b| - |p|, but it is |b| - |p| at least. Hence, under one order of all tokens, the smaller of A and B has a shared token among its first t / 2 + 1, the larger among
+    its first t + 1. What copies of a text have in common with it is not filed at all, and their own changes are rare, come first, and are shared by few.
+    A pair is made only if enough can be shared: filed tokens before this one that any other has, it, and the fewer of those after it.
+    """
+    wanted = checkpointed(members.select(F.explode(F.array("sig", "pivot")).alias("sig")).distinct())
+    sets = checkpointed(sets_of(texts, width, wanted))
+    both = checkpointed(members.join(sets.select("sig", F.col("set").alias("own")), "sig").join(sets.select(F.col("sig").alias("pivot"), F.col("set").alias("its")), "pivot"))
+    lost = both.mapInArrow(_lost, "pivot long, token long, lost long").groupBy("pivot", "token").agg(F.sum("lost").alias("lost"))
+    lost = lost.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct("token", "lost"))).alias("t")).select("pivot", F.col("t.token").alias("tokens"), F.col("t.lost").alias("times"))  # as many as the pivot has tokens
+    schema = "pivot long, sig long, root long, token long, n long, d long, place long, small boolean"
+    filed = checkpointed(both.join(lost, "pivot", "left").select("pivot", "sig", "root", "own", "its", "tokens", "times").mapInArrow(_beside(similar, counts), schema))
+    shared = filed.groupBy("pivot", "token").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.max("small").alias("any")).where("low <> high and any").select("pivot", "token")
+    kept = filed.join(shared, ["pivot", "token"])
+    kept = checkpointed(kept.withColumn("before", F.row_number().over(Window.partitionBy("pivot", "sig").orderBy("place")) - 1))
+    side = lambda s: kept.select("pivot", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("sig", "root", "n", "d", "place", "small", "before")))
+    shares = F.least("before_a", "before_b") + 1 + F.least(F.col("d_a") - F.col("place_a"), F.col("d_b") - F.col("place_b")) - 1
+    enough = 2 * (100 + similar) * shares >= (100 + similar) * (F.col("d_a") + F.col("d_b")) - (100 - similar) * (F.col("n_a") + F.col("n_b"))
+    order = (F.col("d_a") < F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("sig_a") < F.col("sig_b")))
+    met = side("a").where("small_a").join(side("b"), ["pivot", "token"]).where(order & (F.col("root_a") != F.col("root_b")) & enough)
+    return met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int) -> DataFrame:
     """(node, root) of the sigs that are alike but not equal. rows: what ``signatures`` gives."""
     texts = docs.select(F.col(text).alias("_text"))
-    rank = docs.sparkSession.sparkContext.broadcast(slot_counts(texts, width))
+    counts = slot_counts(texts, width)
+    send = docs.sparkSession.sparkContext.broadcast
+    rank = send(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32))
     shared = prefixes(texts, width, similar, rank, True).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
     shared = checkpointed(shared)
     may_share = bit_table(shared, F.col("key"), 1 << 24)
@@ -186,11 +263,13 @@ def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int)
     bins = checkpointed(rows.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))
     edges = checkpointed(alike(checkpointed(near.unionByName(stars).distinct()), texts, width, bins, similar))
     roots = components(edges)
-    named = checkpointed(large.drop("least", "m").join(roots, large["sig"] == roots["node"], "left").select("key", "sig", "n", "place", "before", F.coalesce("root", "sig").alias("root")))
+    named = large.select("key", "sig", F.col("least.sig").alias("pivot")).join(roots, large["sig"] == roots["node"], "left").select("key", "sig", "pivot", F.coalesce("root", "sig").alias("root"))
+    named = checkpointed(named)
     apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    named = named.join(apart, "key")
-    more = side(named, "a", F.col("root").alias("r_a")).join(side(named, "b", F.col("root").alias("r_b")), "key").where("a < b and r_a <> r_b").where(may).select("a", "b").distinct()
-    more = checkpointed(more.join(edges, ["a", "b"], "left_anti"))
+    members = checkpointed(named.join(apart, "key").where("sig <> pivot").select("pivot", "sig", "root").distinct())
+    if members.isEmpty():
+        return roots
+    more = checkpointed(pairs_beside_pivots(members, texts, width, similar, send(np.minimum(counts, 1 << 30).astype(np.int32))).join(edges, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return roots
     found = checkpointed(alike(more, texts, width, bins, similar))

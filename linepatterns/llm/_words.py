@@ -35,6 +35,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def on_plain_names(docs: DataFrame, step: Callable[..., DataFrame], *columns: str) -> DataFrame:
+    """``step`` of ``docs`` with its columns named c0, c1 ... and the new names of ``columns``; what it returns, rows of the same columns, gets the old names back. So no name can clash with those that steps use."""
+    names = docs.columns
+    place = {n.lower(): i for i, n in reversed(list(enumerate(names)))} | {n: i for i, n in reversed(list(enumerate(names)))}
+    return step(docs.toDF(*(f"c{i}" for i in range(len(names)))), *(f"c{place[c] if c in place else place[c.lower()]}" for c in columns)).toDF(*names)
+
+
 def labelled(rows: DataFrame, labels: DataFrame, key: str, n_rows: int) -> DataFrame:
     """``rows`` with the other columns of ``labels``: a label for each key, and n, the rows of that key. Rows without a label go.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import LOWER, Sums, checkpointed, chunks, sliding_min, window_names, word_table
+from linepatterns.llm._words import LOWER, Sums, checkpointed, chunks, on_plain_names, sliding_min, window_names, word_table
 
 GRAM = 8
 MARKS = 1 << 22
@@ -201,7 +201,11 @@ def _contaminated(hit: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
-    """``docs``, all columns, without the rows that are contaminated."""
+    """``docs``, all columns, whatever their names, without the rows that are contaminated."""
+    return on_plain_names(docs, lambda d, t, i: _decontaminated(d, items, t, i, item_id, item_text, window), text, id)
+
+
+def _decontaminated(docs: DataFrame, items: DataFrame, text: str, id: str, item_id: str, item_text: str, window: int) -> DataFrame:
     rows, found = _searched(docs, items, [], text, id, item_id, item_text, window)
     bad = checkpointed(rows.join(found, _same(rows, found)).where(_contaminated(F.col("_hit"))).select(rows["_id"].alias("__id"), rows["_key"].alias("__key")).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST else bad

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import bit_table, checkpointed, let
+from linepatterns.llm._words import bit_table, checkpointed, let, on_plain_names
 
 KINDS = ("email", "ip", "card", "phone", "context")
 SUPPORT = 3
@@ -258,11 +258,16 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def masked_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", length: str | None = None) -> DataFrame:
-    """``docs``, all columns, with personal data in the text masked, and the column ``length``, if there is one, set to the length of the new text."""
+    """``docs``, all columns, whatever their names, with personal data in the text masked, and the column ``length``, if there is one, set to the length of the new text."""
+    columns = [text, id, *[length] * (length in docs.columns)]
+    return on_plain_names(docs, _masked_documents, *columns)
+
+
+def _masked_documents(docs: DataFrame, text: str, id: str, length: str | None = None) -> DataFrame:
     found = _with_spans(docs, text, id, []).where(F.size("spans") > 0).select(F.col("_id").alias("__id"), F.col("_key").alias("__key"), F.col("spans").alias("__spans"))
     found = checkpointed(found.dropDuplicates(["__id", "__key"]))
     has_spans = bit_table(found, F.xxhash64("__id", "__key"))(F.xxhash64(F.col(id), F.xxhash64(F.col(text))))  # other texts need no join
     some = docs.where(has_spans).join(found, F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__key")), "left")
     some = some.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("__spans"))))
     out = docs.where(~has_spans).unionByName(some.select(docs.columns))
-    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in docs.columns else out
+    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import let
+from linepatterns.llm._words import let, on_plain_names
 
 BUCKETS = 1 << 15
 SMOOTH = 20.0
@@ -104,6 +104,10 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id: str =
 
 
 def kept(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``docs``, all columns, without the rows that are rejected."""
+    """``docs``, all columns, whatever their names, without the rows that are rejected."""
+    return on_plain_names(docs, lambda d, t, i: _kept(d, trusted_ids, t, i), text, id)
+
+
+def _kept(docs: DataFrame, trusted_ids: DataFrame, text: str, id: str) -> DataFrame:
     judged = _judged(docs, trusted_ids, text, id).withColumn("__row", F.monotonically_increasing_id())
     return judged.where("__kept and __row >= 0").select(docs.columns)  # a row number keeps Spark from pushing the verdict, and all it rests on, into the scan once more

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.llm import _shingles
-from linepatterns.llm._words import LOWER, bit_table, checkpointed, labelled
+from linepatterns.llm._words import LOWER, bit_table, checkpointed, labelled, on_plain_names
 from linepatterns.llm.graph import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -157,7 +157,11 @@ def _best(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, similar: int = 80) -> DataFrame:
-    """``docs``, all columns, with one row of each group of near duplicates: the smallest id, nulls last, then the smallest hash of the text, then any of equal rows."""
+    """``docs``, all columns, whatever their names, with one row of each group of near duplicates: the smallest id, nulls last, then the smallest hash of the text, then any of equal rows."""
+    return on_plain_names(docs, lambda d, t, i: _one_of_each(d, t, i, width, similar), text, id)
+
+
+def _one_of_each(docs: DataFrame, text: str, id: str, width: int, similar: int) -> DataFrame:
     rows = checkpointed(_shingles.signatures(docs, text, id, width))
     met = labelled(rows.select("_id", "_key", "sig"), _best(docs, rows, text, width, similar), "sig", rows.count())
     own = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")

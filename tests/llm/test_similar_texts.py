@@ -82,3 +82,33 @@ def test_one_row_of_each_group_stays(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
     assert got == sorted([(1, text), (None, "alone " * 9), (1, "quite another text"), (3, None)], key=repr)
     assert simhash_dedup.one_of_each(df.limit(0)).collect() == []
+
+
+def test_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
+    """Texts of one origin that differ too much to be linked, a few alike among them, and others that share half of it: pairs follow the number of texts, not its square."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(200)], []
+    for _ in range(400):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(5, 7)):
+            w[at] = word()
+        rows.append(" ".join(w))
+    rows += [r.replace(r.split()[3], "zz") for r in rows[:30]] + [" ".join(base[:100] + [word() for _ in range(100)]) for _ in range(100)]
+    rows = list(enumerate(rows))
+    seen, tested = [], []
+    beside, alike = _shingles.pairs_beside_pivots, _shingles.alike
+
+    def counting(members, *more):
+        seen.append((members.select("sig").distinct().count(), (out := beside(members, *more)).count()))
+        return out
+
+    def testing(pairs, *more):
+        tested.append(pairs.count())
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(_shingles, "pairs_beside_pivots", counting)
+    monkeypatch.setattr(_shingles, "alike", testing)
+    same(simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=5, similar=80).select("doc_id", "component_id"), brute(rows))
+    print(f"texts beside pivots and pairs of them: {seen}, pairs tested: {tested}")
+    assert seen[0][0] > 300 and seen[0][1] < 4 * seen[0][0]
