@@ -162,9 +162,16 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, bins: DataFrame, simil
     return _sides(near, sets, "set").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
 
 
-def _lost(batches):
-    """(pivot, token, lost): tokens of a pivot and how many of a batch's sets beside it lack each."""
+def _slices(batches):
+    """A few rows at a time: they carry two whole sets each."""
     for batch in batches:
+        for lo in range(0, len(batch), 128):
+            yield batch.slice(lo, 128)
+
+
+def _lost(batches):
+    """(pivot, token, lost): tokens of a pivot and how many of some sets beside it lack each."""
+    for batch in _slices(batches):
         of: dict[int, list[np.ndarray]] = {}
         for pivot, own, its in zip(*(batch.column(c).to_pylist() for c in ("pivot", "own", "its")), strict=True):
             of.setdefault(pivot, []).append(np.setdiff1d(np.frombuffer(its, np.uint64), np.frombuffer(own, np.uint64), assume_unique=True))
@@ -181,9 +188,9 @@ def _beside(similar: int, counts):
 
     def take(batches):
         names = ("pivot", "sig", "root")
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, sizes, places, smalls, of = [], [], [], [], []
-            known, times = (np.asarray(batch.column(c).flatten()) for c in ("tokens", "times"))
+            known, times = (batch.column(c).flatten().to_numpy() for c in ("tokens", "times"))
             ends = np.asarray(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0)).cumsum()
             for i, (own, its) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("own", "its")), strict=True)):
                 own, its = np.frombuffer(own, np.uint64), np.frombuffer(its, np.uint64)
