@@ -26,6 +26,12 @@ def java_pattern(pattern: str, python: bool = False) -> str:
     return out
 
 
+def anchored_to_rest(pattern: str) -> str:
+    """``^`` stands for the end of the match before, where the rest of a line begins that is still to be split; in brackets and after a backslash it keeps its meaning."""
+    parts = re.findall(r"\\.|\[\^?\]?(?:\[:\w+:\]|\\.|[^\]\\])*\]|.", pattern, re.S)
+    return "".join(r"\G" if p == "^" else p for p in parts)
+
+
 def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linepatterns.config import MinerConfig
-from linepatterns.functions.regex import java_pattern, parse_template, quote_replacement, replaces_at_once
+from linepatterns.functions.regex import anchored_to_rest, java_pattern, parse_template, quote_replacement, replaces_at_once
 
 #: replacements in a word that are tried for all words, and at most
 STEPS, MOST_STEPS = 8, 10_000
@@ -40,8 +40,8 @@ def from_template(line: Column, config: MinerConfig) -> Column:
 
 
 def split_words(line: Column, config: MinerConfig) -> Column:
-    """Positional words: a leading separator gives an empty word, a trailing one none, and an empty line no words."""
-    words = F.split(line, java_pattern(config.separator), -1)
+    """Positional words: a leading separator gives an empty word, a trailing one none, and an empty line no words. ``^`` in the separator is where what is left of the line begins."""
+    words = F.split(line, anchored_to_rest(java_pattern(config.separator)), -1)
     size = F.size(words)
     keep = F.when((size > 1) & (F.get(words, size - 1) == ""), size - 1).otherwise(size)
     words = F.slice(words, 1, keep if config.max_words is None else F.least(keep, F.lit(config.max_words)))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from linepatterns.cli import main
 from linepatterns.config import MinerConfig
-from linepatterns.functions.regex import java_pattern, parse_template
-from linepatterns.functions.text import rewritten
+from linepatterns.functions.regex import anchored_to_rest, java_pattern, parse_template
+from linepatterns.functions.text import rewritten, split_words
 from linepatterns.plans.miner import LineMiner
 from linepatterns.sources.text import read_lines, write_outliers
 from linepatterns.streaming.classify import classify, counts
@@ -96,6 +96,25 @@ def test_rewriting_needs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and df.first()[0] == "u10"
 
 
+def plainly_split(line, separator):
+    out, rest = [], line
+    while m := re.search(separator, rest):
+        out.append(rest[: m.start()])
+        rest = rest[m.end() :]
+    return out + [rest] * bool(rest) if line else []
+
+
+def test_separators_are_anchored_to_what_is_left(spark):
+    lines = ["xxab", "xaxb", "bab", "a^b^c", "]^a", "", "x", "axx", "^^a"]
+    for separator in ("^x", "^x|b", "[ab]|^x", r"\\^", "[^a]", "[]^]+", "(^x)+", "[^]a]"):
+        c = MinerConfig(support=1, separator=separator.replace("\\\\", "\\"))
+        if separator in ("[]^]+", "[^]a]"):  # a bracket that begins with its end is not Java's
+            continue
+        got = [r[0] for r in spark.createDataFrame(list(enumerate(lines)), "i int, line string").orderBy("i").select(split_words(F.col("line"), c)).collect()]
+        assert got == [plainly_split(x, c.separator) for x in lines], separator
+    assert anchored_to_rest(r"^a[^b^][[:alpha:]^]\^(^c)") == r"\Ga[^b^][[:alpha:]^]\^(\Gc)"
+
+
 def test_first_fit_is_final(spark):
     lines = ["A B C"] * 1 + ["A z z z z z B C"] + ["A B X B C"] * 3
     m = mine(spark, lines, support=1, aggrsup=True)
