@@ -78,7 +78,7 @@ def parts(page: str) -> Iterator[tuple[str | None, str]]:
         name = m[2].lower()
         yield name, page[m.end() : end] if name in _READ else ""
         if name in HIDDEN:
-            lower = lower if lower is not None else page.translate(_LOWER)
+            lower = lower if lower is not None else _lowered(page)
             close = lower.find("</" + name, at)
             end = page.find(">", close) if close >= 0 else -1
             at = shown = len(page) if end < 0 else end + 1
@@ -87,6 +87,14 @@ def parts(page: str) -> Iterator[tuple[str | None, str]]:
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def _lowered(page: str) -> str:
+    """``page`` with A-Z lowered, signs at their places. ``lower`` is ten times faster and no other sign becomes a letter of a hidden element's name by it, but one becomes two signs."""
+    lower = page.lower()
+    return lower if len(lower) == len(page) else page.translate(_LOWER)
+
+
 _OPEN = re.compile(r"<(?:(!--)|(/?[a-zA-Z][a-zA-Z0-9:-]*)|[/!?])")
 _READ = frozenset(("html", "meta", "a"))
 

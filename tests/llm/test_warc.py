@@ -202,3 +202,11 @@ def test_a_comment_after_tags_that_never_end_is_linear():
         assert warc.plain_text("x<a " * n + "<!--") == ("x<a " * n).strip()
         took.append(time.perf_counter() - began)
     assert took[1] < 0.5 + 20 * took[0] and took[1] < 3
+
+
+def test_signs_that_change_when_lowered():
+    letters = set("".join(warc.HIDDEN))
+    odd = [chr(i) for i in range(128, 0x110000) if set(chr(i).lower()) & letters]
+    assert odd == ["\u0130"]
+    for sign in ("\u0130", "\u212a", "\u017f", "\u1e9e"):
+        assert warc.plain_text(f"a{sign}<SCRIPT>x{sign}</{sign}cript>y</ScRiPt>b{sign}") == f"a{sign}b{sign}"
