@@ -3,21 +3,20 @@
 ``prefix_counts`` has, for each row, the number of tokens of the first 0, 1, 2 ... characters of its text, so what a truncation
 costs (``tokens_up_to``) and how much of a text fits a budget (``fitting_characters``) are look-ups; nothing is encoded again.
 
-Counts at the ends of pieces alone (``every=False``) are a cheaper table of the same program, for totals and budgets in whole words.
+Counts at the ends of pieces alone (``every=False``) are a smaller table of the same program, for budgets in whole words.
 
 The dynamic program. A prefix extends a shorter one. White space parts *pieces*, which the tokenizer never joins across, so the count at a place is that of the
 pieces before it and of the part of the piece up to it. In a piece, the tokenizer's own pattern parts words, digits and
 punctuation. In each of these the last token of every prefix is found from those of shorter prefixes: a byte-pair encoding is right
 if and only if each two neighbouring tokens are the encoding of what they spell, so for each place the token that ends there is the
 one that its neighbour before it allows, and its count is one more than at the place where it begins. The last token of a prefix has
-the end-of-word mark, those before it have none. Normalisation (NFC, lower case) is followed along the prefixes: where a mark joins
-the letter before it, the states from before that letter go on.
+the end-of-word mark, those before it have none. Whether two tokens stand side by side is told by undoing their merges, latest first. Normalisation (NFC, lower case)
+is followed along the prefixes: where a mark joins the letter before it, or goes before other marks, the states from before that place go on. What a letter is and what it is
+lowered to are asked of the library, once for each letter, as its Unicode is newer than Python's.
 
-Different pieces are worked out once for each Python worker. Those of at most ``SHORT`` characters have few different prefixes, and the
-tokenizer's library encodes each of these once, faster than Python can run the program over their letters; longer ones go through the
-program, which takes time in proportion to their length, and must end at the library's count of the whole piece. Both give the same
-table. The memory of pieces is emptied when it holds ``MEMORY`` bytes. Special strings inside a text are tokens of their own, as the library has it by
-default; a text that ends inside one is ordinary text.
+Every count is the program's. Different pieces are worked out once for each Python worker, and so are different words of at most ``SHORT`` characters. Of longer pieces, the library's
+count of the whole is compared with the program's, and a difference stops the job. The memories of pieces and of words are emptied when they hold ``MEMORY`` bytes together.
+Special strings inside a text are tokens of their own, as the library has it by default; a text that ends inside one is ordinary text.
 
 Nulls count as empty texts: no bytes, no tokens, a table of one zero. Repeated rows are rows like any other; of the table only
 ``keep`` and the text are read.
@@ -28,7 +27,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -50,51 +48,111 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoding:
-    """Byte-pair encoding by the merges of a tokenizer file with an end-of-word mark, at every prefix of a word."""
+    """The merges of a tokenizer file with an end-of-word mark, and what its library makes of letters.
 
-    def __init__(self, path: str):
+    Tokens are numbers: letters first, then merged ones by rank.
+    """
+
+    def __init__(self, path: str, library):
         with open(path, encoding="utf-8") as f:
             self.file = json.load(f)
         model = self.file["model"]
         self.mark = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
-        self.tokens = set(model["vocab"])
-        self.longest = max(map(len, self.tokens))
-        self.alone: dict[str, bool] = {}
-        self.together: dict[tuple[str, str], bool] = {}
+        merged = {a + b for a, b in pairs}
+        letters = [t for t in model["vocab"] if t not in merged]
+        self.number = {t: i for i, t in enumerate(letters + [a + b for a, b in pairs])}
+        self.parts = [(i, i) for i in range(len(letters))] + [(self.number[a], self.number[b]) for a, b in pairs]
+        self.joined = {p: i + len(letters) for i, p in enumerate(self.parts[len(letters) :])}
+        self.longest = max(map(len, self.number))
+        self.told: dict[int, bool] = {}  # what ``fits`` said of two tokens
+        self.bodies = {b: (self.number.get(b, -1), self.number.get(b + self.mark, -1)) for b in {t.removesuffix(self.mark) for t in self.number}}  # the token that is just this, and that with the mark
+        self.met: tuple[str, list[int], list[int], list[int]] = "", [-1], [0], [0]
         # bytes that print stand for themselves, the others for characters from 256 on
         plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b not in (0xAD,)]
         others = iter(range(256, 512))
         self.letter = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+        self.normal = library.normalizer.normalize_str
+        self.lowered = _Asked(lambda c: self.normal(chr(c)))
+        self.kinds = _Asked(lambda c: self._kind(library.pre_tokenizer, chr(c)))
+        self.same_class = _Asked(lambda ab: all(self.is_mark[ord(c)] and self.lowered[ord(c)] == c for c in ab) and self.normal(ab) == ab and self.normal(ab[::-1]) == ab[::-1])
+        self.is_mark = _Asked(lambda c: c == 0x345 or self.normal("a\u0345" + chr(c)) != "a\u0345" + self.lowered[c])  # U+0345 goes last of all marks
+
+    @staticmethod
+    def _kind(pattern, c: str) -> str:
+        """The letter itself if it may be part of an ending, else ``a`` for letters, ``0`` for digits and ``!`` for all else."""
+        if c in "'strevmld":
+            return c
+        return "a" if len(pattern.pre_tokenize_str("a" + c)) == 1 else "!" if len(pattern.pre_tokenize_str("!" + c)) == 1 else "0"
+
+    def fits(self, before: int, token: int) -> bool:
+        """Whether the encoding of what two tokens spell is these two: no merge across their border comes before those that made them."""
+        parts, joined, limit = self.parts, self.joined, 1 << 60
+        while True:
+            if joined.get((before, token), limit) < limit:
+                return False
+            later = before > token  # the later made of both is undone first
+            for _ in range(2):
+                if later:
+                    limit, before = before, parts[before][1]
+                    if before != limit:
+                        break
+                else:
+                    limit, token = token + 1, parts[token][0]
+                    if token != limit - 1:
+                        break
+                later = not later
+            else:
+                return True
+
+
+    def every_prefix(self, word: str) -> list[int]:
+        """Tokens of the first 1, 2 ... characters of a word, each as a word of its own: as ``Word``, for a word known to its end, from where it parts from the one asked for before."""
+        letters = word if word.isascii() and word.isprintable() else "".join(self.letter[b] for b in word.encode("utf-8", "surrogatepass"))
+        bodies, fits, told, n = self.bodies, self.fits, self.told, len(letters)
+        if len(told) > 250_000:
+            told.clear()
+        known, last, count, closed = self.met
+        same = _unlike(known, letters)
+        del last[same + 1 :], count[same + 1 :], closed[same + 1 :]
+        for end in range(same + 1, n + 1):
+            unmarked = marked = -1  # where the last token begins
+            for start in range(max(0, end - self.longest), end):  # the longest first
+                found = bodies.get(letters[start:end])
+                if found is None:
+                    continue
+                token, final = found
+                if unmarked < 0 and token >= 0:
+                    if start and (ok := told.get(pair := last[start] << 20 | token)) is None:
+                        ok = told[pair] = fits(last[start], token)
+                    if not start or ok:
+                        unmarked, own = start, token
+                if marked < 0 and final >= 0:
+                    if start and (ok := told.get(pair := last[start] << 20 | final)) is None:
+                        ok = told[pair] = fits(last[start], final)
+                    if not start or ok:
+                        marked = start
+                if unmarked >= 0 and marked >= 0:
+                    break
+            else:
+                raise ValueError("no token ends here")
+            last.append(own)
+            count.append(count[unmarked] + 1)
+            closed.append(count[marked] + 1)
+        self.met = letters, last, count, closed
+        if letters is word:
+            return closed[1:]
+        return [closed[i] for i in np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word]).tolist()]
 
-    def encode(self, parts: list[str]) -> list[str]:
-        """Merges by rank, for a few characters."""
-        parts = list(parts)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def _split(self, token: str) -> list[str]:
-        if self.mark and token.endswith(self.mark):
-            body = token[: -len(self.mark)]
-            return [*body[:-1], body[-1] + self.mark]
-        return list(token)
-
-    def fits(self, before: str | None, token: str) -> bool:
-        """Whether the token stays whole, by itself and behind the one before it."""
-        if (ok := self.alone.get(token)) is None:
-            ok = self.alone[token] = token in self.tokens and self.encode(self._split(token)) == [token]
-        if not ok or before is None:
-            return ok
-        if (ok := self.together.get((before, token))) is None:
-            if len(self.together) > 1_000_000:
-                self.together.clear()
-            ok = self.together[before, token] = self.encode([*before, *self._split(token)]) == [before, token]
-        return ok
+
+class _Asked(dict):
+    """Answers by letter, each asked for once."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, key):
+        return self.setdefault(key, self.ask(key))
 
 
 class Word:
@@ -103,33 +161,39 @@ class Word:
     __slots__ = ("code", "count", "last", "letters")
 
     def __init__(self, code: Encoding):
-        self.code, self.letters = code, ""
-        self.last: list[str | None] = [None]
+        self.code = code
+        self.letters: list[str] = []
+        self.last: list[int] = [-1]
         self.count = [0]
 
-    def _end(self, n: int, mark: str) -> tuple[str, int]:
+    def _end(self, n: int, mark: str) -> tuple[int, int]:
         """The last token of the first n letters, and their count."""
-        for start in range(max(0, n - self.code.longest), n):  # the longest first
-            token = self.letters[start:n] + mark
-            if token in self.code.tokens and self.code.fits(self.last[start], token):
+        number, last = self.code.number, self.last
+        low = max(0, n - self.code.longest)
+        tail = "".join(self.letters[low:n]) + mark
+        for start in range(low, n):  # the longest first
+            token = number.get(tail[start - low :])
+            if token is not None and (not start or self.code.fits(last[start], token)):
                 return token, self.count[start] + 1
         raise ValueError("no token ends here")
 
     def grow(self, char: str) -> int:
         """The count of the word with one more character, closed."""
         for b in char.encode("utf-8", "surrogatepass"):
-            self.letters += self.code.letter[b]
+            self.letters.append(self.code.letter[b])
             token, count = self._end(len(self.letters), "")
             self.last.append(token)
             self.count.append(count)
         return self._end(len(self.letters), self.code.mark)[1] if self.code.mark else self.count[-1]
 
     def cut(self, n: int) -> None:
-        self.letters, self.last, self.count = self.letters[:n], self.last[: n + 1], self.count[: n + 1]
+        del self.letters[n:], self.last[n + 1 :], self.count[n + 1 :]
 
 
 #: fixed values: the endings that the tokenizer's pattern keeps whole
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: the tokenizer's pattern over kinds of letters
+_WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[astrevmld]+|0|[!']+")
 
 
 class Running:
@@ -141,8 +205,8 @@ class Running:
         self.total = self.before = 0
 
     def _kind(self, c: str) -> str:
-        k = unicodedata.category(c)[0]
-        return k if k in "LN" else "P"
+        k = self.code.kinds[ord(c)]
+        return "P" if k in "!'" else "N" if k == "0" else "L"
 
     def _start(self, c: str, kind: str) -> None:
         self.done, self.now, self.kind = self.total, Word(self.code), kind
@@ -177,47 +241,33 @@ class Running:
         self.now.cut(n)
 
 
-def _lower(text: str) -> str:
-    return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-
-
-def piece_table(code: Encoding, piece: str, special: list[str]) -> list[int]:
-    """Tokens of the first 1, 2 ... characters of a piece."""
-    out: list[int] = []
-    at = base = 0
-    while at < len(piece):
-        found = [(i, -len(s), s) for s in special if (i := piece.find(s, at)) >= 0]
-        start, _, name = min(found) if found else (len(piece), 0, "")
-        end = start + len(name)
-        part = piece[at : end - 1] if name else piece[at:]
-        counts = _segment(code, part)
-        out += [base + n for n in counts]
-        if name:
-            base += (counts[start - at - 1] if start > at else 0) + 1
-            out.append(base)
-        at = end
-    return out
+def _unlike(a: str, b: str) -> int:
+    """The place of the first difference."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def _segment(code: Encoding, part: str) -> list[int]:
+def _with_marks(code: Encoding, part: str) -> list[int]:
+    """Tokens of the first 1, 2 ... characters of a part that isn't normal letter by letter."""
     run, out = Running(code), []
-    if unicodedata.is_normalized("NFC", part):
-        for c in part:
-            for x in _lower(c):
-                run.add(x)
-            out.append(run.total)
-        return out
-    safe, composed, state = 0, "", run.state()  # where the last letter that later marks may join begins
+    safe, composed, states = 0, "", []  # where the last letter that later marks may join begins, its normal form so far, and the states before each place of that
     for i, c in enumerate(part):
-        now = unicodedata.normalize("NFC", part[safe : i + 1])
-        if i and unicodedata.combining(c) == 0 and now == composed + unicodedata.normalize("NFC", c):
-            safe, state = i, run.state()
-            now = now[len(composed) :]
-        else:
-            run.back(state)
-        composed = now
-        for x in _lower(now):
+        if i > safe and composed.endswith(part[i - 1]) and code.same_class[part[i - 1] + c]:  # it stays behind a mark of its class
+            states.append(run.state())
+            run.add(c)
+            composed += c
+            out.append(run.total)
+            continue
+        now = code.normal(part[safe : i + 1])
+        if i and not code.is_mark[ord(c)] and now == composed + code.lowered[ord(c)]:
+            now, safe, composed, states = now[len(composed) :], i, "", []
+        same = _unlike(composed, now)
+        if same < len(states):
+            run.back(states[same])
+            del states[same:]
+        for x in now[same:]:
+            states.append(run.state())
             run.add(x)
+        composed = now
         out.append(run.total)
     return out
 
@@ -232,86 +282,112 @@ class Prefixes:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.code = Encoding(path)
+        self.code = Encoding(path, self.library)
         self.special = [t["content"] for t in self.code.file["added_tokens"]]
         self.clear()
 
-    def ends(self, texts: list[str]) -> list[np.ndarray]:
-        """Of each text, the tokens up to the end of each piece."""
-        found = [pieces(t) for t in texts]
-        new = list({p for f in found for p in f if p not in self.whole})
-        if self.used + sum(2 * len(p) + 120 for p in new) > MEMORY:
-            self.clear()
-            new = list(set().union(*found))
-        self.whole.update(zip(new, self._counts(new), strict=True))
-        self.used += sum(2 * len(p) + 120 for p in new)
-        return [np.cumsum(np.fromiter(map(self.whole.__getitem__, f), np.int32, len(f)), dtype=np.int32) for f in found]
-
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
-        self.whole: dict[str, int] = {}
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0
+        self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _counts(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes | list[int]:
+        """Tokens of the first 1, 2 ... characters of a word."""
+        if (table := self.words.get(word)) is None:
+            table = list(map(Running(self.code).add, word)) if word in ENDINGS else self.code.every_prefix(word)
+            if len(word) <= SHORT:
+                if self.held > MEMORY // 2:
+                    self.words, self.held = {}, 0
+                table = self.words[word] = bytes(table)  # four bytes a character, so 192 at most
+                self.held += 2 * len(word) + 190
+        return table
+
+    def _part(self, part: str) -> list[int]:
+        low = "".join(map(self.code.lowered.__getitem__, map(ord, part))) if not part.isascii() else part.lower()
+        if len(low) != len(part) or (not part.isascii() and self.code.normal(part) != low):
+            return _with_marks(self.code, part)
+        out: list[int] = []
+        for m in _WORD.finditer(low.translate(self.code.kinds)):
+            table = self._word(low[m.start() : m.end()])
+            out += [out[-1] + n for n in table] if out else table
+        return out
+
+    def _piece(self, piece: str) -> list[int]:
+        """Tokens of the first 1, 2 ... characters of a piece."""
+        out: list[int] = []
+        at = base = 0
+        while at < len(piece):
+            found = [(i, -len(s), s) for s in self.special if (i := piece.find(s, at)) >= 0]
+            start, _, name = min(found) if found else (len(piece), 0, "")
+            end = start + len(name)
+            counts = self._part(piece[at : end - 1] if name else piece[at:])
+            out += [base + n for n in counts] if base else counts
+            if name:
+                base += (counts[start - at - 1] if start > at else 0) + 1
+                out.append(base)
+            at = end
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        count = self.heads
-        heads = list({h for p in new if len(p) <= SHORT for i in range(len(p), 0, -1) if (h := p[:i]) not in count})
-        count.update(zip(heads, self._counts(heads), strict=True))
-        self.used += sum(map(len, heads)) + 120 * len(heads)
+        flat: list[int] = []
         for piece in new:
-            if len(piece) <= SHORT:
-                table = [count[piece[:i]] for i in range(1, len(piece) + 1)]
-            else:
-                table = piece_table(self.code, piece, self.special)
-                if table[-1] != self._counts([piece])[0]:
-                    raise ValueError("the tokenizer does not count as its merges do")
-            i = len(self.known)
-            at = int(self.starts[i])
-            while at + len(table) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[at : at + len(table)] = table
-            self.known[piece] = i
-            if i + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.starts[i + 1] = at + len(table)
-            self.used += 8 * len(piece) + 150
-
-    def tables(self, texts: list[str]) -> list[np.ndarray]:
-        """Of each text, the tokens of its first 0, 1, 2 ... characters."""
+            flat += self._piece(piece)
+        sizes = list(map(len, new))
+        ends = np.cumsum(sizes) - 1
+        long = [i for i, n in enumerate(sizes) if n > SHORT]
+        if self._counts([new[i] for i in long]) != [flat[ends[i]] for i in long]:
+            raise ValueError("the tokenizer does not count as its merges do")
+        k = len(self.known)
+        at = int(self.starts[k])
+        while at + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(new) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[at : at + len(flat)] = flat
+        self.starts[k + 1 : k + len(new) + 1] = at + ends + 1
+        self.known.update(zip(new, range(k, k + len(new)), strict=True))
+        self.used += sum(9 * len(p) + 150 for p in new)
+
+    def _found(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, the numbers of its pieces, all of them learned."""
         found = [pieces(t) for t in texts]
         every = set().union(*found)
-        new = [p for p in every if p not in self.known]
-        if self.used + sum(9 * len(p) + 300 for p in new) > MEMORY:
+        new = sorted(p for p in every if p not in self.known)  # words that begin alike follow each other
+        if self.used + sum(9 * len(p) + 150 for p in new) > MEMORY // 2:
+            words, held = self.words, self.held
             self.clear()
-            new = list(every)
+            self.words, self.held = words, held
+            new = sorted(every)
         if new:
             self._learn(new)
-        return [self._table(t, f) for t, f in zip(texts, found, strict=True)]
+        return [np.fromiter(map(self.known.__getitem__, f), np.int64, len(f)) for f in found]
+
+    def ends(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, the tokens up to the end of each piece."""
+        return [np.cumsum(self.flat[self.starts[ids + 1] - 1], dtype=np.int32) for ids in self._found(texts)]
 
-    def _table(self, text: str, found: list[str]) -> np.ndarray:
+    def tables(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, the tokens of its first 0, 1, 2 ... characters."""
+        return [self._table(t, ids) for t, ids in zip(texts, self._found(texts), strict=True)]
+
+    def _table(self, text: str, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.int32)
-        if not found:
+        if not len(ids):
             return out
-        ids = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
         start, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        counts = self.flat[np.repeat(start, size) + inside]
-        last = counts[np.cumsum(size) - 1]
-        before = np.cumsum(last) - last
+        first = np.cumsum(size) - size
+        last = self.flat[start + size - 1]
+        before = np.cumsum(last, dtype=np.int32) - last
+        counts = self.flat[np.arange(size.sum()) + np.repeat(start - first, size)] + np.repeat(before, size)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        word = np.flatnonzero(~_IS_SPACE[np.minimum(points, len(_IS_SPACE) - 1)])
-        out[word + 1] = counts + np.repeat(before, size)
-        gap = np.ones(len(text) + 1, bool)
-        gap[word + 1] = False
-        gap[0] = False
-        at = np.flatnonzero(gap)  # white space: as many as at the end of the piece before it
-        piece = np.searchsorted(word[np.cumsum(size) - 1], at - 1)
-        total = np.concatenate([[0], before + last])
-        out[at] = total[piece]
-        return out
+        place = np.zeros(len(text) + 1, np.int64)
+        word = 1 + np.flatnonzero(~_IS_SPACE[np.minimum(points, len(_IS_SPACE) - 1)])
+        out[word], place[word] = counts, word
+        return out[np.maximum.accumulate(place)]  # white space: as many as at the end of the piece before it
 
 
 def prefixes(path: str) -> Prefixes:
@@ -323,7 +399,7 @@ def prefixes(path: str) -> Prefixes:
 def count_prefixes(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), every: bool = True) -> DataFrame:
     """The ``keep`` columns, n_bytes (UTF-8), n_tokens, and prefix_counts: tokens of the first 0, 1, 2 ... characters, a row for each row.
 
-    Without ``every``, prefix_counts has the prefixes that end with a piece only, which is what counts and budgets in whole words need.
+    Without ``every``, prefix_counts has the prefixes that end with a piece only, which is what budgets in whole words need.
     """
     fields = [f"_f{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(k).alias(f) for k, f in zip(keep, fields, strict=True)), F.col(text).alias("_text"))

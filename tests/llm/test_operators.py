@@ -138,6 +138,27 @@ def test_token_counts_at_every_prefix(monkeypatch):
     assert len(found.tables(["xyz" * 60_000])[0]) == 180_001 and time.time() - began < 60
 
 
+def test_counts_are_those_of_the_program(spark, monkeypatch):
+    """No count of a short piece is the library's, the query's total ends a table of every prefix, letters newer than Python's are the library's, and marks take time in proportion."""
+    import public_tokenizers
+
+    found = token_counts.Prefixes(public_tokenizers.path("word_bpe_49k.json"))
+    count = lambda t: len(found.library.encode(t, add_special_tokens=False).ids)
+    for text in ("\u1c89\ua7cb\U00010d50" * 20, "a\u1c89 \ua7cbb1 \U000105d2\u0307\u0323 \ua7dc'll"):
+        assert found.tables([text])[0].tolist() == [count(text[:i]) for i in range(len(text) + 1)]
+    began = time.time()
+    assert found.tables(["a" + "\u0301" * 4000])[0][-1] == 7999 and time.time() - began < 5
+    asked = []
+    monkeypatch.setattr(found, "_counts", lambda texts: asked.extend(texts) or [count(t) for t in texts])
+    text = "Some words, don't they <|endoftext|> count 12 of them?"
+    assert found.tables([text])[0][-1] == found.ends([text])[0][-1] == count(text) and not asked
+    whole = token_counts.count_prefixes
+    every = []
+    monkeypatch.setattr(token_counts, "count_prefixes", lambda *a, **k: every.append(k.get("every", True)) or whole(*a, **k))
+    queries.op2_token_counts(spark, SF)
+    assert every == [True]
+
+
 def test_pii(spark, docs, odd):
     def base(df):
         out = pii.personal_data(df)
