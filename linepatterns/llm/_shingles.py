@@ -16,6 +16,8 @@ shingles are rare and come first, so texts that have no more than a passage in c
 Bounds. Each row carries a histogram of its set in ``BINS`` counts. The sum of the smaller counts of two histograms is the most
 that the sets can share, so most pairs that are not alike go before any set is fetched; sets are compared for the rest.
 
+Pairs that ``simhash_dedup`` has found by Golay keys are compared first. What is above is the exact way for the rest: pairs inside a component of those links are left out.
+
 Equal sets are one node, and texts without words are all equal.
 """
 
@@ -33,30 +35,32 @@ from linepatterns.llm.graph import components
 BUCKET = 16
 SLOTS = 1 << 20
 BINS = 256
+SLICE = 1000
 
 
 def shingle_sets(batch, width: int):
     """(shingle, text, first, size, sig) for some texts at a time: distinct shingles by text, then where each text's are, how many, and their hash."""
-    for c in chunks([canonical(t) for t in batch.column("_text").cast(pa.binary()).to_pylist()], SPACED, lower=True):
-        n = np.diff(c.at)
-        many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-        text = np.repeat(np.arange(len(n)), many)
-        lo = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + c.at[:-1][text]
-        shingle = Sums(c.ids).of(lo, lo + np.minimum(n, width)[text])
-        order = np.lexsort((shingle, text))
-        text, shingle = text[order], shingle[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
-        text, shingle = text[new], shingle[new]
-        size = np.bincount(text, minlength=len(n))
-        first = np.cumsum(size) - size
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle + np.uint64(0x9E3779B97F4A7C15)))])
-        sig = np.where(size > 0, mix(sums[first + size] - sums[first] + size.astype(np.uint64)), np.uint64(0)).view(np.int64)
-        yield shingle, text, first, size, sig
-
-
-def signatures(docs: DataFrame, text: str, id: str, width: int) -> DataFrame:
-    """_id, _key (a hash of the text), sig, size and bins (the histogram, a byte each; 255 stands for that and more), a row for each row."""
+    for row in range(0, len(batch), SLICE):
+        for c in chunks([canonical(t) for t in batch.column("_text").slice(row, SLICE).cast(pa.binary()).to_pylist()], SPACED, lower=True):
+            n = np.diff(c.at)
+            many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+            text = np.repeat(np.arange(len(n)), many)
+            lo = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + c.at[:-1][text]
+            shingle = Sums(c.ids).of(lo, lo + np.minimum(n, width)[text])
+            order = np.lexsort((shingle, text))
+            text, shingle = text[order], shingle[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
+            text, shingle = text[new], shingle[new]
+            size = np.bincount(text, minlength=len(n))
+            first = np.cumsum(size) - size
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingle + np.uint64(0x9E3779B97F4A7C15)))])
+            sig = np.where(size > 0, mix(sums[first + size] - sums[first] + size.astype(np.uint64)), np.uint64(0)).view(np.int64)
+            yield shingle, text, first, size, sig
+
+
+def signatures(docs: DataFrame, text: str, id: str, width: int, fingerprint) -> DataFrame:
+    """_id, _key (a hash of the text), sig, fp (what ``fingerprint`` gives for the text), size and bins (the histogram, a byte each; 255 stands for that and more), a row for each row."""
     base = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"))
 
     def take(batches):
@@ -64,12 +68,13 @@ def signatures(docs: DataFrame, text: str, id: str, width: int) -> DataFrame:
             at = 0
             for shingle, of, _, size, sig in shingle_sets(batch, width):
                 k = len(size)
+                fp = np.fromiter((fingerprint(t, width) for t in batch.column("_text").slice(at, k).cast(pa.binary()).to_pylist()), np.uint64, k).view(np.int64)
                 bins = np.bincount(of * BINS + (shingle & np.uint64(BINS - 1)).astype(np.int64), minlength=k * BINS).reshape(k, BINS)
                 bins = [row.tobytes() for row in np.minimum(bins, 255).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, k), batch.column("_key").slice(at, k), pa.array(sig), pa.array(size), pa.array(bins, pa.binary())], names=["_id", "_key", "sig", "size", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, k), batch.column("_key").slice(at, k), pa.array(sig), pa.array(fp), pa.array(size), pa.array(bins, pa.binary())], names=["_id", "_key", "sig", "fp", "size", "bins"])
                 at += k
 
-    return base.mapInArrow(take, f"_id {base.schema['_id'].dataType.simpleString()}, _key long, sig long, size long, bins binary")
+    return base.mapInArrow(take, f"_id {base.schema['_id'].dataType.simpleString()}, _key long, sig long, fp long, size long, bins binary")
 
 
 def _slot(shingle: np.ndarray) -> np.ndarray:
@@ -242,9 +247,21 @@ def pairs_beside_pivots(members: DataFrame, texts: DataFrame, width: int, simila
     return met.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int) -> DataFrame:
-    """(node, root) of the sigs that are alike but not equal. rows: what ``signatures`` gives."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    a, b = (roots.select(F.col("node").alias(s), F.col("root").alias(f"_{s}")) for s in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def _bins(rows: DataFrame, used: DataFrame) -> DataFrame:
+    return checkpointed(rows.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))
+
+
+def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int, first: DataFrame) -> DataFrame:
+    """(node, root) of the sigs that are alike but not equal. rows: what ``signatures`` gives; first: pairs (a, b) to compare before the others, which then have to join components of these only."""
     texts = docs.select(F.col(text).alias("_text"))
+    linked = checkpointed(alike(first, texts, width, _bins(rows, first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), similar))
+    known = checkpointed(components(linked))
     counts = slot_counts(texts, width)
     send = docs.sparkSession.sparkContext.broadcast
     rank = send(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32))
@@ -267,8 +284,8 @@ def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int)
     stars = large.where(F.col("sig") != F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), *plainest, *own)
     stars = stars.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     used = checkpointed(filed.select("sig").distinct())
-    bins = checkpointed(rows.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))
-    edges = checkpointed(alike(checkpointed(near.unionByName(stars).distinct()), texts, width, bins, similar))
+    bins = _bins(rows, used)
+    edges = checkpointed(linked.unionByName(alike(checkpointed(_apart(near.unionByName(stars).distinct(), known)), texts, width, bins, similar)))
     roots = components(edges)
     named = large.select("key", "sig", F.col("least.sig").alias("pivot")).join(roots, large["sig"] == roots["node"], "left").select("key", "sig", "pivot", F.coalesce("root", "sig").alias("root"))
     named = checkpointed(named)

@@ -16,8 +16,9 @@ has at most 65 fingerprints, and a star at each point keeps all components exact
 however many fingerprints share it. Copies share a fingerprint and are never expanded into pairs.
 
 Given a similarity in per cent instead, texts are linked if the Jaccard similarity of their sets of shingles is that or more.
-Fingerprints can't stand in for that: texts of five-word shingles that are 0.8 alike differ in ten bits of 64, more or less,
-where no code leaves fewer candidates than there are texts. ``_shingles`` finds those links exactly.
+Then fingerprints are filed under the same keys and joined on them, and the texts of each pair are compared as sets
+(``alike_by_keys``). Under a key of more than ``_shingles.BUCKET`` texts each is paired with one of them. Texts that are 0.8 alike
+differ in some ten bits of 64, so many share no key: ``_shingles`` finds the links between the components left, exactly.
 
 Rows meet the label of their fingerprint by a join. Fingerprints of more than a thousandth of all rows are fewer than
 1,000, so their labels are broadcast; the others are shuffled.
@@ -133,12 +134,23 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
 
 
+def alike_by_keys(prints: DataFrame) -> DataFrame:
+    """(sig, fp) -> pairs (a, b) of sigs whose fingerprints share a key: all under one of few sigs, under another each with the smallest."""
+    filed = checkpointed(prints.select("fp").distinct().mapInArrow(_file, "fp long, key long").join(prints, "fp").select("key", "sig"))
+    sized = filed.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("least")).where("m > 1")
+    met = checkpointed(filed.join(sized, "key"))
+    few = met.where(F.col("m") <= _shingles.BUCKET)
+    pairs = few.select("key", F.col("sig").alias("a")).join(few.select("key", F.col("sig").alias("b")), "key").where("a < b").select("a", "b")
+    stars = met.where((F.col("m") > _shingles.BUCKET) & (F.col("sig") != F.col("least"))).select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    return checkpointed(pairs.unionByName(stars).distinct())
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, similar: int | None = None) -> DataFrame:
     """``id``, fp (with ``similar``: sig, a hash of the set of shingles) and component_id (the smallest id that links reach, its own included), a row for each row."""
     if similar is not None:
-        rows = checkpointed(_shingles.signatures(docs, text, id, width))
+        rows = checkpointed(_shingles.signatures(docs, text, id, width, fingerprint))
         best = _best(docs, rows, text, width, similar)
-        return labelled(rows, best, "sig", rows.count()).select(F.col("_id").alias(id), "sig", F.col("_best._id").alias("component_id"))
+        return labelled(rows.select("_id", "sig"), best, "sig", rows.count()).select(F.col("_id").alias(id), "sig", F.col("_best._id").alias("component_id"))
     prints = checkpointed(fingerprints(docs, text, id, width))
     firsts = prints.groupBy("fp").agg(F.min(id).alias("first"), F.count("*").alias("n"))
     roots = components(links(firsts.select("fp")))
@@ -151,7 +163,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 def _best(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int) -> DataFrame:
     """(sig, n, _best): rows of a set, and the first row of its component: (_null, _id, _key), ordered by id, nulls last, then by a hash of the text."""
     firsts = checkpointed(rows.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")).alias("_first")))
-    roots = checkpointed(_shingles.links(docs, rows, text, width, similar))
+    pairs = alike_by_keys(rows.groupBy("sig").agg(F.min("fp").alias("fp")))
+    roots = checkpointed(_shingles.links(docs, rows, text, width, similar, pairs))
     named = firsts.join(roots, firsts["sig"] == roots["node"], "left").select("sig", "n", "_first", F.coalesce("root", "sig").alias("root"))
     return checkpointed(named.join(named.groupBy("root").agg(F.min("_first").alias("_best")), "root").select("sig", "n", "_best"))
 
@@ -162,7 +175,7 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", width:
 
 
 def _one_of_each(docs: DataFrame, text: str, id: str, width: int, similar: int) -> DataFrame:
-    rows = checkpointed(_shingles.signatures(docs, text, id, width))
+    rows = checkpointed(_shingles.signatures(docs, text, id, width, fingerprint))
     met = labelled(rows.select("_id", "_key", "sig"), _best(docs, rows, text, width, similar), "sig", rows.count())
     own = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")
     each = met.groupBy("_id", "_key").agg(F.count("*").alias("_rows"), F.first(own.eqNullSafe(F.col("_best"))).alias("_stays"))

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linepatterns.llm import _shingles, simhash_dedup
+from linepatterns.llm._words import checkpointed
 from tests.llm.test_operators import awkward, pairs, same
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +70,28 @@ def test_stage_drops_edited_copies(spark):
     assert not {145, 177} & kept  # 7 and 11 bits from 6 and 1
 
 
+def test_golay_keys_find_links_first(spark, monkeypatch):
+    """The stage compares texts whose fingerprints share a key before others, and what these link is not compared again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    end = docs.where("doc_id < 20").select((F.col("doc_id") + 5000).alias("doc_id"), F.concat("text", F.lit(" and this is its end")).alias("text"))
+    rows = pairs(docs.union(end))
+    seen = []
+    alike = _shingles.alike
+
+    def testing(pairs, *more):
+        out = checkpointed(alike(pairs, *more))
+        seen.append(({tuple(r) for r in pairs.select("a", "b").collect()}, {tuple(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(_shingles, "alike", testing)
+    same(simhash_dedup.one_of_each(docs.union(end)).select("doc_id"), [(d,) for d in {c for _, c in brute(rows)}])
+    assert seen[0][1] and not any(seen[0][1] & tried for tried, _ in seen[1:])
+    fps = {simhash_dedup.fingerprint(t.encode(), 5) for _, t in rows if t}
+    filed = simhash_dedup.alike_by_keys(spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(sorted(fps))], "sig long, fp long"))
+    near = {(i, j) for i, f in enumerate(sorted(fps)) for j, g in enumerate(sorted(fps)) if i < j and (f ^ g).bit_count() <= 2}
+    assert near <= {tuple(r) for r in filed.collect()}
+
+
 def test_no_rows(spark):
     assert simhash_dedup.near_duplicates(spark.createDataFrame([], SCHEMA), similar=80).collect() == []
 
