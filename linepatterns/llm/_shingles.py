@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linepatterns.llm._words import SPACED, Sums, bit_table, canonical, checkpointed, chunks, mix
-from linepatterns.llm.graph import components
+from linepatterns.llm.graph import components, stars
 
 BUCKET = 16
 SLOTS = 1 << 20
@@ -253,15 +253,10 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _bins(rows: DataFrame, used: DataFrame) -> DataFrame:
-    return checkpointed(rows.join(used, "sig", "left_semi").groupBy("sig").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))
-
-
-def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int, first: DataFrame) -> DataFrame:
-    """(node, root) of the sigs that are alike but not equal. rows: what ``signatures`` gives; first: pairs (a, b) to compare before the others, which then have to join components of these only."""
+def links(docs: DataFrame, bins: DataFrame, text: str, width: int, similar: int, first: DataFrame) -> DataFrame:
+    """(node, root) of the sigs that are alike but not equal, checkpointed. bins: (sig, size, bins) of each sig, checkpointed; first: pairs (a, b) to compare before the others, which then have to join components of these only."""
     texts = docs.select(F.col(text).alias("_text"))
-    linked = checkpointed(alike(first, texts, width, _bins(rows, first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), similar))
-    known = checkpointed(components(linked))
+    known = checkpointed(components(alike(first, texts, width, bins, similar)))
     counts = slot_counts(texts, width)
     send = docs.sparkSession.sparkContext.broadcast
     rank = send(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32))
@@ -281,20 +276,17 @@ def links(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int,
     large = sized.where(f"m > {BUCKET}")
     plainest = [F.col(f"least.{c}").alias(f"{c}_a") for c in ("n", "place", "before")]
     own = [F.col(c).alias(f"{c}_b") for c in ("n", "place", "before")]
-    stars = large.where(F.col("sig") != F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), *plainest, *own)
-    stars = stars.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    used = checkpointed(filed.select("sig").distinct())
-    bins = _bins(rows, used)
-    edges = checkpointed(linked.unionByName(alike(checkpointed(_apart(near.unionByName(stars).distinct(), known)), texts, width, bins, similar)))
-    roots = components(edges)
+    beside = large.where(F.col("sig") != F.col("least.sig")).select(F.col("least.sig").alias("a"), F.col("sig").alias("b"), *plainest, *own)
+    beside = beside.where(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = checkpointed(components(stars(known).unionByName(alike(checkpointed(_apart(near.unionByName(beside).distinct(), known)), texts, width, bins, similar))))
     named = large.select("key", "sig", F.col("least.sig").alias("pivot")).join(roots, large["sig"] == roots["node"], "left").select("key", "sig", "pivot", F.coalesce("root", "sig").alias("root"))
     named = checkpointed(named)
     apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     members = checkpointed(named.join(apart, "key").where("sig <> pivot").select("pivot", "sig", "root").distinct())
     if members.isEmpty():
         return roots
-    more = checkpointed(pairs_beside_pivots(members, texts, width, similar, send(np.minimum(counts, 1 << 30).astype(np.int32))).join(edges, ["a", "b"], "left_anti"))
+    more = checkpointed(pairs_beside_pivots(members, texts, width, similar, send(np.minimum(counts, 1 << 30).astype(np.int32))))
     if more.isEmpty():
         return roots
     found = checkpointed(alike(more, texts, width, bins, similar))
-    return roots if found.isEmpty() else components(edges.unionByName(found))
+    return roots if found.isEmpty() else checkpointed(components(stars(roots).unionByName(found)))

@@ -57,8 +57,9 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, n_rows: int) -> DataF
 def bit_table(keys: DataFrame, hashed: Column, bits: int = 1 << 22) -> Callable[[Column], Column]:
     """A test whether a hash may be among those of ``keys``; a table of fixed size, so it only spares work and never decides."""
     place = F.pmod(hashed, F.lit(bits))
-    set_bits = keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b")).groupBy("at").agg(F.bit_or("b").alias("b"))
-    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "at").join(set_bits, "at", "left").select("at", F.coalesce("b", F.lit(0)).alias("b"))
+    set_bits = keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
+    none = keys.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("b"))
+    every = set_bits.unionByName(none).groupBy("at").agg(F.bit_or("b").alias("b"))
     table = checkpointed(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "b"))), lambda x: x["b"]).alias("table"))).scalar()
 
     def may_hold(value: Column) -> Column:

@@ -111,21 +111,26 @@ def golay_keys(word: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _file(batches):
-    for batch in batches:
-        fp = np.asarray(batch.column("fp")).view(np.uint64)
-        for lo in range(0, len(fp), 20_000):
-            part = fp[lo : lo + 20_000]
-            segment = [(part >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
-            for i in range(3):
-                keys = golay_keys(segment[(i + 1) % 3])
-                row, at = np.nonzero(keys >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(part[row].view(np.int64)), pa.array((segment[i][row] * 3 + i) << 12 | keys[row, at])], names=["fp", "key"])
+def _file(name: str = "fp"):
+    """(``name``, key) of rows with fp."""
+
+    def take(batches):
+        for batch in batches:
+            fp, own = np.asarray(batch.column("fp")).view(np.uint64), batch.column(name)
+            for lo in range(0, len(fp), 20_000):
+                part = fp[lo : lo + 20_000]
+                segment = [(part >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
+                for i in range(3):
+                    keys = golay_keys(segment[(i + 1) % 3])
+                    row, at = np.nonzero(keys >= 0)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(row + lo)), pa.array((segment[i][row] * 3 + i) << 12 | keys[row, at])], names=[name, "key"])
+
+    return take
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Different fingerprints (``fp``) -> edges (a, b) within two bits that keep every component of the links whole."""
-    filed = fps.mapInArrow(_file, "fp long, key long")
+    filed = fps.mapInArrow(_file(), "fp long, key long")
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     near = checkpointed(filed.join(shared, "key").select("fp").distinct())
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b))
@@ -136,7 +141,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def alike_by_keys(prints: DataFrame) -> DataFrame:
     """(sig, fp) -> pairs (a, b) of sigs whose fingerprints share a key: all under one of few sigs, under another each with the smallest."""
-    filed = checkpointed(prints.select("fp").distinct().mapInArrow(_file, "fp long, key long").join(prints, "fp").select("key", "sig"))
+    filed = checkpointed(prints.select("sig", "fp").mapInArrow(_file("sig"), "sig long, key long"))
     sized = filed.groupBy("key").agg(F.count("*").alias("m"), F.min("sig").alias("least")).where("m > 1")
     met = checkpointed(filed.join(sized, "key"))
     few = met.where(F.col("m") <= _shingles.BUCKET)
@@ -162,9 +167,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 
 def _best(docs: DataFrame, rows: DataFrame, text: str, width: int, similar: int) -> DataFrame:
     """(sig, n, _best): rows of a set, and the first row of its component: (_null, _id, _key), ordered by id, nulls last, then by a hash of the text."""
-    firsts = checkpointed(rows.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")).alias("_first")))
-    pairs = alike_by_keys(rows.groupBy("sig").agg(F.min("fp").alias("fp")))
-    roots = checkpointed(_shingles.links(docs, rows, text, width, similar, pairs))
+    firsts = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_key")).alias("_first"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bins").alias("bins"))
+    firsts = checkpointed(firsts)
+    roots = _shingles.links(docs, firsts.select("sig", "size", "bins"), text, width, similar, alike_by_keys(firsts.select("sig", "fp")))
     named = firsts.join(roots, firsts["sig"] == roots["node"], "left").select("sig", "n", "_first", F.coalesce("root", "sig").alias("root"))
     return checkpointed(named.join(named.groupBy("root").agg(F.min("_first").alias("_best")), "root").select("sig", "n", "_best"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linepatterns.llm import _shingles, simhash_dedup
+from linepatterns.llm import _shingles, graph, simhash_dedup
 from linepatterns.llm._words import checkpointed
 from tests.llm.test_operators import awkward, pairs, same
 
@@ -136,3 +136,28 @@ def test_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
     same(simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=5, similar=80).select("doc_id", "component_id"), brute(rows))
     print(f"texts beside pivots and pairs of them: {seen}, pairs tested: {tested}")
     assert seen[0][0] > 300 and seen[0][1] < 4 * seen[0][0]
+
+
+def stages(spark, run) -> int:
+    """Stages that a call runs, without those it skips."""
+    context = spark.sparkContext._jsc.sc()
+
+    def ran():
+        context.listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        found = context.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId() for i in range(found.size()) if str(found.apply(i).status()) == "COMPLETE"}
+
+    before = ran()
+    run()
+    return len(ran() - before)
+
+
+def test_few_stages(spark):
+    """The driver holds figures of every stage and task, threads of every exchange: with many of them it ran out of memory."""
+    df = spark.createDataFrame(edited(), SCHEMA).repartition(3)
+    took = stages(spark, lambda: simhash_dedup.one_of_each(df).collect())
+    print(f"stages of the dedup stage: {took}")
+    assert took <= 200
+    stars = spark.createDataFrame([(100 * i + j, i) for i in range(5) for j in range(10, 40)], "a long, b long")
+    assert stages(spark, lambda: graph.components(stars).collect()) <= 8
