@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 MEMORY = 192 << 20
 SHORT = 48
+TAIL = 4
 #: fixed values: Unicode's white space, which the tokenizer folds to one space; str.split() would also split on U+001C to U+001F
 SPACES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _SPACE = re.compile("[" + "".join(map(chr, SPACES)) + "]+")
@@ -67,6 +68,12 @@ class Encoding:
         self.longest = max(map(len, self.number))
         self.told: dict[int, bool] = {}  # what ``fits`` said of two tokens
         self.bodies = {b: (self.number.get(b, -1), self.number.get(b + self.mark, -1)) for b in {t.removesuffix(self.mark) for t in self.number}}  # the token that is just this, and that with the mark
+        self.ending = _Asked(self._ending)  # the tokens that end in some letters, by these
+        tails: dict[str, set[int]] = {}
+        for b in self.bodies:
+            if len(b) > TAIL:
+                tails.setdefault(b[-TAIL:], set()).add(len(b))
+        self.tails = tails
         self.met: tuple[str, list[int], list[int], list[int]] = "", [-1], [0], [0]
         # bytes that print stand for themselves, the others for characters from 256 on
         plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b not in (0xAD,)]
@@ -78,6 +85,11 @@ class Encoding:
         self.same_class = _Asked(lambda ab: all(self.is_mark[ord(c)] and self.lowered[ord(c)] == c for c in ab) and self.normal(ab) == ab and self.normal(ab[::-1]) == ab[::-1])
         self.is_mark = _Asked(lambda c: c == 0x345 or self.normal("a\u0345" + chr(c)) != "a\u0345" + self.lowered[c])  # U+0345 goes last of all marks
 
+    def _ending(self, tail: str) -> list[tuple[int, tuple[int, int] | None]]:
+        """(size, tokens) of what may end in ``tail``, the last ``TAIL`` letters or all there are, the longest first; what is longer than that has to be looked up."""
+        short = [(n, self.bodies[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in self.bodies]
+        return [(n, None) for n in sorted(self.tails.get(tail, ()), reverse=True)] + short
+
     @staticmethod
     def _kind(pattern, c: str) -> str:
         """The letter itself if it may be part of an ending, else ``a`` for letters, ``0`` for digits and ``!`` for all else."""
@@ -109,26 +121,33 @@ class Encoding:
     def every_prefix(self, word: str) -> list[int]:
         """Tokens of the first 1, 2 ... characters of a word, each as a word of its own: as ``Word``, for a word known to its end, from where it parts from the one asked for before."""
         letters = word if word.isascii() and word.isprintable() else "".join(self.letter[b] for b in word.encode("utf-8", "surrogatepass"))
-        bodies, fits, told, n = self.bodies, self.fits, self.told, len(letters)
+        find, fits, told, ending, n = self.bodies.get, self.fits, self.told, self.ending, len(letters)
         if len(told) > 250_000:
             told.clear()
+        if len(ending) > 100_000:
+            ending.clear()
         known, last, count, closed = self.met
-        same = _unlike(known, letters)
+        same = 0
+        for x, y in zip(known, letters, strict=False):
+            if x != y:
+                break
+            same += 1
+        tell = told.get
         del last[same + 1 :], count[same + 1 :], closed[same + 1 :]
         for end in range(same + 1, n + 1):
             unmarked = marked = -1  # where the last token begins
-            for start in range(max(0, end - self.longest), end):  # the longest first
-                found = bodies.get(letters[start:end])
-                if found is None:
+            for size, found in ending[letters[end - TAIL : end] if end > TAIL else letters[:end]]:
+                start = end - size
+                if found is None and (start < 0 or (found := find(letters[start:end])) is None):
                     continue
                 token, final = found
                 if unmarked < 0 and token >= 0:
-                    if start and (ok := told.get(pair := last[start] << 20 | token)) is None:
+                    if start and (ok := tell(pair := last[start] << 20 | token)) is None:
                         ok = told[pair] = fits(last[start], token)
                     if not start or ok:
                         unmarked, own = start, token
                 if marked < 0 and final >= 0:
-                    if start and (ok := told.get(pair := last[start] << 20 | final)) is None:
+                    if start and (ok := tell(pair := last[start] << 20 | final)) is None:
                         ok = told[pair] = fits(last[start], final)
                     if not start or ok:
                         marked = start
@@ -284,6 +303,7 @@ class Prefixes:
         self.library.no_padding()
         self.code = Encoding(path, self.library)
         self.special = [t["content"] for t in self.code.file["added_tokens"]]
+        self.plain = not any(s.isalpha() for s in self.special)  # so none is in a piece of letters alone
         self.clear()
 
     def clear(self) -> None:
@@ -316,8 +336,10 @@ class Prefixes:
             out += [out[-1] + n for n in table] if out else table
         return out
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes | list[int]:
         """Tokens of the first 1, 2 ... characters of a piece."""
+        if self.plain and piece.isascii() and piece.isalpha():  # one word
+            return self._word(piece.lower())
         out: list[int] = []
         at = base = 0
         while at < len(piece):

@@ -531,3 +531,24 @@ def test_language_id_against_a_plain_model(spark, monkeypatch):
     assert got[900][0] in ("l00", "l01")
 
 
+
+
+def test_few_tokens_are_looked_up_for_a_character():
+    """Only sizes of tokens that end in the last letters are tried; every size up to the longest token's was before."""
+    import public_tokenizers
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    code = token_counts.Prefixes(public_tokenizers.path("word_bpe_49k.json")).code
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(12)) for _ in range(300)] + ["internationalization", "a", "the", "counterproductive", "zzzz", "\u00e4\u00f6x", "!!!!!"]
+    code.bodies = Counting(code.bodies)
+    for w in words:
+        assert code.every_prefix(w) == list(map(token_counts.Word(code).grow, w)), w
+    print(f"look-ups for a character: {code.bodies.asked / sum(map(len, words)):.1f}")
+    assert code.bodies.asked < 4 * sum(map(len, words))
