@@ -10,7 +10,8 @@ pieces before it and of the part of the piece up to it. In a piece, the tokenize
 punctuation. In each of these the last token of every prefix is found from those of shorter prefixes: a byte-pair encoding is right
 if and only if each two neighbouring tokens are the encoding of what they spell, so for each place the token that ends there is the
 one that its neighbour before it allows, and its count is one more than at the place where it begins. The last token of a prefix has
-the end-of-word mark, those before it have none. Whether two tokens stand side by side is told by undoing their merges, latest first. Normalisation (NFC, lower case)
+the end-of-word mark, those before it have none. What may end at a place is told by the longest beginning of a token that ends there, followed letter by letter.
+Whether two tokens stand side by side is told by undoing their merges, latest first. Normalisation (NFC, lower case)
 is followed along the prefixes: where a mark joins the letter before it, or goes before other marks, the states from before that place go on. What a letter is and what it is
 lowered to are asked of the library, once for each letter, as its Unicode is newer than Python's.
 
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 MEMORY = 192 << 20
 SHORT = 48
-TAIL = 4
+#: fixed value: letters below do not change with those beside them, as neither marks nor parts of syllables are among them
+LATIN = 0x300
 #: fixed values: Unicode's white space, which the tokenizer folds to one space; str.split() would also split on U+001C to U+001F
 SPACES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _SPACE = re.compile("[" + "".join(map(chr, SPACES)) + "]+")
@@ -68,27 +70,50 @@ class Encoding:
         self.longest = max(map(len, self.number))
         self.told: dict[int, bool] = {}  # what ``fits`` said of two tokens
         self.bodies = {b: (self.number.get(b, -1), self.number.get(b + self.mark, -1)) for b in {t.removesuffix(self.mark) for t in self.number}}  # the token that is just this, and that with the mark
-        self.ending = _Asked(self._ending)  # the tokens that end in some letters, by these
-        tails: dict[str, set[int]] = {}
-        for b in self.bodies:
-            if len(b) > TAIL:
-                tails.setdefault(b[-TAIL:], set()).add(len(b))
-        self.tails = tails
-        self.met: tuple[str, list[int], list[int], list[int]] = "", [-1], [0], [0]
+        self.begun = {b[:i] for b in self.bodies for i in range(len(b) + 1)}
+        self.states = _Asked(self._state)
+        self._forget()
         # bytes that print stand for themselves, the others for characters from 256 on
         plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b not in (0xAD,)]
         others = iter(range(256, 512))
         self.letter = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+        self.by_byte = dict(enumerate(self.letter))
         self.normal = library.normalizer.normalize_str
         self.lowered = _Asked(lambda c: self.normal(chr(c)))
         self.kinds = _Asked(lambda c: self._kind(library.pre_tokenizer, chr(c)))
         self.same_class = _Asked(lambda ab: all(self.is_mark[ord(c)] and self.lowered[ord(c)] == c for c in ab) and self.normal(ab) == ab and self.normal(ab[::-1]) == ab[::-1])
+        special = {t["content"][0] for t in self.file["added_tokens"]}
+        known = [chr(c) for c in range(LATIN) if chr(c) not in special and c not in SPACES]
+        letters = "".join(c for c in known if self.kinds[ord(c)] not in "!'0" and len(self.lowered[ord(c)]) == 1)
+        signs = "".join(c for c in known if self.kinds[ord(c)] == "!" and self.lowered[ord(c)] == c)
+        self.simple = re.compile(f"([{letters}]+)([{re.escape(signs)}]*)")  # a word of letters, and signs behind it
         self.is_mark = _Asked(lambda c: c == 0x345 or self.normal("a\u0345" + chr(c)) != "a\u0345" + self.lowered[c])  # U+0345 goes last of all marks
 
-    def _ending(self, tail: str) -> list[tuple[int, tuple[int, int] | None]]:
-        """(size, tokens) of what may end in ``tail``, the last ``TAIL`` letters or all there are, the longest first; what is longer than that has to be looked up."""
-        short = [(n, self.bodies[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in self.bodies]
-        return [(n, None) for n in sorted(self.tails.get(tail, ()), reverse=True)] + short
+    def _forget(self) -> None:
+        """No state is known but the first, and no word was asked for."""
+        self.states.clear()
+        self.steps = 0
+        self.met = "", [self.states[""]], [-1], [0], [0]
+
+    def _state(self, read: str) -> tuple[str, dict, list[tuple[int, int]], list[tuple[int, int]]]:
+        """The state in which the longest end of what was read that begins a token is ``read``: this, the next states by letter as far as met, and (size, token) of what ends here without the mark and with it, the longest first."""
+        ends = [(n, self.bodies[read[-n:]]) for n in range(len(read), 0, -1) if read[-n:] in self.bodies]
+        return read, {}, [(n, t) for n, (t, _) in ends if t >= 0], [(n, t) for n, (_, t) in ends if t >= 0]
+
+    def _next(self, state: tuple, letter: str) -> tuple:
+        read = state[0] + letter
+        while read not in self.begun:
+            read = read[1:]
+        self.steps += 1
+        found = state[1][letter] = self.states[read]
+        return found
+
+    def lower(self, part: str) -> str | None:
+        """A part as the library normalises it; None if that isn't letter by letter."""
+        if part.isascii():
+            return part.lower()
+        low = part.translate(self.lowered)
+        return low if len(low) == len(part) and (ord(max(part)) < LATIN or self.normal(part) == low) else None
 
     @staticmethod
     def _kind(pattern, c: str) -> str:
@@ -117,51 +142,59 @@ class Encoding:
             else:
                 return True
 
-
     def every_prefix(self, word: str) -> list[int]:
         """Tokens of the first 1, 2 ... characters of a word, each as a word of its own: as ``Word``, for a word known to its end, from where it parts from the one asked for before."""
-        letters = word if word.isascii() and word.isprintable() else "".join(self.letter[b] for b in word.encode("utf-8", "surrogatepass"))
-        find, fits, told, ending, n = self.bodies.get, self.fits, self.told, self.ending, len(letters)
+        plain = word.isascii() and word.isprintable()
+        coded = b"" if plain else word.encode("utf-8", "surrogatepass")
+        letters = word if plain else coded.decode("latin-1").translate(self.by_byte)
+        fits, told = self.fits, self.told
         if len(told) > 250_000:
             told.clear()
-        if len(ending) > 100_000:
-            ending.clear()
-        known, last, count, closed = self.met
+        if self.steps > 250_000:
+            self._forget()
+        known, states, last, count, closed = self.met
         same = 0
         for x, y in zip(known, letters, strict=False):
             if x != y:
                 break
             same += 1
         tell = told.get
-        del last[same + 1 :], count[same + 1 :], closed[same + 1 :]
-        for end in range(same + 1, n + 1):
-            unmarked = marked = -1  # where the last token begins
-            for size, found in ending[letters[end - TAIL : end] if end > TAIL else letters[:end]]:
+        del states[same + 1 :], last[same + 1 :], count[same + 1 :], closed[same + 1 :]
+        state, end = states[same], same
+        for letter in letters[same:] if same else letters:
+            end += 1
+            state = state[1].get(letter) or self._next(state, letter)
+            for size, token in state[2]:
+                if size == end:
+                    last.append(token)
+                    count.append(1)
+                    break
                 start = end - size
-                if found is None and (start < 0 or (found := find(letters[start:end])) is None):
-                    continue
-                token, final = found
-                if unmarked < 0 and token >= 0:
-                    if start and (ok := tell(pair := last[start] << 20 | token)) is None:
-                        ok = told[pair] = fits(last[start], token)
-                    if not start or ok:
-                        unmarked, own = start, token
-                if marked < 0 and final >= 0:
-                    if start and (ok := tell(pair := last[start] << 20 | final)) is None:
-                        ok = told[pair] = fits(last[start], final)
-                    if not start or ok:
-                        marked = start
-                if unmarked >= 0 and marked >= 0:
+                if (ok := tell(pair := last[start] << 20 | token)) is None:
+                    ok = told[pair] = fits(last[start], token)
+                if ok:
+                    last.append(token)
+                    count.append(count[start] + 1)
                     break
             else:
                 raise ValueError("no token ends here")
-            last.append(own)
-            count.append(count[unmarked] + 1)
-            closed.append(count[marked] + 1)
-        self.met = letters, last, count, closed
-        if letters is word:
+            for size, token in state[3]:
+                if size == end:
+                    closed.append(1)
+                    break
+                start = end - size
+                if (ok := tell(pair := last[start] << 20 | token)) is None:
+                    ok = told[pair] = fits(last[start], token)
+                if ok:
+                    closed.append(count[start] + 1)
+                    break
+            else:
+                raise ValueError("no token ends here")
+            states.append(state)
+        self.met = letters, states, last, count, closed
+        if len(letters) == len(word):
             return closed[1:]
-        return [closed[i] for i in np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word]).tolist()]
+        return [n for n, b in zip(closed[1:], coded[1:] + b" ", strict=True) if b & 0xC0 != 0x80]  # at the last byte of each character
 
 
 class _Asked(dict):
@@ -303,7 +336,6 @@ class Prefixes:
         self.library.no_padding()
         self.code = Encoding(path, self.library)
         self.special = [t["content"] for t in self.code.file["added_tokens"]]
-        self.plain = not any(s.isalpha() for s in self.special)  # so none is in a piece of letters alone
         self.clear()
 
     def clear(self) -> None:
@@ -327,8 +359,7 @@ class Prefixes:
         return table
 
     def _part(self, part: str) -> list[int]:
-        low = "".join(map(self.code.lowered.__getitem__, map(ord, part))) if not part.isascii() else part.lower()
-        if len(low) != len(part) or (not part.isascii() and self.code.normal(part) != low):
+        if (low := self.code.lower(part)) is None:
             return _with_marks(self.code, part)
         out: list[int] = []
         for m in _WORD.finditer(low.translate(self.code.kinds)):
@@ -338,8 +369,10 @@ class Prefixes:
 
     def _piece(self, piece: str) -> bytes | list[int]:
         """Tokens of the first 1, 2 ... characters of a piece."""
-        if self.plain and piece.isascii() and piece.isalpha():  # one word
-            return self._word(piece.lower())
+        if simple := self.code.simple.fullmatch(piece):
+            word, signs = simple.groups()
+            table = self._word(word.lower() if word.isascii() else word.translate(self.code.lowered))
+            return [*table, *(table[-1] + n for n in self._word(signs))] if signs else table
         out: list[int] = []
         at = base = 0
         while at < len(piece):
@@ -354,6 +387,10 @@ class Prefixes:
             at = end
         return out
 
+    @staticmethod
+    def _room(new: list[str]) -> int:
+        return 9 * sum(map(len, new)) + 150 * len(new)
+
     def _learn(self, new: list[str]) -> None:
         flat: list[int] = []
         for piece in new:
@@ -372,14 +409,14 @@ class Prefixes:
         self.flat[at : at + len(flat)] = flat
         self.starts[k + 1 : k + len(new) + 1] = at + ends + 1
         self.known.update(zip(new, range(k, k + len(new)), strict=True))
-        self.used += sum(9 * len(p) + 150 for p in new)
+        self.used += self._room(new)
 
     def _found(self, texts: list[str]) -> list[np.ndarray]:
         """Of each text, the numbers of its pieces, all of them learned."""
         found = [pieces(t) for t in texts]
         every = set().union(*found)
-        new = sorted(p for p in every if p not in self.known)  # words that begin alike follow each other
-        if self.used + sum(9 * len(p) + 150 for p in new) > MEMORY // 2:
+        new = sorted(every.difference(self.known))  # words that begin alike follow each other
+        if self.used + self._room(new) > MEMORY // 2:
             words, held = self.words, self.held
             self.clear()
             self.words, self.held = words, held

@@ -552,3 +552,39 @@ def test_few_tokens_are_looked_up_for_a_character():
         assert code.every_prefix(w) == list(map(token_counts.Word(code).grow, w)), w
     print(f"look-ups for a character: {code.bodies.asked / sum(map(len, words)):.1f}")
     assert code.bodies.asked < 4 * sum(map(len, words))
+
+
+def test_latin_words_ask_nothing_of_the_library(monkeypatch):
+    """Words of Latin letters, with signs behind them or not, are neither normalised as a whole nor looked up token by token; they were before. Counts are the library's at every place."""
+    import public_tokenizers
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    found = token_counts.Prefixes(public_tokenizers.path("word_bpe_49k.json"))
+    code, normal, asked = found.code, found.code.normal, []
+    letters = [chr(c) for c in range(token_counts.LATIN) if c not in token_counts.SPACES]
+    for a in letters:  # whatever stands beside it
+        assert normal("".join(a + b for b in letters)) == "".join(code.lowered[ord(a)] + code.lowered[ord(b)] for b in letters), a
+    code.bodies = Counting(code.bodies)
+    monkeypatch.setattr(code, "normal", lambda t: asked.append(t) or normal(t))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeinorst\u00c9\u00e9\u00fc\u00df\u0141\u00f1A") for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ",", ".%%%", "!!", "'", "'s", "<|", "\u00bb"]) for _ in range(500)]
+    words += ["\u00aa\u00ba", "\u00b5m", "\u01c5", "\u02b0a.", "a\u00ad", "a<|endoftext|>", "_a_", "a\u00b2", "\u00bda"]
+    found.tables([" ".join(words)])
+    assert not asked and code.bodies.asked == 0
+    words += ["\u0130", "\u0130stanbul,", "a\u0130", "e\u0301a,", "\u00e9\u0327!"]  # these are not normal letter by letter
+    (table,) = found.tables([" ".join(words)])
+    at = 0
+    for w in words:
+        for i in range(len(w) + 1):
+            assert table[at + i] - table[at] == len(found.library.encode(w[:i], add_special_tokens=False).ids), w
+        at += len(w) + 1
+    few = ("international", "\u00e9l\u00e9ments", "interne")
+    whole = [code.every_prefix(w) for w in few]
+    code.steps = 1 << 20
+    assert [code.every_prefix(w) for w in few] == whole and code.steps < 100  # states are forgotten and found again
