@@ -35,13 +35,15 @@ from linepatterns.llm.graph import components, stars
 BUCKET = 16
 SLOTS = 1 << 20
 BINS = 256
-SLICE = 1000
+#: Rows and bytes of text taken at a time. A chunk needs some sixty times its size, and a worker keeps what it has once taken.
+SLICE = 100
+CHUNK = 1 << 17
 
 
 def shingle_sets(batch, width: int):
     """(shingle, text, first, size, sig) for some texts at a time: distinct shingles by text, then where each text's are, how many, and their hash."""
     for row in range(0, len(batch), SLICE):
-        for c in chunks([canonical(t) for t in batch.column("_text").slice(row, SLICE).cast(pa.binary()).to_pylist()], SPACED, lower=True):
+        for c in chunks([canonical(t) for t in batch.column("_text").slice(row, SLICE).cast(pa.binary()).to_pylist()], SPACED, lower=True, most=CHUNK):
             n = np.diff(c.at)
             many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
             text = np.repeat(np.arange(len(n)), many)
@@ -86,7 +88,7 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for shingle, *_ in shingle_sets(batch, width):
-                counts += np.bincount(_slot(shingle), minlength=SLOTS)
+                np.add.at(counts, _slot(shingle), 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
@@ -159,7 +161,7 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, bins: DataFrame, simil
     sets = checkpointed(sets_of(texts, width, checkpointed(near.select(F.explode(F.array("a", "b")).alias("sig")).distinct())))
 
     def compare(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sides = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True))
             keep = [i for i, (x, y) in enumerate(sides) if (100 + similar) * len(np.intersect1d(x, y, assume_unique=True)) >= similar * (len(x) + len(y))]
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])

@@ -1,6 +1,6 @@
 """Vectorised word handling shared by the operators that run numpy inside Spark tasks.
 
-Texts are taken in chunks of about a megabyte, so memory does not depend on the size of a batch of rows.
+Texts are taken in chunks of about a megabyte, or less where that is said, so memory does not depend on the size of a batch of rows.
 """
 
 from __future__ import annotations
@@ -140,10 +140,10 @@ def word_table(is_word) -> np.ndarray:
 SPACED = word_table(lambda b: b not in SEPARATORS)
 
 
-def chunks(texts: list[bytes | None], table: np.ndarray = SPACED, lower: bool = False) -> Iterator[Chunk]:
+def chunks(texts: list[bytes | None], table: np.ndarray = SPACED, lower: bool = False, most: int = CHUNK) -> Iterator[Chunk]:
     lo = size = 0
     for i, t in enumerate(texts):
-        if i > lo and size + len(t or b"") > CHUNK:
+        if i > lo and size + len(t or b"") > most:
             yield Chunk(lo, [x or b"" for x in texts[lo:i]], table, lower)
             lo, size = i, 0
         size += len(t or b"")

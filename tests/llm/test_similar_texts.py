@@ -1,7 +1,9 @@
 """Exact near duplicates against all pairs."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,21 @@ def test_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
     assert seen[0][0] > 300 and seen[0][1] < 4 * seen[0][0]
 
 
+def test_workers_take_little_memory():
+    """Two workers stand beside an executor's JVM and keep what they have once taken: with chunks of a megabyte and more they took what the JVM needed."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(5000)]
+    batch = pa.RecordBatch.from_pydict({"_text": [" ".join(rng.choices(vocabulary, k=500)) for _ in range(3000)]})
+    tracemalloc.start()
+    try:
+        rows = sum(len(size) for _, _, _, size, _ in _shingles.shingle_sets(batch, 5))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    print(f"{batch.nbytes / 1e6:.0f} MB of texts, at most {peak:.0f} MB besides")
+    assert rows == 3000 and peak < 24
+
+
 def stages(spark, run) -> int:
     """Stages that a call runs, without those it skips."""
     context = spark.sparkContext._jsc.sc()
