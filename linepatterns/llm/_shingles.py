@@ -29,21 +29,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import SPACED, Sums, bit_table, canonical, checkpointed, chunks, mix
+from linepatterns.llm._words import SMALL_CHUNK, SPACED, Sums, bit_table, canonical, checkpointed, chunks, mix
 from linepatterns.llm.graph import components, stars
 
 BUCKET = 16
 SLOTS = 1 << 20
 BINS = 256
-#: Rows and bytes of text taken at a time. A chunk needs some sixty times its size, and a worker keeps what it has once taken.
+#: rows taken at a time
 SLICE = 100
-CHUNK = 1 << 17
 
 
 def shingle_sets(batch, width: int):
     """(shingle, text, first, size, sig) for some texts at a time: distinct shingles by text, then where each text's are, how many, and their hash."""
     for row in range(0, len(batch), SLICE):
-        for c in chunks([canonical(t) for t in batch.column("_text").slice(row, SLICE).cast(pa.binary()).to_pylist()], SPACED, lower=True, most=CHUNK):
+        for c in chunks([canonical(t) for t in batch.column("_text").slice(row, SLICE).cast(pa.binary()).to_pylist()], SPACED, lower=True, most=SMALL_CHUNK):
             n = np.diff(c.at)
             many = np.where(n >= width, n - width + 1, np.minimum(n, 1))
             text = np.repeat(np.arange(len(n)), many)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from linepatterns.sources.shared import shared_folder
 
 CHUNK = 1 << 20
+#: For stages of the pipeline: a chunk needs some sixty times its size, and a worker keeps what it has once taken.
+SMALL_CHUNK = 1 << 17
 HOT = 1000
 LONG = 64
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)

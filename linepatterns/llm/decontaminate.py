@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.llm._words import LOWER, Sums, checkpointed, chunks, on_plain_names, sliding_min, window_names, word_table
+from linepatterns.llm._words import LOWER, SMALL_CHUNK, Sums, checkpointed, chunks, on_plain_names, sliding_min, window_names, word_table
 
 GRAM = 8
 MARKS = 1 << 22
@@ -76,7 +76,7 @@ def _prints(c, window: int, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def _item_prints(window: int):
     def take(batches):
         for batch in batches:
-            for c in chunks(batch.column("_text").cast(pa.binary()).to_pylist(), LETTERS, lower=True):
+            for c in chunks(batch.column("_text").cast(pa.binary()).to_pylist(), LETTERS, lower=True, most=SMALL_CHUNK):
                 n = np.diff(c.at)
                 doc, h = _prints(c, window, [])
                 short = np.flatnonzero((n > 0) & (n < window))
@@ -94,7 +94,7 @@ def _document_prints(fields: list[str], window: int, short: list[int], marks):
     def take(batches):
         for batch in batches:
             n, sizes, values = [], [], []
-            for c in chunks(batch.column("_text").cast(pa.binary()).to_pylist(), LETTERS, lower=True):
+            for c in chunks(batch.column("_text").cast(pa.binary()).to_pylist(), LETTERS, lower=True, most=SMALL_CHUNK):
                 n.append(np.diff(c.at))
                 doc, h = _prints(c, window, short)
                 bit = h & np.uint64(MARKS - 1)

@@ -2,13 +2,15 @@
 
 import random
 import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linepatterns.llm import _shingles, graph, simhash_dedup
+from linepatterns.llm import _shingles, decontaminate, graph, simhash_dedup
 from linepatterns.llm._words import checkpointed
 from tests.llm.test_operators import awkward, pairs, same
 
@@ -140,14 +142,19 @@ def test_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
     assert seen[0][0] > 300 and seen[0][1] < 4 * seen[0][0]
 
 
-def test_workers_take_little_memory():
+@pytest.mark.parametrize("stage", ["dedup", "decontamination"])
+def test_workers_take_little_memory(stage):
     """Two workers stand beside an executor's JVM and keep what they have once taken: with chunks of a megabyte and more they took what the JVM needed."""
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(5000)]
     batch = pa.RecordBatch.from_pydict({"_text": [" ".join(rng.choices(vocabulary, k=500)) for _ in range(3000)]})
+    marks = SimpleNamespace(value=np.zeros(decontaminate.MARKS // 64, np.uint64))
     tracemalloc.start()
     try:
-        rows = sum(len(size) for _, _, _, size, _ in _shingles.shingle_sets(batch, 5))
+        if stage == "dedup":
+            rows = sum(len(size) for _, _, _, size, _ in _shingles.shingle_sets(batch, 5))
+        else:
+            rows = sum(len(out) for out in decontaminate._document_prints([], 13, [], marks)([batch]))
         peak = tracemalloc.get_traced_memory()[1] / 1e6
     finally:
         tracemalloc.stop()
