@@ -185,3 +185,15 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["pattern"].strip(), r["n"]) for r in spark.table("lines_seen").collect()} == {("Interface *{1,1} down", 2), ("Interface eth0 down", 1)}
+
+
+@pytest.mark.parametrize("words", [1_000_000, 0])
+def test_lines_to_classify_are_not_broadcast(spark, tmp_path, words):
+    """A line has a row for each of its words, many times what its file takes: Spark took them for small, and the driver's memory gave out."""
+    m = mine(spark, A, support=5)
+    spark.createDataFrame([(line,) for line in A + B], "line string").write.parquet(f"{tmp_path}/in")
+    found = classify(spark.read.parquet(f"{tmp_path}/in"), m.clusters, MinerConfig(support=5, broadcast_words=words))
+    got = found.groupBy(F.trim("pattern").alias("pattern")).count()
+    assert {tuple(r) for r in got.collect()} == {("Interface *{1,1} down", 35), ("Interface eth0 down", 10), ("Interface eth1 down", 5)}
+    join = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Join.*\[_word#", x)]
+    assert join and all(("BuildRight" if words else "SortMergeJoin") in x for x in join)
