@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from linepatterns.llm._words import SMALL_CHUNK, SPACED, Sums, bit_table, canonical, checkpointed, chunks, mix
 from linepatterns.llm.graph import components, stars
+from linepatterns.sources.shared import freeing
 
 BUCKET = 16
 SLOTS = 1 << 20
@@ -91,7 +92,7 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
-    found = texts.mapInArrow(take, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    found = freeing(texts.mapInArrow(take, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))).toArrow()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return counts

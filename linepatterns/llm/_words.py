@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linepatterns.sources.shared import shared_folder
+from linepatterns.sources.shared import freeing, shared_folder
 
 CHUNK = 1 << 20
 #: For stages of the pipeline: a chunk needs some sixty times its size, and a worker keeps what it has once taken.
@@ -27,9 +27,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    """``df`` written to the shared checkpoint folder, its lineage cut and its shuffle files gone."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return freeing(df).checkpoint()
 
 
 def let(value: Column, body) -> Column:

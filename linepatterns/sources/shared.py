@@ -7,6 +7,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Only a local session may do without; elsewhere a machine's own folder would lose data."""
@@ -19,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def freeing(df: DataFrame) -> DataFrame:
+    """``df`` as a table whose shuffle files go as soon as an action on it has ended; otherwise they stay until the driver happens to collect its garbage. Meant for one action: another one runs the stages again."""
+    conf = df.sparkSession.conf
+    was = conf.get(FREE, "false")
+    conf.set(FREE, "true")  # a table keeps what it finds when it is made
+    try:
+        return df.select("*")
+    finally:
+        conf.set(FREE, was)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; partitions and the order of their rows stay."""
     shared_folder(df.sparkSession)

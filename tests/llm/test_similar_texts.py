@@ -1,6 +1,7 @@
 """Exact near duplicates against all pairs."""
 
 import random
+import time
 import tracemalloc
 from types import SimpleNamespace
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linepatterns.llm import _shingles, decontaminate, graph, simhash_dedup
 from linepatterns.llm._words import checkpointed
+from linepatterns.sources.shared import FREE, freeing
 from tests.llm.test_operators import awkward, pairs, same
 
 SF = "/root/testdata/sf0.001"
@@ -185,3 +187,27 @@ def test_few_stages(spark):
     assert took <= 200
     stars = spark.createDataFrame([(100 * i + j, i) for i in range(5) for j in range(10, 40)], "a long, b long")
     assert stages(spark, lambda: graph.components(stars).collect()) <= 8
+
+
+def test_shuffle_files_go_with_each_step(spark, monkeypatch):
+    """What the stage shuffles is several times its input: it stayed on disk until the driver's garbage was collected."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before, left, held = shuffled(), [], []
+    for name in ("written", "counted"):
+        df = spark.range(50_000).select((F.col("id") % 1009).alias("k")).repartition(4, "k").groupBy("k").count().repartition(4, "count")
+        held.append((df, checkpointed(df) if name == "written" else freeing(df).toArrow()))
+        deadline = time.time() + 20
+        while (more := shuffled() - before) and time.time() < deadline:
+            time.sleep(0.2)
+        left.append(len(more))
+    assert left == [0, 0] and held[0][1].count() == held[0][0].count() == len(held[1][1]) == 1009  # what was freed can be made again
+    seen = []
+    monkeypatch.setattr(_shingles, "freeing", lambda df: seen.append(df.columns) or freeing(df))
+    simhash_dedup.one_of_each(spark.createDataFrame(edited()[:40], SCHEMA)).count()
+    assert seen == [["slot", "n"]]
+    assert spark.conf.get(FREE) == "false"
