@@ -5,7 +5,9 @@ Texts with a similarity of ``similar`` per cent or more are linked. Shingles and
 
 Candidates. Two sets that are alike share at least ``similar`` per cent of the larger, so under any one order of all shingles
 they share one among the first n - ceil(n * similar / 100) + 1 of each. The order is by a table of ``SLOTS`` counts, rare
-slots first, so what many texts share is seldom looked up. The table only sets the order; it never changes results.
+slots first, so what many texts share is seldom looked up. In a large corpus each slot counts many shingles, and a common one in a slot that is not full stands
+among the first of its texts. So keys that turn out to be crowded go to the end of the order, ``CROWDED`` at most, and prefixes are taken
+again. Both tables only set the order; they never change results.
 
 Pairs. Where at most ``BUCKET`` sets share a key, they are all paired. Under a larger key each is paired with a pivot, the one that has the fewest
 rarer shingles, which is the plainest of a group of copies. Sets of different components are then filed by what each and its pivot don't share
@@ -35,6 +37,7 @@ from linepatterns.sources.shared import freeing
 
 BUCKET = 16
 SLOTS = 1 << 20
+CROWDED = 1 << 19
 BINS = 256
 #: rows taken at a time
 SLICE = 100
@@ -98,13 +101,27 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
     return counts
 
 
-def prefixes(texts: DataFrame, width: int, similar: int, rank, keys_only: bool) -> DataFrame:
+def _excess(counts: np.ndarray) -> np.ndarray:
+    """What a slot counts above nearly all others: the rest is what any slot has, in a large corpus more than many texts share."""
+    return np.clip(counts - int(np.quantile(counts, 0.99)), 0, 1 << 30).astype(np.int32)
+
+
+def _order(shingle: np.ndarray, rank, last) -> np.ndarray:
+    """Where shingles stand in the order: by their slot, or at the end if they are in ``last``, the sorted shingles that go there and their places."""
+    out, (known, place) = rank.value[_slot(shingle)], last.value
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+        out = np.where(known[at] == shingle, SLOTS + place[at], out)
+    return out
+
+
+def prefixes(texts: DataFrame, width: int, similar: int, rank, last, keys_only: bool) -> DataFrame:
     """(key, sig, n, place): each set under the first of its shingles, and the place of each; or only key and sig."""
 
     def take(batches):
         for batch in batches:
             for shingle, text, first, size, sig in shingle_sets(batch, width):
-                order = np.lexsort((shingle, rank.value[_slot(shingle)], text))
+                order = np.lexsort((shingle, _order(shingle, rank, last), text))
                 place = np.arange(len(text)) - first[text]
                 here = place <= (size + (-size * similar) // 100)[text]  # n - ceil(n * similar / 100)
                 of = text[here]
@@ -118,6 +135,41 @@ def prefixes(texts: DataFrame, width: int, similar: int, rank, keys_only: bool)
     return texts.mapInArrow(take, "key long, sig long" + ("" if keys_only else ", n long, place long"))
 
 
+def crowded(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, sig), the keys of more than about ``BUCKET`` sigs, sorted, and their places by how often they stand there; of too many the most frequent. Sigs are counted as bits of one number, which copies don't raise."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("sig").bitwiseAND(63).cast("int"))
+    sized = checkpointed(keys.groupBy("key").agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n")).where(F.bit_count("bits") >= BUCKET - 2).select("key", "n"))
+    least = 0
+    while sized.where(F.col("n") > least).count() > CROWDED:
+        least = 2 * least + BUCKET
+    found = sized.where(F.col("n") > least).toArrow()
+    key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    place = np.argsort(np.lexsort((key, n))).astype(np.int32)
+    by_key = np.argsort(key)
+    return key[by_key], place[by_key]
+
+
+def _in_company(batches):
+    """Of rows (key, sig, n, place) sorted by key and sig, one for each sig of the keys that have several. Only the last row is held, however many a key has."""
+    names, held, met = ("key", "sig", "n", "place"), None, False
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in names]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        rows = [x[new] for x in rows]
+        if not len(rows[0]):
+            continue
+        company, beside = np.zeros(len(rows[0]), bool), rows[0][1:] == rows[0][:-1]
+        company[0] = met
+        company[1:] |= beside
+        company[:-1] |= beside
+        held, met = [x[-1:] for x in rows], bool(company[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][company[:-1]]) for x in rows], names=list(names))
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=list(names))
+
+
 def sets_of(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """(sig, set) of the sigs in ``wanted``, once each; a table of bits tells most others before they are shuffled."""
     may_want = bit_table(wanted, F.col("sig"))
@@ -190,7 +242,7 @@ def _lost(batches):
 def _beside(similar: int, counts):
     """(pivot, sig, root, token, n, d, place, small) of rows with both sets: what stands in one of them only, as far as it has to be filed.
 
-    The order is by how many sets beside the pivot differ from it in a token: those that lack it, if the pivot has it, else at most those that have it anywhere.
+    The order is by how many sets beside the pivot differ from it in a token: those that lack it, if the pivot has it, else about those that have it anywhere, if these are many.
     """
 
     def take(batches):
@@ -262,11 +314,10 @@ def links(docs: DataFrame, bins: DataFrame, text: str, width: int, similar: int,
     counts = slot_counts(texts, width)
     send = docs.sparkSession.sparkContext.broadcast
     rank = send(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.int32))
-    shared = prefixes(texts, width, similar, rank, True).groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key")
-    shared = checkpointed(shared)
-    may_share = bit_table(shared, F.col("key"), 1 << 24)
-    entries = prefixes(texts, width, similar, rank, False).where(may_share(F.col("key"))).join(shared, "key")
-    filed = entries.groupBy("key", "sig").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    none = send((np.empty(0, np.uint64), np.empty(0, np.int32)))
+    last = send(crowded(prefixes(texts, width, similar, rank, none, True)))
+    entries = prefixes(texts, width, similar, rank, last, False).repartition("key").sortWithinPartitions("key", "sig")
+    filed = entries.mapInArrow(_in_company, "key long, sig long, n long, place long")
     filed = checkpointed(filed.withColumn("before", F.row_number().over(Window.partitionBy("sig").orderBy("place")) - 1))  # keys before this one that any other set has
     size = filed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "sig", "n", "before")).alias("least"))
     sized = checkpointed(filed.join(size, "key"))
@@ -287,7 +338,7 @@ def links(docs: DataFrame, bins: DataFrame, text: str, width: int, similar: int,
     members = checkpointed(named.join(apart, "key").where("sig <> pivot").select("pivot", "sig", "root").distinct())
     if members.isEmpty():
         return roots
-    more = checkpointed(pairs_beside_pivots(members, texts, width, similar, send(np.minimum(counts, 1 << 30).astype(np.int32))))
+    more = checkpointed(pairs_beside_pivots(members, texts, width, similar, send(_excess(counts))))
     if more.isEmpty():
         return roots
     found = checkpointed(alike(more, texts, width, bins, similar))

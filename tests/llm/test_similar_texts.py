@@ -211,3 +211,31 @@ def test_shuffle_files_go_with_each_step(spark, monkeypatch):
     simhash_dedup.one_of_each(spark.createDataFrame(edited()[:40], SCHEMA)).count()
     assert seen == [["slot", "n"]]
     assert spark.conf.get(FREE) == "false"
+
+
+def test_common_shingles_in_full_slots(spark, monkeypatch):
+    """In a large corpus every slot counts many shingles, so a common passage stood among the first shingles of its texts, and each of these was compared with a pivot: disk grew faster than the input."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = " ".join(word() for _ in range(12))
+    rows = [" ".join(word() for _ in range(60)) + f" {passage} " + " ".join(word() for _ in range(60)) for _ in range(300)]
+    rows = list(enumerate(rows + [r.replace(r.split()[5], "zz", 1) for r in rows[:20]]))
+    compared, beside = [], _shingles.pairs_beside_pivots
+    monkeypatch.setattr(_shingles, "_slot", lambda shingle: np.zeros(len(shingle), np.int64))
+    monkeypatch.setattr(_shingles, "pairs_beside_pivots", lambda members, *more: compared.append(members.count()) or beside(members, *more))
+    same(simhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=5, similar=80).select("doc_id", "component_id"), brute(rows))
+    print(f"sets compared with a pivot: {compared}")
+    assert sum(compared) < 30
+
+
+def test_keys_in_company():
+    """Batches that end anywhere, also inside a key and between equal rows."""
+    rng = random.Random(6)
+    rows = sorted((rng.randint(-9, 9), rng.randint(0, 3)) for _ in range(40)) + [(20, 1), (21, 1), (21, 1)] + [(30, i) for i in range(9)]
+    several = {k for k, s in rows if any(k == a and s != b for a, b in rows)}
+    for step in (1, 2, 5, len(rows)):
+        cut = [rows[i : i + step] for i in range(0, len(rows), step)] + [[]]
+        batches = (pa.RecordBatch.from_arrays([pa.array([r[0] for r in c], pa.int64()), pa.array([r[1] for r in c], pa.int64()), *[pa.array([7] * len(c), pa.int64())] * 2], names=["key", "sig", "n", "place"]) for c in cut)
+        got = [(k, s) for out in _shingles._in_company(batches) for k, s in zip(out.column("key").to_pylist(), out.column("sig").to_pylist(), strict=True)]
+        assert got == sorted({r for r in rows if r[0] in several})
+    assert [len(out) for out in _shingles._in_company(iter([]))] == []
