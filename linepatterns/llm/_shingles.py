@@ -138,7 +138,7 @@ def prefixes(texts: DataFrame, width: int, similar: int, rank, last, keys_only:
 def crowded(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Of (key, sig), the keys of more than about ``BUCKET`` sigs, sorted, and their places by how often they stand there; of too many the most frequent. Sigs are counted as bits of one number, which copies don't raise."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("sig").bitwiseAND(63).cast("int"))
-    sized = checkpointed(keys.groupBy("key").agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n")).where(F.bit_count("bits") >= BUCKET - 2).select("key", "n"))
+    sized = checkpointed(freeing(keys.groupBy("key").agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n")).where(F.bit_count("bits") >= BUCKET - 2).select("key", "n")))
     least = 0
     while sized.where(F.col("n") > least).count() > CROWDED:
         least = 2 * least + BUCKET
@@ -318,9 +318,9 @@ def links(docs: DataFrame, bins: DataFrame, text: str, width: int, similar: int,
     last = send(crowded(prefixes(texts, width, similar, rank, none, True)))
     entries = prefixes(texts, width, similar, rank, last, False).repartition("key").sortWithinPartitions("key", "sig")
     filed = entries.mapInArrow(_in_company, "key long, sig long, n long, place long")
-    filed = checkpointed(filed.withColumn("before", F.row_number().over(Window.partitionBy("sig").orderBy("place")) - 1))  # keys before this one that any other set has
+    filed = checkpointed(freeing(filed.withColumn("before", F.row_number().over(Window.partitionBy("sig").orderBy("place")) - 1)))  # keys before this one that any other set has
     size = filed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "sig", "n", "before")).alias("least"))
-    sized = checkpointed(filed.join(size, "key"))
+    sized = checkpointed(freeing(filed.join(size, "key")))
     side = lambda df, s, *more: df.select("key", F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"place_{s}"), F.col("before").alias(f"before_{s}"), *more)
     rest = F.least("before_a", "before_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # no more is shared than the shared keys before this one, and what is from it on
     may = (100 + similar) * rest >= similar * (F.col("n_a") + F.col("n_b"))

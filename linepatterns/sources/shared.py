@@ -22,7 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def freeing(df: DataFrame) -> DataFrame:
-    """``df`` as a table whose shuffle files go as soon as an action on it has ended; otherwise they stay until the driver happens to collect its garbage. Meant for one action: another one runs the stages again."""
+    """``df`` as a table whose shuffle files go as soon as an action on it has ended; otherwise they stay until the driver happens to collect its garbage. Meant for one action: another one runs the stages again.
+
+    Not for joins of which Spark may drop a side while a stage of it still reads a shuffle: that stage then asks for files that are gone, and holds a core until its tasks have failed.
+    """
     conf = df.sparkSession.conf
     was = conf.get(FREE, "false")
     conf.set(FREE, "true")  # a table keeps what it finds when it is made
